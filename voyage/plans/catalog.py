@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = None
+from voyage.plans import journeys
+
+QUERIES = dict(journeys.QUERIES)
+ORACLE = dict(journeys.ORACLE)
+FLAGSHIP = journeys.d12_forecast_targets
