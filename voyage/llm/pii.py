@@ -7,6 +7,8 @@ round, as joins and grouped sums; patterns of high confidence then mark instance
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,26 +28,27 @@ BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 ROUNDS, SUPPORT, SURE, WINDOW = 3, 3, 0.8, 48
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match>> of the leftmost non-overlapping matches, in code points.
+def matches(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Column:
+    """array<struct<start, end, match>> of the leftmost non-overlapping matches that keep accepts, in code points.
 
-    What lies between matches gives their places: split and extract_all walk through the text alike.
+    What lies between matches gives their places: split and extract_all walk through the text alike. Both are zipped, as a
+    lambda that reached for them would work them out anew for every match.
     """
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(found, lambda m, i: F.struct(F.length(F.get(between, i)).alias("gap"), F.length(m).alias("own"), m.alias("match")))
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
     nothing = F.expr("CAST(array() AS array<struct<start: int, end: int, match: string>>)")
 
     def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        one = F.struct(start.alias("start"), (start + x["own"]).alias("end"), x["match"].alias("match"))
-        return F.struct((start + x["own"]).alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+        start = state["at"] + F.length(x["gap"])
+        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))
+        return F.struct(end.alias("at"), F.when(x["match"].isNotNull() & keep(x["match"]), F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
 
-    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda s: s["out"])
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda s: s["out"])
 
 
 def luhn(digits: Column) -> Column:
     """Whether the digits pass: from the right, every second one doubled, less nine above nine."""
-    places = F.transform(F.sequence(F.lit(1), F.length(digits)), lambda i: F.substr(digits, F.length(digits) + 1 - i, F.lit(1)).cast("int") * (F.lit(2) - i % 2))
+    places = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.coalesce(d.try_cast("int"), F.lit(0)) * (i % 2 + 1))
     return F.aggregate(places, F.lit(0), lambda t, d: t + d - F.when(d > 9, 9).otherwise(0)) % 10 == 0
 
 
@@ -65,7 +68,7 @@ def base_spans(text: Column) -> Column:
     none = F.expr("CAST(array() AS array<struct<start: int, order: int, end: int>>)")
 
     def spans(kind: str) -> Column:
-        good = F.filter(matches(text, KINDS[kind]), lambda m: holds(kind, m["match"]))
+        good = matches(text, KINDS[kind], lambda m: holds(kind, m))
         return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(ORDER.index(kind)).alias("order"), m["end"].alias("end")))
 
     return F.concat(*(F.when(guards[kind], spans(kind)).otherwise(none) for kind in KINDS))
@@ -79,7 +82,7 @@ def listed(spans: Column) -> Column:
 
 def candidates(text: Column, base: Column) -> Column:
     """array<struct<start, end, value, pattern, seed>>: identifier-like tokens with the word before them."""
-    tokens = F.filter(matches(text, TOKEN), lambda m: F.length(F.regexp_replace(m["match"], "[^0-9]", "")) >= 3)
+    tokens = matches(text, TOKEN, lambda m: m.rlike("(?:[0-9][^0-9]*){3}"))
 
     def one(m: Column) -> Column:
         from_ = F.greatest(m["start"] - WINDOW, F.lit(0))
