@@ -84,39 +84,35 @@ def describe_lines(least_words: int):
 
 
 def emit_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, whole, line, words): keys of the whole and of every deletion variant; role 0: exchange, 1: whole, 2: shorter by one."""
+    """Rows (whole, words): keys of the whole and of every deletion variant; role 0: exchange, 1: whole, 2: shorter by one."""
     for batch in batches:
-        ids, numbers, keys, roles, wholes = [], [], [], [], []
-        table = zip(batch.column("id").to_pylist(), batch.column("line").to_pylist(), batch.column("whole").to_pylist(), strict=True)
-        for (i, k, whole), (_, _, _, first, words) in zip(table, _each_line(batch.column("words")), strict=True):
+        keys, roles, wholes = [], [], []
+        for whole, words in zip(batch.column("whole").to_pylist(), _each_line(batch.column("words")), strict=True):
             n = len(words)
             sums = _sums(words)
-            inverse = np.uint64(_Q_INVERSE)
-            cut = _closed(sums[:-1] + (sums[-1] - sums[1:]) * inverse, n - 1)
+            cut = _closed(sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(_Q_INVERSE), n - 1)
             place = np.arange(n, dtype=np.uint64)
             same = hashing.mix(cut + hashing.mix(place + np.uint64(n << 32) + np.uint64(5)))
             keys.append(np.concatenate([same, _closed(sums[-1:], n), cut]))
             roles.append(np.repeat(np.array([0, 1, 2], np.int8), [n, 1, n]))
-            ids.append(np.full(2 * n + 1, i, np.int64))
-            numbers.append(np.full(2 * n + 1, k, np.int32))
             wholes.append(np.full(2 * n + 1, whole, np.int64))
-            if len(ids) == 2000:
-                yield _batch(ids, numbers, wholes, keys, roles)
-                ids, numbers, keys, roles, wholes = [], [], [], [], []
-        if ids:
-            yield _batch(ids, numbers, wholes, keys, roles)
+            if len(keys) == 2000:
+                yield _batch(wholes, keys, roles)
+                keys, roles, wholes = [], [], []
+        if keys:
+            yield _batch(wholes, keys, roles)
 
 
-def _batch(ids, numbers, wholes, keys, roles) -> pa.RecordBatch:
-    arrays = [np.concatenate(ids), np.concatenate(numbers), np.concatenate(wholes), hashing.signed(np.concatenate(keys)), np.concatenate(roles)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["id", "line", "whole", "key", "role"])
+def _batch(wholes, keys, roles) -> pa.RecordBatch:
+    arrays = [np.concatenate(wholes), hashing.signed(np.concatenate(keys)), np.concatenate(roles)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["whole", "key", "role"])
 
 
-def _each_line(column: pa.Array) -> Iterator[tuple]:
-    for a, data, offs in hashing.pieces(column):
+def _each_line(column: pa.Array) -> Iterator[np.ndarray]:
+    for _, data, offs in hashing.pieces(column):
         words, first = hashing.text_words(data, offs, hashing.SPACED)
-        for d in range(len(offs) - 1):
-            yield a, d, 0, first, words[first[d] : first[d + 1]]
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            yield words[a:b]
 
 
 def one_edit_apart(a: list[str], b: list[str]) -> bool:
@@ -154,10 +150,13 @@ def removed_lines(texts: DataFrame, least_words: int) -> DataFrame:
     texts_held = texts.join(held, "id").withColumn("all", F.split("text", "\n", -1)).select("id", F.inline(words))
     known = written(texts_held.where("words is not null"), "suspects")
 
-    variants = written(known.mapInArrow(emit_variants, "id long, line int, whole long, key long, role byte"), "variants")
+    variants = written(known.select("whole", "words").dropDuplicates(["whole"]).mapInArrow(emit_variants, "whole long, key long, role byte"), "variants")
+    wide = variants.groupBy("key").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("lo < hi").select("key")
     at = F.struct("id", "line", "whole")
-    best = variants.groupBy("key").agg(F.min(F.when(F.col("role") < 2, at)).alias("upper"), F.min(F.when(F.col("role") == 2, at)).alias("lower"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("lo < hi").drop("lo", "hi")
-    met = variants.join(best, "key").select("whole", at.alias("own"), F.when(F.col("role") == 1, F.col("lower")).otherwise(F.col("upper")).alias("earlier"))
+    places = known.groupBy("whole").agg(F.min(F.struct("id", "line")).alias("x")).select("whole", "x.id", "x.line")
+    shared = written(variants.join(wide, "key").join(places, "whole").select("key", "role", "whole", at.alias("own")), "shared")
+    best = shared.groupBy("key").agg(F.min(F.when(F.col("role") < 2, F.col("own"))).alias("upper"), F.min(F.when(F.col("role") == 2, F.col("own"))).alias("lower"))
+    met = shared.join(best, "key").select("whole", "own", F.when(F.col("role") == 1, F.col("lower")).otherwise(F.col("upper")).alias("earlier"))
     pairs = met.where("earlier is not null and (earlier.id < own.id or earlier.id = own.id and earlier.line < own.line)").groupBy("whole").agg(F.min("earlier").alias("earlier"))
     both = pairs.select("whole", F.col("earlier.whole").alias("earlier")).join(known.select("whole", "words").dropDuplicates(["whole"]), "whole")
     both = both.join(known.select(F.col("whole").alias("earlier"), F.col("words").alias("earlier_words")).dropDuplicates(["earlier"]), "earlier")
