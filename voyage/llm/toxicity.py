@@ -43,7 +43,7 @@ def collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(lists, pa.list_(pa.int32()))], ["y", "x"])
 
 
-def fit(y: np.ndarray, rows: list[np.ndarray], steps: int = 250, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(y: np.ndarray, rows: list[np.ndarray], steps: int = 1500, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """(weights, cuts) of the proportional-odds model with grades 0 to 2, from 0/1 labels and rows of feature numbers.
 
     Only features that go with the label far beyond chance (four standard deviations) get weights. With one label alone
