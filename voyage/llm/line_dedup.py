@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voyage.llm import hashing
-from voyage.llm.store import texts_of, written
+from voyage.llm.store import only, texts_of, written
 
 _Q = 0xC2B2AE3D27D4EB4F
 _Q_INVERSE = pow(_Q, -1, 1 << 64)
@@ -145,9 +145,9 @@ def removed_lines(texts: DataFrame, least_words: int) -> DataFrame:
     wide = openings.groupBy("half").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("lo < hi").select("half")
     suspects = openings.join(wide, "half").groupBy("whole").agg(F.min(F.struct("id", "line")).alias("first"))
     where = suspects.select("whole", "first.id", "first.line")
-    held = where.groupBy("id").agg(F.collect_list(F.struct("line", "whole")).alias("held"))  # of one document
+    held = written(where.groupBy("id").agg(F.collect_list(F.struct("line", "whole")).alias("held")), "held")  # of one document
     words = F.transform("held", lambda x: F.struct(x["line"].alias("line"), x["whole"].alias("whole"), F.get("all", x["line"]).alias("words")))
-    texts_held = texts.join(held, "id").withColumn("all", F.split("text", "\n", -1)).select("id", F.inline(words))
+    texts_held = only(texts, held).join(held, "id").withColumn("all", F.split("text", "\n", -1)).select("id", F.inline(words))
     known = written(texts_held.where("words is not null"), "suspects")
 
     variants = written(known.select("whole", "words").dropDuplicates(["whole"]).mapInArrow(emit_variants, "whole long, key long, role byte"), "variants")

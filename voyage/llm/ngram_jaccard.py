@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from voyage.llm import hashing
 from voyage.llm.components import components
-from voyage.llm.store import texts_of, written
+from voyage.llm.store import TABLES, only, remove, texts_of, written
 
 GROUP = 64
 
@@ -148,7 +148,8 @@ def open_groups(n: int, num: int, den: int):
 
 def links_of_tiles(tiles: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Verify tiles (tile, side, id) on the texts themselves."""
-    rows = tiles.join(texts, "id").select("tile", "side", "id", "text")
+    tiles = written(tiles, "tiles")
+    rows = tiles.join(only(texts, tiles), "id").select("tile", "side", "id", "text")
     return written(rows.repartition("tile").sortWithinPartitions("tile", "side", "id").mapInArrow(open_groups(n, num, den), "a long, b long"), "links")
 
 
@@ -162,14 +163,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 0 < 65 * den <= 100 * num <= 100 * den:
         raise ValueError("the similarity must be from 0.65 to 1: size classes grow by 1.6")
     texts = texts_of(docs, id_col, text_col)
-    told = written(texts.mapInArrow(describe_sets(n, num, den), "id long, n_shingles long, set_key long, keys array<long>"), "sets")
+    keys = written(texts.mapInArrow(describe_sets(n, num, den), "id long, n_shingles long, set_key long, keys array<long>"), "keys")
+    keys_path = TABLES[-1]
+    told = written(keys.drop("keys"), "sets")
     sets = told.where("n_shingles > 0").groupBy("set_key", "n_shingles").agg(F.min("id").alias("set_id"))
     members = told.select("id", "n_shingles", "set_key").join(sets, ["set_key", "n_shingles"], "left")
 
-    own = told.where("size(keys) > 0").join(sets.select("set_key", F.col("set_id").alias("id")), ["set_key", "id"], "left_semi")
+    own = keys.where("size(keys) > 0").join(sets.select("set_key", F.col("set_id").alias("id")), ["set_key", "id"], "left_semi")
     keyed = own.select("id", F.explode("keys").alias("key"))
     least = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
     shared = written(keyed.join(least.select("key", "lead"), "key"), "shared")
+    remove(docs.sparkSession, [keys_path])
 
     leads = shared.where("id <> lead").groupBy("id").agg(F.min("lead").alias("lead"))
     rooms = leads.groupBy("lead").agg(F.ceil(F.count("*") / GROUP).alias("rooms"))
