@@ -2,9 +2,10 @@
 
 Documents are sets of hashed word n-grams. Copies of a set meet first, so what follows works on different sets only.
 
-1. Signatures. Sets of similar size fall into as many hash ranges as make at least three ranges agree exactly in any two
-   sets that link (a pair that links differs in few tokens, and each differing token spoils one range). Equal ranges give
-   equal keys, so two sets without a common key cannot link. Frequent n-grams alone never make a key.
+1. Signatures. Sets of similar size fall into so many hash ranges that some ranges agree exactly in any two sets that
+   link (a pair that links differs in few tokens, and each differing token spoils one range). Equal ranges give equal
+   keys; a set with so many empty ranges that they could be all that agrees has keys for these too. So two sets without
+   a common key cannot link. Frequent n-grams alone never make a key.
 2. Groups. Each set is verified against the smallest set it shares a key with; the sets joined by these links, cut
    to GROUP members, are the groups.
 3. Token-group matrix. For two groups that share a key and are not known to be connected, the matrix holds the token
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from voyage.llm import hashing
 from voyage.llm.components import components
-from voyage.llm.store import TABLES, only, remove, texts_of, written
+from voyage.llm.store import TABLES, only, remove, texts_of, without, written
 
 GROUP = 64
 
@@ -68,14 +69,15 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
         differing = (above - 1) * (den - num) // num  # at most, as the union is at most den/num times the smaller set
         if not differing:
             continue
-        parts = differing + 3
+        spare = 3 + differing // 5  # ranges that agree in any linked pair, at least; more than are empty in nearly all sets
+        parts = differing + spare
         part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         used = part[starts]
         sums = np.add.reduceat(hashing.mix(tokens), starts)
         salt = np.uint64((c << 40) + 1)
         out.append(hashing.mix(sums ^ hashing.mix(used + salt)))
-        if parts - len(used) >= 3:
+        if parts - len(used) >= spare:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), used)
             out.append(hashing.mix(hashing.mix(empty + salt) + np.uint64(7)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -169,10 +171,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = told.where("n_shingles > 0").groupBy("set_key", "n_shingles").agg(F.min("id").alias("set_id"))
     members = told.select("id", "n_shingles", "set_key").join(sets, ["set_key", "n_shingles"], "left")
 
-    own = keys.where("size(keys) > 0").join(sets.select("set_key", F.col("set_id").alias("id")), ["set_key", "id"], "left_semi")
+    copies = members.where("id <> set_id").select("id")
+    own = without(keys.where("size(keys) > 0").select("id", "keys"), copies)
     keyed = own.select("id", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
-    shared = written(keyed.join(least.select("key", "lead"), "key"), "shared")
+    wide = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = written(keyed.join(wide, "key"), "met")
+    shared = written(met.join(met.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead"), "key"), "shared")
     remove(docs.sparkSession, [keys_path])
 
     leads = shared.where("id <> lead").groupBy("id").agg(F.min("lead").alias("lead"))

@@ -59,3 +59,9 @@ def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows with one of the ids (column id): without moving the rows as long as IDS allows, else by a shuffle."""
     ids = ids.select("id").distinct()
     return rows.join(F.broadcast(ids) if ids.count() <= IDS else ids, "id", "left_semi")
+
+
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with none of the ids: without moving the rows as long as IDS allows, else by a shuffle."""
+    ids = ids.select("id").distinct()
+    return rows.join(F.broadcast(ids) if ids.count() <= IDS else ids, "id", "left_anti")
