@@ -10,7 +10,8 @@ Documents are sets of hashed word n-grams. Copies of a set meet first, so what f
    to GROUP members, are the groups.
 3. Token-group matrix. For two groups that share a key and are not known to be connected, the matrix holds the token
    union of each. A query set whose tokens overlap a group's union in less than the threshold's share of its own size
-   cannot link with any member; only the other groups are opened, and their members verified on all tokens.
+   cannot link with any member. Unions are rows of BITS bits, one hashed token each: what a query has set and a row has
+   not is missing for certain. Only groups that pass are opened, and their members verified on all tokens.
 
 Groups have a fixed greatest size, so no task holds an unbounded group, and links within what is already connected are
 not expanded into pairs.
@@ -30,6 +31,7 @@ from voyage.llm.components import components
 from voyage.llm.store import TABLES, only, remove, texts_of, without, written
 
 GROUP = 64
+BITS = 2048
 
 
 def token_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -86,21 +88,72 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
 def describe_sets(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, f1, keys, ends = [], [], [], [0]
+            size, f1, keys, bits, ends = [], [], [], [], [0]
             for tokens in token_sets(batch.column("text"), n):
                 size.append(len(tokens))
                 f1.append(hashing.mix(np.array([np.add.reduce(hashing.mix(tokens)) + np.uint64(len(tokens))], np.uint64))[0] if len(tokens) else np.uint64(0))
                 keys.append(signatures(tokens, num, den) if len(tokens) else tokens)
+                bits.append(token_bits(tokens))
                 ends.append(ends[-1] + len(keys[-1]))
             flat = pa.array(hashing.signed(np.concatenate([*keys, np.zeros(0, np.uint64)])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(size, pa.int64()), pa.array(hashing.signed(np.array(f1, np.uint64))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
-                ["id", "n_shingles", "set_key", "keys"],
+                [batch.column("id"), pa.array(size, pa.int64()), pa.array(hashing.signed(np.array(f1, np.uint64))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(bits, pa.binary())],
+                ["id", "n_shingles", "set_key", "keys", "bits"],
             )
 
     return run
 
 
+def token_bits(tokens: np.ndarray) -> bytes:
+    """A set's row of the matrix."""
+    row = np.zeros(BITS, bool)
+    row[(hashing.mix(tokens) >> np.uint64(64 - 11)).astype(np.int64)] = True
+    return np.packbits(row).tobytes()
+
+
+def qualifying(num: int, den: int):
+    """Over rows (tile, side, id, size, bits) sorted by tile: the rows that the bound leaves a partner on the other side."""
+
+    def pick(ids: list[int], sides: list[int], sizes: list[int], bits: list[bytes]) -> np.ndarray:
+        side, size = np.array(sides), np.array(sizes)
+        rows = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(ids), -1), axis=1).astype(np.float32)
+        keep = np.zeros(len(ids), bool)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return keep
+        union = rows[right].max(axis=0)
+        left = left[den * (size[left] - rows[left] @ (1 - union)) >= num * size[left]]
+        x, y = size[left][:, None], size[right][None, :]
+        common = np.minimum(x - rows[left] @ (1 - rows[right]).T, y - (1 - rows[left]) @ rows[right].T)
+        open_ = (den * common >= num * (x + y - common)) & (np.array(ids)[left][:, None] != np.array(ids)[right][None, :])
+        keep[left[open_.any(axis=1)]] = True
+        keep[right[open_.any(axis=0)]] = True
+        return keep
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def close() -> list[tuple]:
+            keep = pick(*([r[k] for r in held] for k in (2, 1, 3, 4)))
+            return [r for r, k in zip(held, keep, strict=True) if k]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["tile", "side", "id"])
+
+        for batch in batches:
+            found: list[tuple] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", "id", "size", "bits")), strict=True):
+                if held and row[0] != held[0][0]:
+                    found += close()
+                    held.clear()
+                held.append(row)
+            yield out(found)
+        if held:
+            yield out(close())
+
+    return run
+
+
 def matched(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], num: int, den: int) -> Iterator[tuple[int, int]]:
     """Links between sets of two groups, a spanning part of them: right's row of the matrix is opened set by set."""
     union = np.unique(np.concatenate([t for _, t in right]))
@@ -148,9 +201,10 @@ def open_groups(n: int, num: int, den: int):
     return run
 
 
-def links_of_tiles(tiles: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Verify tiles (tile, side, id) on the texts themselves."""
-    tiles = written(tiles, "tiles")
+def links_of_tiles(tiles: DataFrame, rows: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Bound the overlap of tiles (tile, side, id) with the matrix rows (id, size, bits); verify what is open on the texts themselves."""
+    sorted_ = tiles.join(rows, "id").select("tile", "side", "id", "size", "bits").repartition("tile").sortWithinPartitions("tile", "side", "id")
+    tiles = written(sorted_.mapInArrow(qualifying(num, den), "tile long, side int, id long"), "tiles")
     rows = tiles.join(only(texts, tiles), "id").select("tile", "side", "id", "text")
     return written(rows.repartition("tile").sortWithinPartitions("tile", "side", "id").mapInArrow(open_groups(n, num, den), "a long, b long"), "links")
 
@@ -165,9 +219,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 0 < 65 * den <= 100 * num <= 100 * den:
         raise ValueError("the similarity must be from 0.65 to 1: size classes grow by 1.6")
     texts = texts_of(docs, id_col, text_col)
-    keys = written(texts.mapInArrow(describe_sets(n, num, den), "id long, n_shingles long, set_key long, keys array<long>"), "keys")
+    keys = written(texts.mapInArrow(describe_sets(n, num, den), "id long, n_shingles long, set_key long, keys array<long>, bits binary"), "keys")
     keys_path = TABLES[-1]
     told = written(keys.drop("keys"), "sets")
+    matrix = told.where("n_shingles > 0").select("id", F.col("n_shingles").alias("size"), "bits")
     sets = told.where("n_shingles > 0").groupBy("set_key", "n_shingles").agg(F.min("id").alias("set_id"))
     members = told.select("id", "n_shingles", "set_key").join(sets, ["set_key", "n_shingles"], "left")
 
@@ -184,7 +239,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = leads.join(rooms, "lead").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("rooms")))
     tiles = dealt.select(F.struct("lead", "chunk").alias("t"), F.col("id"), F.col("lead"))
     tiles = tiles.select(F.xxhash64("t").alias("tile"), F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("id").alias("id")), F.struct(F.lit(0).alias("side"), F.col("lead").alias("id")))).alias("x")).select("tile", "x.side", "x.id").distinct()
-    first = links_of_tiles(tiles, texts, n, num, den)
+    first = links_of_tiles(tiles, matrix, texts, n, num, den)
     joined = components(first)
 
     family = written(
@@ -212,7 +267,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     sides = pairs.select(F.xxhash64("g", "h").alias("tile"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("g").alias("group")), F.struct(F.lit(1).alias("side"), F.col("h").alias("group")))).alias("x"))
     tiles = sides.select("tile", "x.side", "x.group").join(groups.select("group", "id"), "group").select("tile", "side", "id")
-    second = links_of_tiles(tiles, texts, n, num, den)
+    second = links_of_tiles(tiles, matrix, texts, n, num, den)
     joined = components(first.union(second))
     return members.join(joined.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "set_id", "id").alias("component_id")
