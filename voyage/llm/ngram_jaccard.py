@@ -10,7 +10,7 @@ Documents are sets of hashed word n-grams. Copies of a set meet first, so what f
    to GROUP members, are the groups.
 3. Token-group matrix. For two groups that share a key and are not known to be connected, the matrix holds the token
    union of each. A query set whose tokens overlap a group's union in less than the threshold's share of its own size
-   cannot link with any member. Unions are rows of BITS bits, one hashed token each: what a query has set and a row has
+   cannot link with any member. Unions are rows of bits, one for each hashed token: what a query has set and a row has
    not is missing for certain. Only groups that pass are opened, and their members verified on all tokens.
 
 Groups have a fixed greatest size, so no task holds an unbounded group, and links within what is already connected are
@@ -31,7 +31,7 @@ from voyage.llm.components import components
 from voyage.llm.store import TABLES, only, remove, texts_of, without, written
 
 GROUP = 64
-BITS = 2048
+BITS, MOST_BITS = 1 << 11, 1 << 17
 
 
 def token_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -105,18 +105,25 @@ def describe_sets(n: int, num: int, den: int):
 
 
 def token_bits(tokens: np.ndarray) -> bytes:
-    """A set's row of the matrix."""
-    row = np.zeros(BITS, bool)
-    row[(hashing.mix(tokens) >> np.uint64(64 - 11)).astype(np.int64)] = True
+    """A set's row of the matrix: four bits a token or more, from BITS to MOST_BITS, as a power of two."""
+    wide = min(MOST_BITS, max(BITS, 1 << (4 * len(tokens)).bit_length()))
+    row = np.zeros(wide, bool)
+    row[(hashing.mix(tokens) >> np.uint64(65 - wide.bit_length())).astype(np.int64)] = True
     return np.packbits(row).tobytes()
 
 
+def narrowed(row: bytes, wide: int) -> np.ndarray:
+    """The row at a smaller width: neighbouring bits fall together."""
+    return np.unpackbits(np.frombuffer(row, np.uint8)).reshape(wide, -1).max(axis=1)
+
+
 def qualifying(num: int, den: int):
     """Over rows (tile, side, id, size, bits) sorted by tile: the rows that the bound leaves a partner on the other side."""
 
     def pick(ids: list[int], sides: list[int], sizes: list[int], bits: list[bytes]) -> np.ndarray:
         side, size = np.array(sides), np.array(sizes)
-        rows = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(ids), -1), axis=1).astype(np.float32)
+        wide = 8 * min(map(len, bits))
+        rows = np.stack([narrowed(b, wide) for b in bits]).astype(np.float32)
         keep = np.zeros(len(ids), bool)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(left) or not len(right):
