@@ -32,6 +32,7 @@ from voyage.llm.store import TABLES, only, remove, texts_of, without, written
 
 GROUP = 64
 BITS, MOST_BITS = 1 << 11, 1 << 17
+SLICE = 256  # bytes of the rows that are opened to bits at a time
 
 
 def token_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -113,8 +114,9 @@ def token_bits(tokens: np.ndarray) -> bytes:
 
 
 def narrowed(row: bytes, wide: int) -> np.ndarray:
-    """The row at a smaller width: neighbouring bits fall together."""
-    return np.unpackbits(np.frombuffer(row, np.uint8)).reshape(wide, -1).max(axis=1)
+    """The row, packed, at a smaller width: neighbouring bits fall together."""
+    packed = np.frombuffer(row, np.uint8)
+    return packed if 8 * len(packed) == wide else np.packbits(np.unpackbits(packed).reshape(wide, -1).max(axis=1))
 
 
 def qualifying(num: int, den: int):
@@ -122,16 +124,21 @@ def qualifying(num: int, den: int):
 
     def pick(ids: list[int], sides: list[int], sizes: list[int], bits: list[bytes]) -> np.ndarray:
         side, size = np.array(sides), np.array(sizes)
-        wide = 8 * min(map(len, bits))
-        rows = np.stack([narrowed(b, wide) for b in bits]).astype(np.float32)
         keep = np.zeros(len(ids), bool)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(left) or not len(right):
             return keep
-        union = rows[right].max(axis=0)
-        left = left[den * (size[left] - rows[left] @ (1 - union)) >= num * size[left]]
+        wide = 8 * min(map(len, bits))
+        rows = np.stack([narrowed(b, wide) for b in bits])
+        union = np.bitwise_or.reduce(rows[right], axis=0)
+        missing = np.bitwise_count(rows[left] & ~union).sum(axis=1, dtype=np.int64)
+        left = left[den * (size[left] - missing) >= num * size[left]]
+        both = np.zeros((len(left), len(right)))
+        for a in range(0, wide // 8, SLICE):  # the rows stay packed but for a slice of columns
+            both += np.unpackbits(rows[left, a : a + SLICE], axis=1).astype(np.float32) @ np.unpackbits(rows[right, a : a + SLICE], axis=1).astype(np.float32).T
+        set_ = np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
         x, y = size[left][:, None], size[right][None, :]
-        common = np.minimum(x - rows[left] @ (1 - rows[right]).T, y - (1 - rows[left]) @ rows[right].T)
+        common = np.minimum(x - set_[left][:, None] + both, y - set_[right][None, :] + both)
         open_ = (den * common >= num * (x + y - common)) & (np.array(ids)[left][:, None] != np.array(ids)[right][None, :])
         keep[left[open_.any(axis=1)]] = True
         keep[right[open_.any(axis=0)]] = True
