@@ -57,8 +57,8 @@ def _letters(fold: bool) -> np.ndarray:
     return _tables[key]
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first text, bytes, offsets within the bytes) for runs of whole texts."""
+def pieces(column: pa.Array, most: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, bytes, offsets within the bytes) for runs of whole texts of about most bytes."""
     column = column.fill_null("") if column.null_count else column
     wide = pa.types.is_large_string(column.type)
     offs = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -66,7 +66,7 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     a, n = 0, len(column)
     while a < n:
-        b = int(np.searchsorted(offs, offs[a] + PIECE, side="right")) - 1
+        b = int(np.searchsorted(offs, offs[a] + most, side="right")) - 1
         b = min(max(b, a + 1), n)
         yield a, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b

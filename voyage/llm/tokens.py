@@ -20,6 +20,8 @@ SPACE, LETTER, NUMBER, OTHER, STRANGE = range(5)
 #: Code points below this whose lower case is one code point and that no normal form changes.
 SIMPLE = 0x250
 KEEP_WORDS = 600_000
+#: Bytes of texts at a time: each takes about a hundred bytes of memory on the way.
+PIECE = 1 << 19
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +68,7 @@ class Encoder:
 
     def lists(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids (uint32) of each text."""
-        for _, data, offs in hashing.pieces(column):
+        for _, data, offs in hashing.pieces(column, PIECE):
             yield from self._piece(data, offs)
 
     def _piece(self, data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
@@ -95,7 +97,10 @@ class Encoder:
         start, end, text = start[keep], end[keep], text[keep]
         up, _ = hashing._powers(n)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.letters[np.minimum(low, SIMPLE - 1)] * up[:n], out=sums[1:])
+        values = self.letters[np.minimum(low, SIMPLE - 1)]
+        values *= up[:n]
+        np.cumsum(values, out=sums[1:])
+        del values, heads, simple, kind, heads_here, differs, border
         names = hashing.substring(sums, start, end)
         different, first, which = np.unique(names, return_index=True, return_inverse=True)
         if len(self.known) + len(different) > KEEP_WORDS:
