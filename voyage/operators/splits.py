@@ -70,3 +70,15 @@ def forecast_targets(events: DataFrame, splits: DataFrame, variables: DataFrame,
     rows = asked.join(labs, ["patientid", "event_name"]).where((gap > 0) & (gap <= horizon) & F.col("v").isNotNull() & (F.col("next_lot").isNull() | (F.col("target_date") < F.col("next_lot"))))
     three = stats.select("event_name", (F.col("mean") - 3 * F.col("std")).alias("low"), (F.col("mean") + 3 * F.col("std")).alias("high"))
     return rows.join(F.broadcast(three), "event_name", "left").select("patientid", "date", "event_name", "target_date", F.greatest(F.least("v", "high"), "low").alias("event_value"))
+
+
+def sample_variables(eligible: DataFrame, stats: DataFrame, n: int = 3, score: str = "score_log_nrmse_n_samples", seed: str = "2") -> DataFrame:
+    """(patientid, date, event_name): up to n variables a date, drawn without replacement with odds in proportion to the score.
+
+    Variables without statistics or with a score of 0 or less are not drawn; a date with a null score in its pool has no sample.
+    """
+    pool = eligible.where("event_name is not null").join(F.broadcast(stats.select("event_name", F.col(score).alias("w"))), "event_name")  # one row a variable
+    own = Window.partitionBy("patientid", "date")
+    wait = -F.ln(F.greatest(u01(F.lit(seed), "patientid", "date", "event_name"), F.lit(1e-12))) / F.col("w")
+    drawn = pool.withColumn("holes", F.count_if(F.col("w").isNull()).over(own)).where("holes = 0 and w > 0").withColumn("k", F.row_number().over(own.orderBy(wait, "event_name")))
+    return drawn.where(F.col("k") <= n).select("patientid", "date", "event_name")

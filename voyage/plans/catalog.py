@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from voyage.plans import journeys
+from voyage.plans import evaluations, journeys
 
-QUERIES = dict(journeys.QUERIES)
-ORACLE = dict(journeys.ORACLE)
+QUERIES = journeys.QUERIES | evaluations.QUERIES
+ORACLE = journeys.ORACLE | evaluations.ORACLE
 FLAGSHIP = journeys.d12_forecast_targets
