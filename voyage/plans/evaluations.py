@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voyage.functions.random import u01
-from voyage.operators import evaluation, splits
+from voyage.operators import evaluation, landmarks, splits
 from voyage.plans.fixtures import constant, events
 from voyage.plans.journeys import CANDIDATES, ELIGIBLE, STATS, U, WITH
 
@@ -57,6 +57,11 @@ def d11_sample_variables(spark, d):
     return splits.sample_variables(splits.eligible_variables(ev, cand), stats)
 
 
+def d16_landmark_times(spark, d):
+    ev = events(spark, d)
+    return _rounded(landmarks.landmark_times(ev, splits.candidate_split_dates(ev)))
+
+
 def d19_cap_outliers(spark, d):
     ev, _, stats, _ = _frames(spark, d)
     labs = ev.where("event_category = 'lab'").select("event_name", F.col("event_value").try_cast("double").alias("event_value"))
@@ -93,11 +98,16 @@ def d33_evaluation_fingerprint(spark, d):
     return evaluation.evaluation_fingerprint(_frames(spark, d)[3])
 
 
-QUERIES = {f.__name__: f for f in (d11_sample_variables, d19_cap_outliers, d21_align_week_start, d24_copy_forward, d28_forecast_eval, d28b_regression_eval, d29_km_censoring, d30_brier_ipcw, d33_evaluation_fingerprint)}
+QUERIES = {f.__name__: f for f in (d11_sample_variables, d16_landmark_times, d19_cap_outliers, d21_align_week_start, d24_copy_forward, d28_forecast_eval, d28b_regression_eval, d29_km_censoring, d30_brier_ipcw, d33_evaluation_fingerprint)}
 ORACLE = {
     "d11_sample_variables": f"""{WITH}{CANDIDATES}{ELIGIBLE}{STATS}, pool AS (SELECT patientid, date, event_name, log2(num_samples * nrmse) AS w, count(*) FILTER (log2(num_samples * nrmse) IS NULL) OVER (PARTITION BY patientid, date) AS holes FROM elig JOIN stat USING (event_name)),
         r AS (SELECT *, row_number() OVER (PARTITION BY patientid, date ORDER BY -ln(greatest({U.format(key="'2|' || patientid || '|' || CAST(date AS VARCHAR) || '|' || event_name")}, 1e-12)) / w, event_name) AS k FROM pool WHERE holes = 0 AND w > 0)
         SELECT patientid, date, event_name FROM r WHERE k <= 3""",
+    "d16_landmark_times": f"""{WITH}{CANDIDATES}, a AS (SELECT c.patientid, c.date, max(e.date) AS last, min(e.date) FILTER (event_category = 'lot') AS next_lot, min(e.date) FILTER (event_category = 'death') AS death,
+        min(e.date) FILTER (event_category = 'progression') AS progression FROM cand c LEFT JOIN ev e ON e.patientid = c.patientid AND e.date > c.date GROUP BY 1, 2),
+        g AS (SELECT *, 'lot' AS category, next_lot AS hit FROM a UNION ALL SELECT *, 'death', death FROM a UNION ALL SELECT *, 'progression', progression FROM a),
+        h AS (SELECT *, hit IS NOT NULL AND (category = 'lot' OR next_lot IS NULL OR hit < next_lot) AS seen FROM g)
+        SELECT patientid, date, category, round((CASE WHEN seen THEN hit ELSE coalesce(next_lot, last, date) END - date) / 7, 4) AS true_time, NOT seen AS true_censoring FROM h""",
     "d19_cap_outliers": f"""{WITH}{CANDIDATES}{STATS}, x AS (SELECT event_name, TRY_CAST(event_value AS DOUBLE) AS v, mean - 3 * std AS low, mean + 3 * std AS high, mean_without_outliers AS m, std_without_outliers AS s FROM ev LEFT JOIN stat USING (event_name) WHERE event_category = 'lab')
         SELECT event_name, CASE WHEN v < low THEN -1 WHEN v > high THEN 1 ELSE 0 END AS capped, count(*) AS n, round(avg(coalesce((greatest(least(v, high), low) - m) / nullif(s, 0), v)), 4) AS mean_value FROM x GROUP BY 1, 2""",
     "d21_align_week_start": f"""{WITH}, x AS (SELECT patientid, event_name, date, CAST(isodow(min(date) OVER (PARTITION BY patientid, event_name)) - 1 AS INT) AS "offset" FROM ev WHERE event_category = 'lab')
