@@ -25,6 +25,13 @@ def copy_forward(events: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.select(*KEY).distinct().join(last, ["patientid", "date", "event_name"], "left").select(*KEY, F.col("x.v").alias("event_value"))
 
 
+def fill_with_copy_forward(pred: DataFrame, last: DataFrame) -> DataFrame:
+    """All keys of last (key, event_value) with the prediction, else the one before it in the series, else last's value; and whether it was filled."""
+    so_far = Window.partitionBy("patientid", "date", "event_name").orderBy("target_date")
+    rows = last.join(pred.select(*KEY, F.col("event_value").alias("p")), list(KEY), "left")
+    return rows.select(*KEY, F.coalesce(F.last("p", ignorenulls=True).over(so_far), "event_value").alias("event_value"), F.col("p").isNull().alias("filled"))
+
+
 def cap_outliers(rows: DataFrame, stats: DataFrame, mode: str = "clean", value: str = "event_value") -> DataFrame:
     """The value within three deviations, and capped (-1, 0 or 1); zscore caps by the raw moments and scales by the clean ones.
 

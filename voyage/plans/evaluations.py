@@ -77,6 +77,11 @@ def d24_copy_forward(spark, d):
     return _rounded(_scored(spark, d)[2])
 
 
+def d26_fill_with_copy_forward(spark, d):
+    pred, _, last, _ = _scored(spark, d)
+    return _rounded(evaluation.fill_with_copy_forward(pred.where(u01(F.lit("gap"), *evaluation.KEY) < 0.7), last))
+
+
 def d28_forecast_eval(spark, d):
     return _rounded(evaluation.forecast_eval(*_scored(spark, d)))
 
@@ -98,7 +103,7 @@ def d33_evaluation_fingerprint(spark, d):
     return evaluation.evaluation_fingerprint(_frames(spark, d)[3])
 
 
-QUERIES = {f.__name__: f for f in (d11_sample_variables, d16_landmark_times, d19_cap_outliers, d21_align_week_start, d24_copy_forward, d28_forecast_eval, d28b_regression_eval, d29_km_censoring, d30_brier_ipcw, d33_evaluation_fingerprint)}
+QUERIES = {f.__name__: f for f in (d11_sample_variables, d16_landmark_times, d19_cap_outliers, d21_align_week_start, d24_copy_forward, d26_fill_with_copy_forward, d28_forecast_eval, d28b_regression_eval, d29_km_censoring, d30_brier_ipcw, d33_evaluation_fingerprint)}
 ORACLE = {
     "d11_sample_variables": f"""{WITH}{CANDIDATES}{ELIGIBLE}{STATS}, pool AS (SELECT patientid, date, event_name, log2(num_samples * nrmse) AS w, count(*) FILTER (log2(num_samples * nrmse) IS NULL) OVER (PARTITION BY patientid, date) AS holes FROM elig JOIN stat USING (event_name)),
         r AS (SELECT *, row_number() OVER (PARTITION BY patientid, date ORDER BY -ln(greatest({U.format(key="'2|' || patientid || '|' || CAST(date AS VARCHAR) || '|' || event_name")}, 1e-12)) / w, event_name) AS k FROM pool WHERE holes = 0 AND w > 0)
@@ -113,6 +118,8 @@ ORACLE = {
     "d21_align_week_start": f"""{WITH}, x AS (SELECT patientid, event_name, date, CAST(isodow(min(date) OVER (PARTITION BY patientid, event_name)) - 1 AS INT) AS "offset" FROM ev WHERE event_category = 'lab')
         SELECT patientid, event_name, date - "offset" AS date, "offset" FROM x""",
     "d24_copy_forward": f"{TARGETS}{LAST} SELECT patientid, date, event_name, target_date, round(c, 4) AS event_value FROM cf",
+    "d26_fill_with_copy_forward": f"""{TARGETS}{LAST}, x AS (SELECT patientid, date, event_name, target_date, c, CASE WHEN {_OFFSET.replace("pred|", "gap|")} < 0.7 THEN c + 20 * ({_OFFSET} - 0.5) END AS p FROM cf)
+        SELECT patientid, date, event_name, target_date, p IS NULL AS filled, round(coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY patientid, date, event_name ORDER BY target_date ROWS UNBOUNDED PRECEDING), c), 4) AS event_value FROM x""",
     "d28_forecast_eval": f"""{TARGETS}{LAST}{SCORED}, capped AS (SELECT patientid, date, event_name, target_date, {_CAP.format("y")} AS y, {_CAP.format("p")} AS p, {_CAP.format("c")} AS c FROM scored LEFT JOIN stat USING (event_name)),
         m AS (SELECT event_name, avg(abs(y - p)) AS mae, avg(abs(y - p) / nullif(abs(y), 0)) AS mape, avg(abs(y - c)) AS cm, avg(abs(y - c) / nullif(abs(y), 0)) AS cp, count(*) AS n_samples,
         count(DISTINCT (patientid, date)) AS n_splits, count(DISTINCT patientid) AS n_patients, count(DISTINCT target_date) AS n_dates FROM capped GROUP BY 1)
