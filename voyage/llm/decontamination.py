@@ -147,7 +147,8 @@ def scan(items: list[tuple[int, str]], n: int, all_rows: bool, limit: float):
                             if spans and u + x <= spans[-1][1]:
                                 spans[-1][1] = max(spans[-1][1], u + y)
                                 while len(spans) > 1 and u + x <= spans[-2][1]:
-                                    spans[-2][1] = max(spans[-2][1], spans.pop()[1])
+                                    last = spans.pop()
+                                    spans[-1][1] = max(spans[-1][1], last[1])
                                 spans[-1][0] = min(spans[-1][0], u + x)
                             else:
                                 spans.append([u + x, u + y])
