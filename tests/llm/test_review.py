@@ -1,10 +1,14 @@
 """Cases in which an operator once did less than the whole job."""
 
 import hashlib
+import random
+from collections import Counter
 
 import pytest
-
+from pyspark.sql import functions as F
 from tests.llm import brute
+
+from voyage.llm import suffix_dedup as suffixes
 from voyage.llm.decontamination import decontaminate
 
 
@@ -20,3 +24,39 @@ def test_decontamination_window_over_earlier_spans(spark, monkeypatch, block):
     assert got == brute.windows(docs, items)
     assert {r.doc_id: [tuple(s) for s in r.spans] for r in out}[2] == [(1, 13)]
     assert {r.doc_id: r.clean_text for r in out}[2] == "x  y"
+
+
+@pytest.mark.parametrize("most", [5, 1])
+def test_suffix_dedup_holds_no_whole_hot_anchor(spark, monkeypatch, most):
+    """Phrases shorter and longer than the strings, in more different surroundings than one construction may hold."""
+    rng = random.Random(11)
+
+    def some(n):
+        return "".join(rng.choice("abcdefgh é") for _ in range(n))
+
+    docs = []
+    for phrase in (some(60), some(120), some(185), some(260)):
+        near, after = some(90), some(90)
+        for k in range(24):
+            left, right = some(230 + k), some(230 + k)
+            docs.append(left[: -(k % 5) * 20 or None] + (near[-(k % 5) * 20 :] if k % 5 else "") + phrase + after[: (k % 7) * 15] + right)
+    docs = list(enumerate([*docs, *docs[:3], docs[40] + docs[41], None, ""]))
+    whole = suffixes.construct
+
+    def bounded(length):
+        inner = whole(length)
+
+        def run(batches):
+            batches = list(batches)
+            sizes = Counter(x for b in batches for x in b.column("anchor").to_pylist())
+            assert max(sizes.values(), default=0) <= most, "one task holds a whole hot anchor"
+            yield from inner(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(suffixes, "SEGMENTS", most)
+    monkeypatch.setattr(suffixes, "construct", bounded)
+    monkeypatch.setattr(suffixes, "spread", lambda df, rows: 4)
+    out = suffixes.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    got = {tuple(r) for r in out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
+    assert got == brute.repeats(docs)

@@ -10,6 +10,11 @@ to the first. Each round puts one symbol before every segment: a stable sort by
 suffixes into this round's, which is the collection's Burrows-Wheeler order of that column, and the common prefixes of
 neighbours follow from range minima of the last round's. A suffix that has 200 bytes in common with a neighbour is a
 repeated string.
+
+An anchor with more than SEGMENTS different segments is not held by one task. Its segments are halved by the place that the
+anchor has in their windows; what all windows of a half have in common takes the anchor's place. Equal windows are in the
+same half and have the same in common, so they meet again. Halves that are equal go on once, with their number; halves that
+are still too many are halved again, down to single windows.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voyage.llm import hashing
-from voyage.llm.store import spread, texts_of, written
+from voyage.llm.store import only, spread, texts_of, written
 
 ANCHOR = 40
 ROOM = 1 << 11
@@ -101,15 +106,16 @@ def repeated_windows(segments: list[bytes], shifts: np.ndarray, length: int) ->
     flags = np.zeros((left + 1, n), bool)
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "columns")
-        step = max(1, (64 << 20) // (2 * n))  # columns in memory at once
         size = np.array([len(x) for x in segments])
         base = np.concatenate(([0], np.cumsum(size)))[:-1]
         joined = np.frombuffer(b"".join(segments), np.uint8)
         with open(path, "wb") as file:
-            for c in range(0, columns, step):
-                at = np.arange(c, min(columns, c + step))[:, None] - (left - shifts)[None, :]
-                there = (at >= 0) & (at < size[None, :])
-                np.where(there, joined[np.where(there, base[None, :] + at, 0)], ABSENT).astype(np.uint16).tofile(file)
+            for c in range(columns):
+                at = c - (left - shifts)
+                there = np.flatnonzero((at >= 0) & (at < size))
+                column = np.full(n, ABSENT, np.uint16)
+                column[there] = joined[base[there] + at[there]]
+                column.tofile(file)
         order, common = np.arange(n), np.zeros(n + 1, np.int16)
         with open(path, "rb") as file:
             for c in range(columns - 1, -1, -1):
@@ -157,6 +163,67 @@ def construct(length: int):
     return run
 
 
+def halve(length: int):
+    """Rows (row, place, alone, lo, hi, bytes), the anchor at lo to hi in the windows: the same of each half, with its key and content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                row, place, lo, hi = (part.column(c).to_numpy() for c in ("row", "place", "lo", "hi"))
+                alone = part.column("alone").to_numpy(zero_copy_only=False)
+                held = part.column("bytes").to_pylist()
+                data = b"".join(held)
+                sums = hashing.running(np.frombuffer(data, np.uint8))
+                base = np.concatenate(([0], np.cumsum([len(x) for x in held])))[:-1]
+                start, shift, windows = place // ROOM // ROOM, place // ROOM % ROOM, place % ROOM
+                middle = (lo + hi + 1) // 2
+                for a, b in ((lo, middle - 1), (middle, hi)):
+                    first, last = np.maximum(a, shift - windows + 1), np.minimum(b, shift)
+                    x = np.flatnonzero(first <= last)
+                    a, b, first, last, anchor = a[x], b[x], first[x], last[x], (base + shift)[x]
+                    key = hashing.mix(hashing.substring(sums, anchor - a, anchor + length - b) + (a * ROOM + b).astype(np.uint64))
+                    u, v = anchor - last, anchor - first + length
+                    content = hashing.mix(hashing.substring(sums, u, v) + last.astype(np.uint64))
+                    at = ((start[x] + shift[x] - last) * ROOM + last) * ROOM + last - first + 1
+                    cuts = pa.array([data[i:j] for i, j in zip(u.tolist(), v.tolist(), strict=True)], pa.binary())
+                    columns = [pa.array(hashing.signed(key)), pa.array(hashing.signed(content)), pa.array(row[x]), pa.array(at), pa.array(alone[x]), pa.array(a), pa.array(b), cuts]
+                    yield pa.RecordBatch.from_arrays(columns, ["anchor", "content", "row", "place", "alone", "lo", "hi", "bytes"])
+
+    return run
+
+
+def members(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of the groups (anchor, content, n) of more than one row; rows of groups above SEGMENTS do not move."""
+    key = ["anchor", "content"]
+    large = F.broadcast(groups.where(F.col("n") > SEGMENTS).select(key))
+    small = groups.where((F.col("n") > 1) & (F.col("n") <= SEGMENTS)).select(key)
+    return rows.join(large, key, "left_semi").unionByName(rows.join(large, key, "left_anti").join(small, key, "left_semi"))
+
+
+def covered(rows: DataFrame, length: int) -> DataFrame:
+    """(row, start, end) of all windows of the rows."""
+    return rows.select("row", F.expr(f"place div {ROOM * ROOM}").alias("start"), F.expr(f"place div {ROOM * ROOM} + place % {ROOM} + {length - 1}").alias("end"))
+
+
+def halved(rows: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Of anchors with too many segments: the spans of equal halves, and the segments for constructions of SEGMENTS at most."""
+    equal, small = [], []
+    rows = rows.withColumns({"lo": F.lit(0).cast("long"), "hi": F.lit(length - ANCHOR).cast("long")})
+    while True:
+        parts = written(rows.mapInArrow(halve(length), "anchor long, content long, row long, place long, alone boolean, lo long, hi long, bytes binary"), "halves")
+        groups = written(parts.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("row", "place", "alone", "lo", "hi", "bytes")).alias("x")), "groups")
+        equal.append(covered(members(parts.drop("bytes"), groups), length))
+        kinds = groups.groupBy("anchor").agg(F.count("*").alias("d"))
+        heavy = written(kinds.where(F.col("d") > SEGMENTS).select("anchor"), "heavy")
+        first = groups.select("anchor", "x.row", "x.place", (F.col("x.alone") & (F.col("n") == 1)).alias("alone"), "x.lo", "x.hi", "x.bytes")
+        light = first.join(F.broadcast(heavy), "anchor", "left_anti").withColumn("id", F.col("anchor"))
+        small.append(only(light, kinds.where((F.col("d") > 1) & (F.col("d") <= SEGMENTS)).select(F.col("anchor").alias("id"))).drop("id", "lo", "hi"))
+        if heavy.isEmpty():
+            return equal, small
+        rows = first.join(F.broadcast(heavy), "anchor", "left_semi")
+
+
 def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, text, spans): what is left of the text's bytes."""
     for batch in batches:
@@ -188,17 +255,34 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns are not looked at.
     """
     texts = texts_of(docs, id_col, text_col).withColumn("row", F.xxhash64("id", "text"))
-    segments = texts.where(F.octet_length("text") >= length).mapInArrow(describe_segments(length), "row long, place long, anchor long, content long")
+    segments = written(texts.where(F.octet_length("text") >= length).mapInArrow(describe_segments(length), "row long, place long, anchor long, content long"), "cut")
+    crowded = written(segments.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SEGMENTS).select("anchor"), "crowded")  # of so many rows each: few
     alike = Window.partitionBy("anchor", "content")
     marked = written(
-        segments.repartition("anchor")
+        segments.join(F.broadcast(crowded), "anchor", "left_anti").repartition("anchor")
         .select("*", F.count("*").over(alike).alias("n"), F.row_number().over(alike.orderBy("row", "place")).alias("k"), (F.min("content").over(_by("anchor")) < F.max("content").over(_by("anchor"))).alias("open"))
         .where("n > 1 or open"),
         "segments",
     )
-    equal = marked.where("n > 1").select("row", F.expr(f"place div {ROOM * ROOM}").alias("start"), F.expr(f"place div {ROOM * ROOM} + place % {ROOM} + {length - 1}").alias("end"))
-    held = marked.where("open and k = 1").groupBy("row").agg(F.collect_list(F.struct("anchor", "place", (F.col("n") == 1).alias("alone"))).alias("held"))  # of one text
+    equal = covered(marked.where("n > 1"), length)
+    entered = marked.where("open and k = 1").select("anchor", "row", "place", (F.col("n") == 1).alias("alone"))
+    heavy = None
+    if not crowded.isEmpty():
+        rows = segments.join(F.broadcast(crowded), "anchor", "left_semi")
+        groups = written(rows.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("x")), "groups")
+        equal = equal.union(covered(members(rows, groups), length))
+        kinds = written(groups.groupBy("anchor").agg(F.count("*").alias("d")).where("d > 1"), "kinds")
+        entered = entered.union(groups.join(F.broadcast(kinds), "anchor", "left_semi").select("anchor", "x.row", "x.place", F.col("n") == 1))
+        heavy = F.broadcast(kinds.where(F.col("d") > SEGMENTS).select("anchor"))
+    held = entered.groupBy("row").agg(F.collect_list(F.struct("anchor", "place", "alone")).alias("held"))  # of one text
     opened = written(texts.select("row", "text").join(held, "row").mapInArrow(fetch_segments(length), "anchor long, row long, place long, alone boolean, bytes binary"), "opened")
+    if heavy is not None and not kinds.where(F.col("d") > SEGMENTS).isEmpty():
+        spans, small = halved(opened.join(heavy, "anchor", "left_semi"), length)
+        opened = opened.join(heavy, "anchor", "left_anti")
+        for x in small:
+            opened = opened.unionByName(x)
+        for x in spans:
+            equal = equal.union(x)
     found = opened.repartition(spread(opened, SEGMENTS), "anchor").mapInArrow(construct(length), "row long, start long, end long")
     spans = written(equal.union(found).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")  # of one text
     out = texts.join(spans, "row", "left").select("id", "text", "spans").mapInArrow(take_out, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
