@@ -10,6 +10,8 @@ from tests.llm import brute
 
 from voyage.llm import suffix_dedup as suffixes
 from voyage.llm.decontamination import decontaminate
+from voyage.llm.line_dedup import line_dedup
+from voyage.llm.ngram_jaccard import ngram_jaccard_join
 
 
 @pytest.mark.parametrize("block", [8 << 20, 60])
@@ -60,3 +62,50 @@ def test_suffix_dedup_holds_no_whole_hot_anchor(spark, monkeypatch, most):
     out = suffixes.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
     got = {tuple(r) for r in out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
     assert got == brute.repeats(docs)
+
+
+def thue_morse(n):
+    return [bin(k).count("1") % 2 for k in range(n)]
+
+
+@pytest.mark.parametrize("group", [64, 12])
+def test_jaccard_families_larger_than_a_group(spark, monkeypatch, group):
+    """Copies of one original, with and without it, edited in many places, some of them alike; and two texts under one id."""
+    monkeypatch.setattr("voyage.llm.ngram_jaccard.GROUP", group)
+    rng = random.Random(5)
+    rows = []
+    for original in (True, False):
+        base = [f"w{rng.randrange(400)}" for _ in range(90)]
+        rows += [" ".join(base)] if original else []
+        shared = [(rng.randrange(90), f"s{k}") for k in range(4)]
+        for _ in range(45):
+            c = list(base)
+            for at, word in rng.sample(shared, rng.choice([0, 1, 2])):
+                c[at] = word
+            for _ in range(rng.choice([0, 1, 2, 4, 6])):
+                c[rng.randrange(90)] = f"x{rng.randrange(500)}"
+            rows.append(" ".join(c))
+    rows = list(enumerate([*rows, *rows[:5], None, "", "one two"]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {tuple(r) for r in ngram_jaccard_join(frame, n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id").collect()}
+    assert got == brute.jaccard(rows, 3, 90, 100)
+    twice = [(1, rows[0][1]), (1, "a b c d e f"), (2, "a b c d e f"), (3, rows[0][1]), (4, "x y z")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_jaccard_join(spark.createDataFrame(twice, "doc_id long, text string"), n=3, num=90, den=100).collect()}
+    assert {k[0]: v for k, v in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_structured_texts_do_not_fall_together(spark):
+    """Words and lines whose polynomial hashes modulo a power of two are equal."""
+    bits = thue_morse(1024)
+    words = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    frame = spark.createDataFrame([(1, words[0]), (2, words[1])], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_jaccard_join(frame, n=3, num=90, den=100).collect()} == {1: 1, 2: 2}
+    lines = [" ".join(("left", "right")[b ^ k] for b in bits[:512]) for k in (0, 1)]
+    out = line_dedup(spark.createDataFrame([(1, lines[0]), (2, lines[1])], "doc_id long, text string")).collect()
+    assert [r.n_removed for r in out] == [0, 0]
+    items = spark.createDataFrame([(1, words[0])], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate(frame, items).collect()} == {1: 1, 2: 0}
+    halves = ["".join("ab"[b ^ k] for b in bits[:256]) for k in (0, 1)]
+    rows = [(1, "x" * 60 + halves[0]), (2, "y" * 60 + halves[1])]
+    got = {tuple(r) for r in suffixes.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
+    assert got == brute.repeats(rows)

@@ -119,7 +119,7 @@ def scan(items: list[tuple[int, str]], n: int, all_rows: bool, limit: float):
             ids, texts = batch.column("id").to_pylist(), batch.column("text")
             for a, data, offs in hashing.pieces(texts):
                 start, end, first = hashing.word_spans(data, offs, hashing.ALNUM)
-                words = hashing.substring(hashing.running(data, fold=True), start, end)
+                words = hashing.digest(hashing.folded(data), start, end)
                 stretches: dict[int, list[tuple[int, int]]] = {}
                 width = 2 if least > 1 else 1
                 if len(known) and len(words) >= width:

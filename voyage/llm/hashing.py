@@ -1,17 +1,22 @@
-"""Word spans and rolling hashes over whole Arrow batches, as numpy columns.
+"""Word spans and hashes over whole Arrow batches, as numpy columns.
 
-Hashes are 64 bits wide: sum(T[byte] * P**i) taken from running sums, then mixed. Work goes in pieces of whole texts of
-about PIECE bytes, so that memory is bounded by the longest text.
+digest() tells substrings apart: eight bytes at a time go through a mixing chain, so no two texts fall together by their
+structure, as they can where a hash is a polynomial modulo a power of two. running() and substring() are such a
+polynomial; they name the windows of a text quickly, for uses in which a clash costs time but no result. Work goes in
+pieces of whole texts of about PIECE bytes, so that memory is bounded by the longest text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
+#: Longer substrings are hashed one by one.
+LONG = 512
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _tables: dict[str, np.ndarray] = {}
@@ -47,14 +52,36 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["up"], _tables["down"]
 
 
-def _letters(fold: bool) -> np.ndarray:
-    key = "fold" if fold else "plain"
-    if key not in _tables:
-        t = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-        if fold:
-            t[65:91] = t[97:123]
-        _tables[key] = t
-    return _tables[key]
+def _letters() -> np.ndarray:
+    if "letters" not in _tables:
+        _tables["letters"] = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    return _tables["letters"]
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    if "fold" not in _tables:
+        t = np.arange(256, dtype=np.uint8)
+        t[65:91] += 32
+        _tables["fold"] = t
+    return _tables["fold"][data]
+
+
+def digest(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the substrings [start, end) of the bytes; another seed gives an independent one."""
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    eights = np.ndarray((len(data) + 1,), "<u8", buffer=np.concatenate([data, np.zeros(9, np.uint8)]), strides=(1,))
+    low = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+    left = np.flatnonzero((size > 0) & (size <= LONG))
+    at, rest = start[left].astype(np.int64), size[left]
+    while len(left):
+        out[left] = mix(out[left] ^ (eights[at] & low[np.minimum(rest, 8)]))
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8)).digest())
+    return out
 
 
 def pieces(column: pa.Array, most: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -72,16 +99,16 @@ def pieces(column: pa.Array, most: int = PIECE) -> Iterator[tuple[int, np.ndarra
         a = b
 
 
-def running(data: np.ndarray, fold: bool = False) -> np.ndarray:
+def running(data: np.ndarray) -> np.ndarray:
     """Running sums from which substring() takes the hash of any substring."""
     up, _ = _powers(len(data))
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_letters(fold)[data] * up[: len(data)], out=out[1:])
+    np.cumsum(_letters()[data] * up[: len(data)], out=out[1:])
     return out
 
 
 def substring(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of the substrings [a, b)."""
+    """Names of the substrings [a, b): equal for equal ones, and nearly always else different."""
     _, down = _powers(len(sums))
     return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
 
@@ -110,7 +137,7 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
 def text_words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, with A-Z as a-z, and the texts' first word numbers."""
     start, end, first = word_spans(data, offs, kind)
-    return substring(running(data, fold=True), start, end), first
+    return digest(folded(data), start, end), first
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -6,15 +6,21 @@ Documents are sets of hashed word n-grams. Copies of a set meet first, so what f
    link (a pair that links differs in few tokens, and each differing token spoils one range). Equal ranges give equal
    keys; a set with so many empty ranges that they could be all that agrees has keys for these too. So two sets without
    a common key cannot link. Frequent n-grams alone never make a key.
-2. Groups. Each set is verified against the smallest set it shares a key with; the sets joined by these links, cut
-   to GROUP members, are the groups.
-3. Token-group matrix. For two groups that share a key and are not known to be connected, the matrix holds the token
-   union of each. A query set whose tokens overlap a group's union in less than the threshold's share of its own size
-   cannot link with any member. Unions are rows of bits, one for each hashed token: what a query has set and a row has
-   not is missing for certain. Only groups that pass are opened, and their members verified on all tokens.
-
-Groups have a fixed greatest size, so no task holds an unbounded group, and links within what is already connected are
-not expanded into pairs.
+2. Groups. Each set is verified against the smallest set it shares a key with, its lead, in groups of GROUP.
+3. Rounds. A key whose sets are not yet all connected, and that has GROUP sets or fewer, is one group: its sets are verified against
+   each other. A larger key is not compared pair by pair. All its sets are verified against its smallest one, the pivot, and what
+   a set has or lacks against the pivot is its difference. Two sets that link, and are not both linked to the pivot, have
+   part of their differences in common, and their differences differ in few tokens: in the order from rare to
+   frequent, the first few tokens of both differences share a token. These are the keys of the next round. The pivot has no
+   difference and drops out, and edits of a common original, each in another place, fall apart at once.
+
+Token-group matrix: for the groups above, the matrix holds the token union of each. A query set whose tokens overlap a
+group's union in less than the threshold's share of its own size cannot link with any member. Unions are rows of bits, one
+for each hashed token: what a query has set and a row has not is missing for certain. Only groups that pass are opened,
+and their members verified on all tokens.
+
+Rows grow with the number of sets and their keys: no task holds more than a group, nothing is joined pair by pair, and links
+within what is already connected are not looked for.
 """
 
 from __future__ import annotations
@@ -89,18 +95,22 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
 def describe_sets(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, f1, keys, bits, ends = [], [], [], [], [0]
+            size, f1, f2, keys, bits, ends = [], [], [], [], [], [0]
             for tokens in token_sets(batch.column("text"), n):
                 size.append(len(tokens))
-                f1.append(hashing.mix(np.array([np.add.reduce(hashing.mix(tokens)) + np.uint64(len(tokens))], np.uint64))[0] if len(tokens) else np.uint64(0))
+                f1.append(np.add.reduce(hashing.mix(tokens)))
+                f2.append(np.add.reduce(hashing.mix(tokens ^ np.uint64(0xA0761D6478BD642F))))
                 keys.append(signatures(tokens, num, den) if len(tokens) else tokens)
                 bits.append(token_bits(tokens))
                 ends.append(ends[-1] + len(keys[-1]))
             flat = pa.array(hashing.signed(np.concatenate([*keys, np.zeros(0, np.uint64)])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(size, pa.int64()), pa.array(hashing.signed(np.array(f1, np.uint64))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(bits, pa.binary())],
-                ["id", "n_shingles", "set_key", "keys", "bits"],
-            )
+                [
+                    batch.column("id"), pa.array(size, pa.int64()), pa.array(hashing.signed(np.array(f1, np.uint64))), pa.array(hashing.signed(np.array(f2, np.uint64))),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(bits, pa.binary()),
+                ],
+                ["id", "n_shingles", "set_key", "set_check", "keys", "bits"],
+            )
 
     return run
 
@@ -223,66 +233,150 @@ def links_of_tiles(tiles: DataFrame, rows: DataFrame, texts: DataFrame, n: int,
     return written(rows.repartition("tile").sortWithinPartitions("tile", "side", "id").mapInArrow(open_groups(n, num, den), "a long, b long"), "links")
 
 
+def common_tokens(n: int):
+    """Over rows (pivot, side, id, text) sorted by pivot and side, the pivot first: (pivot, tokens, counts) of the tokens that two or more of the differences share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, base, held = None, np.zeros(0, np.uint64), []
+
+        def close() -> list[tuple[int, list, list]]:
+            if not held:
+                return []
+            tokens, n_ = np.unique(np.concatenate(held), return_counts=True)
+            return [(pivot, hashing.signed(tokens[n_ > 1]).tolist(), n_[n_ > 1].tolist())]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["pivot", "tokens", "counts"])
+
+        for batch in batches:
+            found = []
+            for p, side, tokens in zip(batch.column("pivot").to_pylist(), batch.column("side").to_pylist(), token_sets(batch.column("text"), n), strict=True):
+                if p != pivot:
+                    found += close()
+                    pivot, base, held = p, np.zeros(0, np.uint64), []
+                if side == 0:
+                    base = tokens
+                else:
+                    held.append(np.setxor1d(base, tokens, assume_unique=True))
+            yield out(found)
+        yield out(close())
+
+    return run
+
+
+def differences(n: int, num: int, den: int):
+    """Over rows (tile, side, pivot, id, text, tokens, counts) sorted by tile and side, the pivot first: (pivot, id, linked, keys) of each other set.
+
+    keys: the first tokens of the set's difference from the pivot, rare ones first, so many that two sets that link have one in common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, bases, known, often = None, [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            rows = []
+            names = ("tile", "side", "pivot", "id", "tokens", "counts")
+            for (t, side, pivot, i, tokens, counts), own in zip(zip(*(batch.column(c).to_pylist() for c in names), strict=True), token_sets(batch.column("text"), n), strict=True):
+                if t != tile:
+                    tile, bases = t, []
+                if side == 0:
+                    bases.append(own)  # more than one if the pivot's id has more than one text
+                    known, often = np.array(tokens or [], np.int64).view(np.uint64), np.array(counts or [], np.int64)
+                    continue
+                most = (den - num) * len(own) // num  # tokens by which a set that links can differ from this one
+                for base in bases:
+                    apart = np.setxor1d(base, own, assume_unique=True)
+                    same = (len(base) + len(own) - len(apart)) // 2
+                    rank = np.zeros(len(apart), np.int64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, apart), len(known) - 1)
+                        rank = np.where(known[at] == apart, often[at], 0)
+                    first = apart[np.lexsort((hashing.mix(apart), rank))][: most + 1]
+                    keys = hashing.mix(first ^ hashing.mix(np.array([pivot], np.int64).view(np.uint64)))
+                    rows.append((pivot, i, den * same >= num * (len(base) + len(own) - same), hashing.signed(keys).tolist()))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["pivot", "id", "linked", "keys"])
+
+    return run
+
+
+def unsettled(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows (key, id) of keys whose sets are not all connected; nodes that joined (node, component) lacks are alone."""
+    placed = rows.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return rows.join(mixed, "key")
+
+
+def links_of_keys(rows: DataFrame, matrix: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
+    """One round over rows (key, id): verified links (a, b), and the rows of the next round or None."""
+    counted = written(rows.join(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")), "key"), "counted")
+    members = counted.where(F.col("n") <= GROUP).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # of GROUP at most
+    small = members.select(F.xxhash64("ids").alias("tile"), F.explode("ids").alias("id")).distinct().select("tile", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "id")
+    found = links_of_tiles(small, matrix, texts, n, num, den)
+    large = written(counted.where(F.col("n") > GROUP).select("pivot", "id").distinct(), "large")
+    if large.isEmpty():
+        return found, None
+    others = large.where("id <> pivot")
+    rooms = others.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("rooms"))
+    tiles = written(others.join(rooms, "pivot").select("pivot", F.pmod(F.xxhash64("id"), "rooms").alias("room"), "id"), "tiles")
+    heads = tiles.select("pivot", "room").distinct().withColumn("id", F.col("pivot"))
+    sides = tiles.withColumn("side", F.lit(1)).unionByName(heads.withColumn("side", F.lit(0)))
+    dealt = written(sides.join(only(texts, sides), "id").select("pivot", "room", "side", "id", "text"), "dealt")
+    sample = dealt.where("room = 0").repartition("pivot").sortWithinPartitions("pivot", "side")
+    often = sample.mapInArrow(common_tokens(n), "pivot long, tokens array<long>, counts array<long>").where("pivot is not null")
+    told = dealt.withColumn("of", F.when(F.col("side") == 0, F.col("pivot"))).join(often.withColumnRenamed("pivot", "of"), "of", "left")
+    told = told.select(F.xxhash64("pivot", "room").alias("tile"), "side", "pivot", "id", "text", "tokens", "counts").repartition("tile").sortWithinPartitions("tile", "pivot", "side")
+    apart = written(told.mapInArrow(differences(n, num, den), "pivot long, id long, linked boolean, keys array<long>"), "apart")
+    links = found.union(apart.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    return links, written(apart.select(F.explode("keys").alias("key"), "id").distinct(), "next")
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per document: id, n_shingles (size of its n-gram set), component_id (smallest id that links reach, itself included).
 
     Two documents link when den * intersection >= num * union of their sets of distinct word n-grams (A-Z as a-z, words
     end at white space). Null, empty and wordless texts: no n-grams, no links. Repeated rows come back repeated, copies
-    of a set link at any size. Rows without an id are left out. No rows: no rows. Other columns are not looked at.
+    of a set link at any size. Two texts under one id are both looked at, and what links with either links with the id.
+    Rows without an id are left out. No rows: no rows. Other columns are not looked at.
     """
     if not 0 < 65 * den <= 100 * num <= 100 * den:
         raise ValueError("the similarity must be from 0.65 to 1: size classes grow by 1.6")
     texts = texts_of(docs, id_col, text_col)
-    keys = written(texts.mapInArrow(describe_sets(n, num, den), "id long, n_shingles long, set_key long, keys array<long>, bits binary"), "keys")
+    keys = written(texts.mapInArrow(describe_sets(n, num, den), "id long, n_shingles long, set_key long, set_check long, keys array<long>, bits binary"), "keys")
     keys_path = TABLES[-1]
     told = written(keys.drop("keys"), "sets")
     matrix = told.where("n_shingles > 0").select("id", F.col("n_shingles").alias("size"), "bits")
-    sets = told.where("n_shingles > 0").groupBy("set_key", "n_shingles").agg(F.min("id").alias("set_id"))
-    members = told.select("id", "n_shingles", "set_key").join(sets, ["set_key", "n_shingles"], "left")
+    name = ["set_key", "set_check", "n_shingles"]
+    sets = told.where("n_shingles > 0").groupBy(*name).agg(F.min("id").alias("set_id"))
+    members = written(told.select("id", *name).join(sets, name, "left"), "members")
 
-    copies = members.where("id <> set_id").select("id")
-    own = without(keys.where("size(keys) > 0").select("id", "keys"), copies)
+    copies = members.where("id <> set_id").select("id", "set_key")
+    own = without(keys.where("size(keys) > 0").select("id", "set_key", "keys"), copies, "id", "set_key")
     keyed = own.select("id", F.explode("keys").alias("key"))
-    wide = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    wide = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     met = written(keyed.join(wide, "key"), "met")
-    shared = written(met.join(met.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead"), "key"), "shared")
     remove(docs.sparkSession, [keys_path])
+    shared = met.join(met.groupBy("key").agg(F.min("id").alias("lead")), "key")
 
     leads = shared.where("id <> lead").groupBy("id").agg(F.min("lead").alias("lead"))
     rooms = leads.groupBy("lead").agg(F.ceil(F.count("*") / GROUP).alias("rooms"))
-    dealt = leads.join(rooms, "lead").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("rooms")))
-    tiles = dealt.select(F.struct("lead", "chunk").alias("t"), F.col("id"), F.col("lead"))
-    tiles = tiles.select(F.xxhash64("t").alias("tile"), F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("id").alias("id")), F.struct(F.lit(0).alias("side"), F.col("lead").alias("id")))).alias("x")).select("tile", "x.side", "x.id").distinct()
-    first = links_of_tiles(tiles, matrix, texts, n, num, den)
-    joined = components(first)
-
-    family = written(
-        shared.groupBy("id").agg(F.min("lead").alias("lead"))
-        .join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
-        .select("id", F.coalesce("component", "id").alias("component"), F.coalesce("component", "lead").alias("family"), F.col("component").isNotNull().alias("whole")),
-        "family",
-    )
-    rooms = family.groupBy("family", "whole").agg(F.ceil(F.count("*") / GROUP).alias("rooms"))
-    groups = written(
-        family.join(rooms, ["family", "whole"])
-        .select("id", "component", F.xxhash64("family", "whole", F.pmod(F.xxhash64("id"), F.col("rooms"))).alias("group"), "whole"),
-        "groups",
-    )
-    placed = shared.select("key", "id").join(groups, "id").select("key", "group", F.when(F.col("whole"), F.col("component")).alias("one"), "component")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rows = placed.join(mixed, "key").select("key", "group", "one").distinct()
-    pairs = (
-        rows.select("key", F.col("group").alias("g"), F.col("one").alias("g_one"))
-        .join(rows.select("key", F.col("group").alias("h"), F.col("one").alias("h_one")), "key")
-        .where("g < h or (g = h and g_one is null)")
-        .where("not coalesce(g_one = h_one, false)")
-        .select("g", "h")
-        .distinct()
-    )
-    sides = pairs.select(F.xxhash64("g", "h").alias("tile"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("g").alias("group")), F.struct(F.lit(1).alias("side"), F.col("h").alias("group")))).alias("x"))
-    tiles = sides.select("tile", "x.side", "x.group").join(groups.select("group", "id"), "group").select("tile", "side", "id")
-    second = links_of_tiles(tiles, matrix, texts, n, num, den)
-    joined = components(first.union(second))
+    dealt = leads.join(rooms, "lead").withColumn("room", F.pmod(F.xxhash64("id"), F.col("rooms")))
+    pair = F.array(F.struct(F.lit(1).alias("side"), F.col("id").alias("id")), F.struct(F.lit(0).alias("side"), F.col("lead").alias("id")))
+    tiles = dealt.select(F.xxhash64("lead", "room").alias("tile"), F.explode(pair).alias("x")).select("tile", "x.side", "x.id").distinct()
+    links = links_of_tiles(tiles, matrix, texts, n, num, den)
+
+    split = members.groupBy("id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a < b").select("id", "a")  # ids of two texts
+    links = links.union(split.join(members.where("set_id is not null").select("id", F.col("set_id").alias("b")), "id").select("a", "b"))
+    joined = components(links)
+    rows: DataFrame | None = met
+    while rows is not None:
+        rows = written(unsettled(rows, joined).select("key", "id").distinct(), "unsettled")
+        if rows.isEmpty():
+            break
+        found, rows = links_of_keys(rows, matrix, texts, n, num, den)
+        if not found.isEmpty():
+            links = links.union(found)
+            joined = components(links)
     return members.join(joined.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "set_id", "id").alias("component_id")
     )
@@ -291,3 +385,22 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Three-word n-grams at 0.9 over all documents."""
     return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100)
+
+
+#: The same by shingle lists: pairs that share a shingle are counted, and links are followed by least labels.
+ORACLE_OP1 = r"""
+WITH RECURSIVE word AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct([array_to_string(w[k : k + 2], ' ') FOR k IN generate_series(1, greatest(1, len(w) - 2))]) END AS s FROM word
+), same AS (SELECT list_sort(s) AS s, min(id) AS set_id FROM sets WHERE len(s) > 0 GROUP BY 1),
+member AS (SELECT id, len(sets.s) AS n, set_id FROM sets LEFT JOIN same ON list_sort(sets.s) = same.s),
+token AS (SELECT set_id AS id, len(s) AS n, unnest(s) AS t FROM same),
+pairs AS (
+  SELECT x.id AS a, y.id AS b FROM token x JOIN token y ON x.t = y.t AND x.id < y.id AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+  GROUP BY x.id, y.id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+), edge AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(id, top) AS (SELECT id, id FROM (SELECT DISTINCT a AS id FROM edge) UNION SELECT edge.b, reach.top FROM reach JOIN edge ON edge.a = reach.id WHERE reach.top < edge.b),
+least_ AS (SELECT id, min(top) AS component FROM reach GROUP BY id)
+SELECT member.id AS doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component, set_id, member.id) AS component_id FROM member LEFT JOIN least_ ON least_.id = member.set_id
+"""

@@ -24,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Paths of the tables written so far by this process, in order; the whole folder can go when the application has ended.
 TABLES: list[str] = []
-#: Ids that are broadcast at most: 4 MB of longs. Larger sets of ids are joined by a shuffle.
+#: Keys that are broadcast at most: 4 MB a long column. Larger sets of ids are joined by a shuffle.
 IDS = 500_000
 
 
@@ -61,7 +61,7 @@ def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= IDS else ids, "id", "left_semi")
 
 
-def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows with none of the ids: without moving the rows as long as IDS allows, else by a shuffle."""
-    ids = ids.select("id").distinct()
-    return rows.join(F.broadcast(ids) if ids.count() <= IDS else ids, "id", "left_anti")
+def without(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """The rows with none of the keys (columns on): without moving the rows as long as IDS allows, else by a shuffle."""
+    keys = keys.select(*on).distinct()
+    return rows.join(F.broadcast(keys) if keys.count() <= IDS else keys, list(on), "left_anti")

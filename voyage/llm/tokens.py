@@ -24,7 +24,7 @@ KEEP_WORDS = 600_000
 PIECE = 1 << 19
 
 
-def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _classes() -> tuple[np.ndarray, np.ndarray]:
     kind, low = np.full(SIMPLE, STRANGE, np.uint8), np.arange(SIMPLE, dtype=np.uint32)
     for c in [0x09, 0x0A, 0x0D, *range(0x20, 0x7F), *range(0xA1, SIMPLE)]:
         x = chr(c)
@@ -32,7 +32,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(x.lower()) == 1 and unicodedata.is_normalized("NFC", x):
             kind[c] = SPACE if x.isspace() else LETTER if group == "L" else NUMBER if group == "N" else OTHER
             low[c] = ord(x.lower())
-    return kind, low, hashing.mix(np.arange(1, SIMPLE + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+    return kind, low
 
 
 class Encoder:
@@ -43,7 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.kind, self.low, self.letters = _classes()
+        self.kind, self.low = _classes()
         self._forget()
 
     def _forget(self) -> None:
@@ -95,13 +95,10 @@ class Encoder:
         text = np.searchsorted(at, start, side="right") - 1
         keep = ~strange[text] if len(start) else np.zeros(0, bool)
         start, end, text = start[keep], end[keep], text[keep]
-        up, _ = hashing._powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        values = self.letters[np.minimum(low, SIMPLE - 1)]
-        values *= up[:n]
-        np.cumsum(values, out=sums[1:])
-        del values, heads, simple, kind, heads_here, differs, border
-        names = hashing.substring(sums, start, end)
+        wide = np.minimum(low, SIMPLE).astype("<u2").view(np.uint8)
+        del heads, simple, kind, heads_here, differs, border
+        names = hashing.digest(wide, 2 * start, 2 * end)
+        del wide
         different, first, which = np.unique(names, return_index=True, return_inverse=True)
         if len(self.known) + len(different) > KEEP_WORDS:
             self._forget()

@@ -24,10 +24,10 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(text, bucket) of each word and of each longer word's first STEM bytes; not yet distinct."""
     start, end, first = hashing.word_spans(data, offs, hashing.ALNUM)
     text = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    sums = hashing.running(data, fold=True)
-    words = hashing.substring(sums, start, end)
+    low = hashing.folded(data)
+    words = hashing.digest(low, start, end)
     long = end - start > STEM
-    stems = hashing.mix(hashing.substring(sums, start[long], start[long] + STEM) + np.uint64(11))
+    stems = hashing.digest(low, start[long], start[long] + STEM, seed=1)
     buckets = np.concatenate([words, stems]) >> np.uint64(64 - BITS)
     return np.concatenate([text, text[long]]), buckets.astype(np.int64)
 
