@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from voyage.llm.decontamination import ORACLE_OP9, op9_decontamination
-from voyage.llm.line_dedup import op2_line_dedup
+from voyage.llm.line_dedup import ORACLE_OP2, op2_line_dedup
 from voyage.llm.ngram_jaccard import ORACLE_OP1, op1_ngram_jaccard_join
 from voyage.llm.packing import op10_best_fit_packing
 from voyage.llm.pii import op6_pii
@@ -21,4 +21,4 @@ QUERIES = {
     )
 }
 
-ORACLE = {"op1_ngram_jaccard_join": ORACLE_OP1, "op9_decontamination": ORACLE_OP9}
+ORACLE = {"op1_ngram_jaccard_join": ORACLE_OP1, "op2_line_dedup": ORACLE_OP2, "op9_decontamination": ORACLE_OP9}
