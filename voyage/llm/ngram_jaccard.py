@@ -130,12 +130,12 @@ def narrowed(row: bytes, wide: int) -> np.ndarray:
 
 
 def qualifying(num: int, den: int):
-    """Over rows (tile, side, id, size, bits) sorted by tile: the rows that the bound leaves a partner on the other side."""
+    """Over rows (tile, side, id, size, bits) sorted by tile: the rows that the bound leaves a partner on the other side; 2 is on both."""
 
     def pick(ids: list[int], sides: list[int], sizes: list[int], bits: list[bytes]) -> np.ndarray:
         side, size = np.array(sides), np.array(sizes)
         keep = np.zeros(len(ids), bool)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(left) or not len(right):
             return keep
         wide = 8 * min(map(len, bits))
@@ -203,7 +203,7 @@ def matched(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarra
 
 
 def open_groups(n: int, num: int, den: int):
-    """Over rows (tile, side, id, text) sorted by tile: verified links between side 0 and side 1 of each tile."""
+    """Over rows (tile, side, id, text) sorted by tile: verified links between side 0 and side 1 of each tile; 2 is on both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, sides = None, ([], [])
@@ -217,7 +217,8 @@ def open_groups(n: int, num: int, den: int):
                 if tile != current:
                     found += close()
                     current, sides = tile, ([], [])
-                sides[side].append((i, tokens))
+                for k in (0, 1) if side == 2 else (side,):
+                    sides[k].append((i, tokens))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
         found = close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
@@ -310,8 +311,10 @@ def unsettled(rows: DataFrame, joined: DataFrame) -> DataFrame:
 def links_of_keys(rows: DataFrame, matrix: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
     """One round over rows (key, id): verified links (a, b), and the rows of the next round or None."""
     counted = written(rows.join(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")), "key"), "counted")
-    members = counted.where(F.col("n") <= GROUP).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # of GROUP at most
-    small = members.select(F.xxhash64("ids").alias("tile"), F.explode("ids").alias("id")).distinct().select("tile", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "id")
+    few = counted.where(F.col("n") <= GROUP)
+    kin = few.groupBy("pivot").agg(F.count_distinct("id").alias("kin"))
+    own = F.when(F.col("kin") <= GROUP, F.xxhash64("pivot")).otherwise(F.xxhash64("pivot", "key"))  # all keys of a smallest set in one group, if they fit
+    small = few.join(kin, "pivot").select(own.alias("tile"), F.lit(2).alias("side"), "id").distinct()
     found = links_of_tiles(small, matrix, texts, n, num, den)
     large = written(counted.where(F.col("n") > GROUP).select("pivot", "id").distinct(), "large")
     if large.isEmpty():
