@@ -5,11 +5,13 @@ as many rounds as it has bytes. Only the first 200 bytes of a suffix matter, tho
 overlapping segments at content-defined anchors. The anchor of a 200-byte string is its least hashed 40-byte substring;
 equal strings have equal anchors at the same place, so they lie in segments of the same anchor, at the same column.
 Segments of one anchor that are equal enter the construction once, with their number. Anchors with different segments
-go to one partition, which writes them column by column to an external file and then reads that file from the last column
-to the first. Each round puts one symbol before every segment: a stable sort by it turns the order of the last round's
-suffixes into this round's, which is the collection's Burrows-Wheeler order of that column, and the common prefixes of
-neighbours follow from range minima of the last round's. A suffix that has 200 bytes in common with a neighbour is a
-repeated string.
+go to one partition. There a construction takes whole anchors, SEGMENTS rows or little more, and keeps three sequential files
+beside the file of columns, which is written in the order it is read: for the column reached so far the order of all suffixes, the
+Burrows-Wheeler transform (the symbol before each suffix, in that order) and the common prefixes of neighbours. Each round
+puts one symbol before every segment. It reads the three files once, block by block: a suffix goes behind those with the
+same symbol that were read before it, so the files of the next column are filled symbol by symbol; its common prefix with
+the one before it is one more than the least common prefix passed since that one. A suffix that has 200 bytes in common with a
+neighbour is a repeated string. The files lie in the task's own temporary folder; a task that is lost begins anew.
 
 An anchor with more than SEGMENTS different segments is not held by one task. Its segments are halved by the place that the
 anchor has in their windows; what all windows of a half have in common takes the anchor's place. Equal windows are in the
@@ -33,9 +35,11 @@ from voyage.llm.store import only, spread, texts_of, written
 
 ANCHOR = 40
 ROOM = 1 << 11
-#: Rows of one construction; their columns take about 700 bytes a row on disk.
-SEGMENTS = 30_000
+#: Rows of one construction; its files take about 740 bytes a row on disk. BLOCK of them are read at a time.
+SEGMENTS, BLOCK = 30_000, 1 << 14
 ABSENT = 256
+#: Bytes of segments that leave a task at a time.
+OUT = 4 << 20
 
 
 def cut(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -68,7 +72,7 @@ def cut(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         last = np.append(first[1:], len(start)) - 1
         s, m, windows, text = start[first], best[first], start[last] - start[first] + 1, text[first]
         shift = m - s
-        content = hashing.mix(hashing.substring(sums, s, s + windows + length - 1) + shift.astype(np.uint64))
+        content = hashing.mix(hashing.digest(data, s, s + windows + length - 1) + shift.astype(np.uint64))
         yield a + text, s - offs[text], shift, windows, name[m], content
 
 
@@ -85,20 +89,73 @@ def describe_segments(length: int):
 
 def fetch_segments(length: int):
     """Rows (row, text, held): the bytes of the held segments."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["anchor", "row", "place", "alone", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row, text, held in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), batch.column("held").to_pylist(), strict=True):
-                data = text.encode()
-                for x in held:
+            out, size = [], 0
+            for k in range(batch.num_rows):
+                row, data = batch.column("row")[k].as_py(), batch.column("text")[k].as_py().encode()
+                for x in batch.column("held")[k].as_py():
                     windows, start = x["place"] % ROOM, x["place"] // ROOM // ROOM
                     out.append((x["anchor"], row, x["place"], x["alone"], data[start : start + windows + length - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["anchor", "row", "place", "alone", "bytes"])
+                    size += windows + length
+                    if size > OUT:
+                        yield packed(out)
+                        out, size = [], 0
+            yield packed(out)
 
     return run
 
 
+class Files:
+    """The order, transform and common prefixes of one column's suffixes, each in a file that is read from front to back."""
+
+    KINDS = (("order", np.int32), ("transform", np.uint16), ("common", np.int16))
+
+    def __init__(self, folder: str, name: str):
+        self.paths = [os.path.join(folder, f"{name}-{what}") for what, _ in self.KINDS]
+
+    def write(self, *columns: np.ndarray) -> None:
+        for path, column, (_, kind) in zip(self.paths, columns, self.KINDS, strict=True):
+            column.astype(kind).tofile(path)
+
+    def opened(self, n: int) -> list[np.memmap]:
+        return [np.memmap(path, kind, "w+", shape=(n,)) for path, (_, kind) in zip(self.paths, self.KINDS, strict=True)]
+
+    def blocks(self, n: int) -> Iterator[list[np.ndarray]]:
+        for at in range(0, n, BLOCK):
+            yield [np.fromfile(path, kind, min(BLOCK, n - at), offset=at * np.dtype(kind).itemsize) for path, (_, kind) in zip(self.paths, self.KINDS, strict=True)]
+
+
+def insert_column(old: Files, new: Files, n: int, counts: np.ndarray, before: np.ndarray, length: int) -> None:
+    """One round: the column that old's transform holds is put before all suffixes. counts: how often it has each symbol; before: the column before it."""
+    order, transform, common = new.opened(n)
+    upto = np.concatenate(([0], np.cumsum(counts)))[:-1]
+    least = np.full(ABSENT + 1, -1, np.int64)  # the least common prefix since a symbol's last suffix; -1: none so far
+    for own, symbol, shared in old.blocks(n):
+        to = np.argsort(symbol, kind="stable")
+        s, at = symbol[to], to
+        first = np.concatenate(([True], s[1:] != s[:-1]))
+        heads = np.flatnonzero(first)
+        front, back = np.minimum.accumulate(shared), np.minimum.accumulate(np.append(np.int16(length), shared[::-1]))[::-1]
+        within = np.minimum.reduceat(np.append(shared, 0), at + 1)  # from one suffix of a symbol to its next
+        gap = np.concatenate(([0], within[:-1])).astype(np.int64)
+        gap[heads] = np.minimum(least[s[heads]], front[at[heads]])
+        value = np.where((s == ABSENT) | (gap < 0), 0, np.minimum(gap + 1, length))
+        place = upto[s] + np.arange(len(s)) - heads[np.cumsum(first) - 1]
+        order[place], transform[place], common[place] = own[at], before[own[at]], value
+        upto[s[heads]] += np.diff(np.append(heads, len(s)))
+        tails = at[np.append(heads[1:], len(s)) - 1]
+        least = np.where(least >= 0, np.minimum(least, front[-1]), -1)
+        least[s[heads]] = back[tails + 1]
+    for x in (order, transform, common):
+        x.flush()
+
+
 def repeated_windows(segments: list[bytes], shifts: np.ndarray, length: int) -> np.ndarray:
     """Flags (column, segment): the string of length bytes from that column on is also in another segment at that column."""
     n, left = len(segments), length - ANCHOR
@@ -110,46 +167,40 @@ def repeated_windows(segments: list[bytes], shifts: np.ndarray, length: int) ->
         base = np.concatenate(([0], np.cumsum(size)))[:-1]
         joined = np.frombuffer(b"".join(segments), np.uint8)
         with open(path, "wb") as file:
-            for c in range(columns):
+            for c in range(columns - 1, -1, -1):
                 at = c - (left - shifts)
                 there = np.flatnonzero((at >= 0) & (at < size))
                 column = np.full(n, ABSENT, np.uint16)
                 column[there] = joined[base[there] + at[there]]
                 column.tofile(file)
-        order, common = np.arange(n), np.zeros(n + 1, np.int16)
+        old, new = Files(folder, "a"), Files(folder, "b")
         with open(path, "rb") as file:
+            column = np.fromfile(file, np.uint16, n)
+            old.write(np.arange(n), column, np.zeros(n))
             for c in range(columns - 1, -1, -1):
-                file.seek(2 * n * c)
-                symbol = np.fromfile(file, np.uint16, n)[order]
-                to = np.argsort(symbol, kind="stable")
-                symbol = symbol[to]
-                runs = np.minimum.reduceat(common, to + 1)
-                same = (symbol[1:] == symbol[:-1]) & (symbol[1:] != ABSENT)
-                common[1:n] = np.where(same, np.minimum(runs[:-1] + 1, length), 0)
-                common[n] = 0
-                order = order[to]
+                before = np.fromfile(file, np.uint16, n) if c else np.full(n, ABSENT, np.uint16)
+                insert_column(old, new, n, np.bincount(column, minlength=ABSENT + 1), before, length)
+                old, new, column = new, old, before
                 if c <= left:
-                    enough = common >= length
-                    flags[c, order] = enough[:n] | enough[1:]
+                    last = -1
+                    for own, _, common in old.blocks(n):
+                        here = common >= length
+                        flags[c, own] |= here
+                        flags[c, own[:-1]] |= here[1:]
+                        if last >= 0:
+                            flags[c, last] |= here[0]
+                        last = own[-1]
     return flags
 
 
 def construct(length: int):
-    """Rows (anchor, row, place, alone, bytes) of whole anchors: (row, start, end) of the repeated runs of what is alone."""
+    """Rows (anchor, row, place, alone, bytes) sorted by anchor: (row, start, end) of the repeated runs of what is alone."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, places, alone, segments = [], [], [], []
-        for batch in batches:
-            rows.append(batch.column("row").to_numpy())
-            places.append(batch.column("place").to_numpy())
-            alone.append(batch.column("alone").to_numpy(zero_copy_only=False))
-            segments += batch.column("bytes").to_pylist()
-        if not segments:
-            return
-        rows, places, alone = np.concatenate(rows), np.concatenate(places), np.concatenate(alone)
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, places, alone = batch.column("row").to_numpy(), batch.column("place").to_numpy(), batch.column("alone").to_numpy(zero_copy_only=False)
         start, shift, windows = places // ROOM // ROOM, places // ROOM % ROOM, places % ROOM
         left = length - ANCHOR
-        flags = repeated_windows(segments, shift, length)
+        flags = repeated_windows(batch.column("bytes").to_pylist(), shift, length)
         column = np.arange(left + 1)[:, None] - (left - shift)[None, :]
         flags &= (column >= 0) & (column < windows[None, :]) & alone[None, :]
         padded = np.zeros((left + 3, len(rows)), bool)
@@ -158,7 +209,23 @@ def construct(length: int):
         _, last = np.nonzero((padded[:-1] & ~padded[1:]).T)
         begin = start[k] + first - (left - shift[k])
         end = start[k] + last - 1 - (left - shift[k]) + length
-        yield pa.RecordBatch.from_arrays([pa.array(rows[k]), pa.array(begin), pa.array(end)], ["row", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[k]), pa.array(begin), pa.array(end)], ["row", "start", "end"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= SEGMENTS:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                anchor = whole.column("anchor").to_numpy()
+                upto = int(np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))[-1])  # the last anchor may go on
+                if upto:
+                    yield found(whole.slice(0, upto))
+                held = [whole.slice(upto)]
+        if held:
+            yield found(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     return run
 
@@ -174,7 +241,7 @@ def halve(length: int):
                 alone = part.column("alone").to_numpy(zero_copy_only=False)
                 held = part.column("bytes").to_pylist()
                 data = b"".join(held)
-                sums = hashing.running(np.frombuffer(data, np.uint8))
+                each = np.frombuffer(data, np.uint8)
                 base = np.concatenate(([0], np.cumsum([len(x) for x in held])))[:-1]
                 start, shift, windows = place // ROOM // ROOM, place // ROOM % ROOM, place % ROOM
                 middle = (lo + hi + 1) // 2
@@ -182,9 +249,9 @@ def halve(length: int):
                     first, last = np.maximum(a, shift - windows + 1), np.minimum(b, shift)
                     x = np.flatnonzero(first <= last)
                     a, b, first, last, anchor = a[x], b[x], first[x], last[x], (base + shift)[x]
-                    key = hashing.mix(hashing.substring(sums, anchor - a, anchor + length - b) + (a * ROOM + b).astype(np.uint64))
+                    key = hashing.mix(hashing.digest(each, anchor - a, anchor + length - b) + (a * ROOM + b).astype(np.uint64))
                     u, v = anchor - last, anchor - first + length
-                    content = hashing.mix(hashing.substring(sums, u, v) + last.astype(np.uint64))
+                    content = hashing.mix(hashing.digest(each, u, v) + last.astype(np.uint64))
                     at = ((start[x] + shift[x] - last) * ROOM + last) * ROOM + last - first + 1
                     cuts = pa.array([data[i:j] for i, j in zip(u.tolist(), v.tolist(), strict=True)], pa.binary())
                     columns = [pa.array(hashing.signed(key)), pa.array(hashing.signed(content)), pa.array(row[x]), pa.array(at), pa.array(alone[x]), pa.array(a), pa.array(b), cuts]
@@ -283,7 +350,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             opened = opened.unionByName(x)
         for x in spans:
             equal = equal.union(x)
-    found = opened.repartition(spread(opened, SEGMENTS), "anchor").mapInArrow(construct(length), "row long, start long, end long")
+    found = opened.repartition(spread(opened, SEGMENTS), "anchor").sortWithinPartitions("anchor").mapInArrow(construct(length), "row long, start long, end long")
     spans = written(equal.union(found).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")  # of one text
     out = texts.join(spans, "row", "left").select("id", "text", "spans").mapInArrow(take_out, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)
