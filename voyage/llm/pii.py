@@ -1,8 +1,11 @@
-"""Personal data: fixed patterns as seeds, then bootstrapped contextual extraction. DataFrame functions only.
-
-Seeds are what the patterns of e-mail, IP, card and telephone find. Identifier-like tokens and the word before each form a
-bipartite graph of lexical patterns and instances. Confidence goes from seeds to patterns and from patterns to instances, round by
-round, as joins and grouped sums; patterns of high confidence then mark instances that no fixed pattern finds (kind id).
+"""Personal data: fixed patterns, then bootstrapped contextual extraction. DataFrame functions only.
+
+Seeds are what the patterns of e-mail, IP, card and telephone find, and values in the shape of keys (SECRET). A lexical pattern is
+a label, the sign that sets it apart from a value (=, :, #, an opening quote or bracket) and whether the value is closed again:
+`token = "` and `"`. Patterns and all values that stand in them, seeds or not, form a bipartite graph; plain words count
+against a pattern. Confidence goes from seeds to patterns and from patterns to values, round by round, as joins and grouped sums: a value
+that a good pattern shares with another one speaks for that one too. Patterns of high confidence then mark all their
+values, whatever their shape, as identifiers (kind id).
 """
 
 from __future__ import annotations
@@ -14,18 +17,21 @@ from pyspark.sql import functions as F
 
 from voyage.llm.store import written
 
-#: The four kinds as fixed by the contract; quantifiers are possessive where nothing that follows could use their characters.
+#: The four kinds as fixed by the contract. Quantifiers are possessive where nothing that follows could use their characters; a run that
+#: cannot match from its first character (or from where the last match ended) is not tried again from inside.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++(?:\.[0-9]++){3}",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 ORDER = ("email", "ip", "card", "phone", "id")
-#: An identifier-like token: six characters or more of which three are digits.
-TOKEN = r"[A-Za-z0-9+][A-Za-z0-9@._+-]{5,}+"
+#: A label, its sign, a value of six characters or more, and what closes it.
+IN_CONTEXT = r"""(?<![\p{L}\p{N}_.-])([\p{L}_][\p{L}\p{N}_.-]*+)(\s{0,3}[=:#]\s{0,3}["'(\[<]?|\s{1,3}["'(\[<])([^\s"'()\[\]<>,;]{6,})(["')\]>]?)"""
+#: Values that are keys by their shape: 24 hexadecimal digits or more of both sorts, or 20 or more of small and capital letters and digits.
+SECRET = r"\A(?:(?=(?:[^0-9]*[0-9]){4})(?=(?:[^a-f]*[a-f]){2})[0-9a-f]{24,}|(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])(?=(?:[^0-9]*[0-9]){3})[A-Za-z0-9_/+]{20,}=*)\z"
 BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-ROUNDS, SUPPORT, SURE, WINDOW = 3, 3, 0.8, 48
+ROUNDS, SUPPORT, SURE = 3, 3, 0.8
 
 
 def matches(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Column:
@@ -81,56 +87,62 @@ def listed(spans: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """array<struct<start, end, value, pattern, seed>>: identifier-like tokens with the word before them."""
-    tokens = matches(text, TOKEN, lambda m: m.rlike("(?:[0-9][^0-9]*){3}"))
+    """array<struct<start, end, value, pattern, seed>>: the values that stand in a lexical pattern."""
+    found = matches(text, IN_CONTEXT, lambda m: F.lit(True))
 
     def one(m: Column) -> Column:
-        from_ = F.greatest(m["start"] - WINDOW, F.lit(0))
-        left = F.lower(F.substr(text, from_ + 1, m["start"] - from_))
-        pattern = F.regexp_extract(left, r"(\S*\s*\S*)\s*\z", 1)
-        seed = F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("value"), F.regexp_extract(pattern, r"(\S*\s*)\z", 1).alias("pattern"), seed.alias("seed"))
+        group = lambda k: F.regexp_extract(m["match"], IN_CONTEXT, k)
+        start = m["start"] + F.length(group(1)) + F.length(group(2))
+        end = start + F.length(group(3))
+        seed = group(3).rlike(SECRET) | F.exists(base, lambda b: (b["start"] < end) & (start < b["end"]))
+        pattern = F.concat_ws(" ", F.lower(group(1)), F.regexp_replace(group(2), r"\s", ""), group(4))
+        return F.struct(start.alias("start"), end.alias("end"), group(3).alias("value"), pattern.alias("pattern"), seed.alias("seed"))
 
-    return F.transform(tokens, one)
+    return F.transform(found, one)
 
 
 def confident(graph: DataFrame) -> DataFrame:
     """(pattern) of high confidence from rows (pattern, value, seed).
 
-    A pattern's confidence is its instances' summed confidence over their number plus one; an instance's is that of its best pattern, seeds
-    have 1. SUPPORT different seeds at least stand behind a pattern that counts.
+    A pattern's confidence is its values' summed confidence over their number plus one, so rare patterns count little; a value's is
+    that of its best pattern, seeds have 1. SUPPORT different values of confidence SURE or more stand behind a pattern that
+    counts.
     """
     edges = written(graph.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("int")).alias("seed")), "edges")
     strength = edges.groupBy("value").agg(F.max("seed").cast("double").alias("c"))
     for k in range(ROUNDS):
-        scored = edges.join(strength, "value").groupBy("pattern").agg((F.sum("c") / (F.count("*") + 1)).alias("p"), F.sum("seed").alias("seeds")).where(F.col("seeds") >= SUPPORT)
+        scored = edges.join(strength, "value").groupBy("pattern").agg((F.sum("c") / (F.count("*") + 1)).alias("p"), F.count_if(F.col("c") >= SURE).alias("support"))
+        scored = scored.where(F.col("support") >= SUPPORT)
         if k + 1 == ROUNDS:
             return scored.where(F.col("p") >= SURE).select("pattern")
-        strength = written(edges.join(scored, "pattern", "left").groupBy("value").agg(F.greatest(F.max("seed").cast("double"), F.coalesce(F.max("p"), F.lit(0.0))).alias("c")), "strength")
+        best = F.greatest(F.max("seed").cast("double"), F.coalesce(F.max("p"), F.lit(0.0)))
+        strength = written(edges.join(scored, "pattern", "left").groupBy("value").agg(best.alias("c")), "strength")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, base and spans (arrays of start, order, end; places in code points, end exclusive).
 
-    base holds the fixed kinds' spans, spans those and what the method adds. Null text: empty. Rows without an id come
-    back with their spans; repeated rows come back repeated. No rows: no rows. Other columns are not looked at.
+    base holds the fixed kinds' spans, spans those and what the method adds: values of confident patterns that no base span
+    overlaps. Null text: empty. Rows without an id come back with their spans; repeated rows come back repeated. No rows: no
+    rows. Other columns are not looked at.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("row")).withColumn("base", base_spans(F.col("text")))
-    tokens = F.when(F.col("text").rlike("[0-9]"), candidates(F.col("text"), F.col("base")))
-    told = written(rows.select("id", "row", "base", tokens.alias("tokens")), "seeds")
-    graph = told.select("row", F.explode("tokens").alias("t")).select("row", "t.*").where("trim(pattern) <> ''")
+    text, key = F.coalesce(F.col(text_col), F.lit("")), ["row", "check"]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("row"), F.hash(text).alias("check")).withColumn("base", base_spans(F.col("text")))
+    values = F.when(F.col("text").rlike(r"[=:#\"'(\[<]"), candidates(F.col("text"), F.col("base")))
+    told = written(rows.select("id", *key, "base", values.alias("values")), "seeds")
+    graph = told.select(*key, "base", F.explode("values").alias("v")).select(*key, "base", "v.*")
     sure = confident(graph.select("pattern", "value", "seed"))
-    new = graph.where("not seed").join(sure, "pattern").groupBy("row").agg(F.collect_set(F.struct(F.col("start"), F.lit(ORDER.index("id")).alias("order"), F.col("end"))).alias("more"))  # of one text
-    return told.join(new, "row", "left").select(F.col("id").alias(id_col), "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")).alias("spans"))
+    free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    span = F.struct(F.col("start"), F.lit(ORDER.index("id")).alias("order"), F.col("end"))
+    new = graph.where(free).join(sure, "pattern").groupBy(*key).agg(F.collect_set(span).alias("more"))  # of one text
+    return told.join(new, key, "left").select(F.col("id").alias(id_col), "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")).alias("spans"))
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
-    """All whole documents."""
+    """All whole documents; n_id counts the spans that the method adds."""
     out = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("base", lambda s: s["order"] == ORDER.index(kind))).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("spans", lambda s: s["order"] == ORDER.index(kind))).cast("long").alias(f"n_{kind}")
 
-    counts = map(count, KINDS)
-    return out.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *map(count, ORDER), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

@@ -1,8 +1,9 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Grades are ordered: 0 not toxic, 1 toxic, 2 toxic with many marked features. One weight vector serves all thresholds:
-P(grade > k) = sigmoid(w.x - cut_k). Features are presences of hashed words and word beginnings. The model is fitted on a
-bounded sample of labelled rows (SAMPLE of each label, by id hash) and scored over all documents where they lie.
+Grades are ordered, from 0 (not toxic) to as many as the labels hold, and come from the labels alone. One weight vector serves all
+thresholds: P(grade > k) = sigmoid(w.x - cut_k). Features are presences of hashed words and word beginnings. The model is
+fitted on a bounded sample of labelled rows (SAMPLE of grade 0, as many of all others together, by id hash) and scored over all
+documents where they lie.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from voyage.llm import hashing
 from voyage.llm.store import texts_of
 
-BITS, SAMPLE, STEM, SEVERE = 18, 3000, 5, 4
+BITS, SAMPLE, STEM = 18, 3000, 5
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,13 +44,15 @@ def collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(lists, pa.list_(pa.int32()))], ["y", "x"])
 
 
-def fit(y: np.ndarray, rows: list[np.ndarray], steps: int = 1500, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, cuts) of the proportional-odds model with grades 0 to 2, from 0/1 labels and rows of feature numbers.
+def fit(grade: np.ndarray, rows: list[np.ndarray], steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, cuts) of the proportional-odds model, from grades 0, 1, ... and rows of feature numbers.
 
-    Only features that go with the label far beyond chance (four standard deviations) get weights. With one label alone
-    nothing is toxic.
+    Only features that go with toxic grades (above 0) far beyond chance (four standard deviations) get weights. Without rows of
+    grade 0 and of others nothing is toxic.
     """
-    weights, cuts = np.zeros(1 << BITS, np.float32), np.array([30.0, 31.0])
+    levels = int(grade.max(initial=0))
+    weights, cuts = np.zeros(1 << BITS, np.float32), 30.0 + np.arange(max(1, levels))
+    y = (grade > 0).astype(float)
     if len(y) == 0 or y.min() == y.max():
         return weights, cuts
     row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
@@ -64,30 +67,26 @@ def fit(y: np.ndarray, rows: list[np.ndarray], steps: int = 1500, rate: float =
     place[used] = np.arange(len(used))
     keep = place[flat] >= 0
     row, column = row[keep], place[flat[keep]]
-    marks = np.bincount(row, weights=(z[used][column] > 0).astype(float), minlength=len(y))
-    grade = y * (1 + (marks >= SEVERE))
-    theta = np.concatenate([np.zeros(len(used)), [0.0, 1.0]])
+    theta = np.concatenate([np.zeros(len(used)), np.arange(levels, dtype=float)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
+    k, i = grade.astype(int), np.arange(len(y))
     for t in range(1, steps + 1):
         s = np.bincount(row, weights=theta[column], minlength=len(y))
-        c = theta[-2:]
+        c = theta[-levels:]
         at = 1 / (1 + np.exp(-np.clip(s[None, :] - c[:, None], -40, 40)))
         upper, lower = np.vstack([np.ones_like(s), at]), np.vstack([at, np.zeros_like(s)])
-        k = grade.astype(int)
-        i = np.arange(len(y))
         share = np.maximum(upper[k, i] - lower[k, i], 1e-12)
-        slope_up = np.where(k > 0, upper[k, i] * (1 - upper[k, i]), 0) / share
-        slope_low = np.where(k < 2, lower[k, i] * (1 - lower[k, i]), 0) / share
+        slope_up, slope_low = upper[k, i] * (1 - upper[k, i]) / share, lower[k, i] * (1 - lower[k, i]) / share
         by_score = -(slope_up - slope_low) / len(y)
         grad = np.zeros_like(theta)
-        grad[:-2] = np.bincount(column, weights=by_score[row], minlength=len(used)) + decay * theta[:-2]
-        for j in (1, 2):
-            grad[-3 + j] = (np.sum(slope_up[k == j]) - np.sum(slope_low[k == j - 1])) / len(y)
+        grad[:-levels] = np.bincount(column, weights=by_score[row], minlength=len(used)) + decay * theta[:-levels]
+        above, below = np.bincount(k, weights=slope_up, minlength=levels + 1), np.bincount(k, weights=slope_low, minlength=levels + 1)
+        grad[-levels:] = (above[1:] - below[:-1]) / len(y)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        theta[-1] = max(theta[-1], theta[-2] + 1e-3)
-    weights[used] = theta[:-2]
-    return weights, theta[-2:]
+        theta[-levels:] = np.maximum.accumulate(theta[-levels:] - 1e-3 * np.arange(levels)) + 1e-3 * np.arange(levels)
+    weights[used] = theta[:-levels]
+    return weights, theta[-levels:]
 
 
 def score(weights: np.ndarray, cuts: np.ndarray):
@@ -101,35 +100,47 @@ def score(weights: np.ndarray, cuts: np.ndarray):
                 total.append(np.bincount(both >> BITS, weights=weights[both & ((1 << BITS) - 1)], minlength=len(offs) - 1))
             s = np.concatenate([*total, np.zeros(0)])
             at = 1 / (1 + np.exp(-np.clip(s[None, :] - cuts[:, None], -40, 40)))
-            grade = np.where(at[0] < 0.5, 0, np.where(at[1] < 0.5, 1, 2))
+            grade = (at >= 0.5).sum(axis=0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(at.sum(axis=0)), pa.array(grade.astype(np.int32)), pa.array(at[0] >= 0.5)], ["id", "expected_severity", "grade", "toxic"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on at most sample documents of each label. Null labels and ids, and labels without a document, are left out."""
-    marked = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) > 0).cast("double").alias("y"))
-    picked = [marked.where(f"y = {k}").orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
-    chosen = picked[0].union(picked[1]).groupBy("id").agg(F.max("y").alias("y"))
-    rows = texts_of(docs, id_col, text_col).join(F.broadcast(chosen), "id")  # twice the sample at most
-    held = rows.select("y", "text").mapInArrow(collect_features, "y double, x array<int>").toPandas()
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Fit on at most sample documents of grade 0 and about as many of the others, each grade alike.
+
+    An id with several grades counts with the highest. Null grades and ids, and labels without a document, are left out.
+    """
+    marked = labels.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(grade_col).cast("int")).alias("y"))
+    levels = marked.agg(F.coalesce(F.max("y"), F.lit(0))).first()[0]
+    chosen = marked.where("y <= 0").orderBy(F.xxhash64("id"), "id").limit(sample)
+    for k in range(1, levels + 1):
+        chosen = chosen.union(marked.where(f"y = {k}").orderBy(F.xxhash64("id"), "id").limit(-(-sample // levels)))
+    rows = texts_of(docs, id_col, text_col).join(F.broadcast(chosen), "id")  # about twice the sample at most
+    held = rows.select("y", "text").mapInArrow(collect_features, "y int, x array<int>").toPandas()
     held["x"] = [np.asarray(x) for x in held["x"]]
     order = sorted(range(len(held)), key=lambda i: (held["y"][i], held["x"][i].tobytes()))
-    return fit(held["y"].to_numpy(dtype=float)[order], [held["x"][i] for i in order])
+    return fit(np.maximum(held["y"].to_numpy(dtype=float)[order], 0), [held["x"][i] for i in order])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
-    """Per row: id, expected_severity (0 to 2), grade (the likeliest side of each cut), toxic (grade above 0).
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample: int = SAMPLE) -> DataFrame:
+    """Per row: id, expected_severity (0 to the highest grade), grade (the likelier side of each cut), toxic (grade above 0).
 
-    Null, empty and wordless texts get the severity of no features. Rows without an id are left out, repeated rows come
-    back repeated. Without labels of both kinds, nothing is toxic. No rows: no rows. Other columns are not looked at.
+    labels: rows of id and grade. Null, empty and wordless texts get the severity of no features. Rows without an id are left
+    out, repeated rows come back repeated. Without labels of grade 0 and above, nothing is toxic. No rows: no rows. Other
+    columns are not looked at.
     """
-    weights, cuts = train(docs, labels, id_col, text_col, label_col, sample)
+    weights, cuts = train(docs, labels, id_col, text_col, grade_col, sample)
     out = texts_of(docs, id_col, text_col).mapInArrow(score(weights, cuts), "id long, expected_severity double, grade int, toxic boolean")
     return out.withColumnRenamed("id", id_col)
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """The labels table with a grade: 0 not toxic, 1 toxic, 2 toxic and of low quality; null if toxic is null."""
+    grade = F.when(F.col("toxic") > 0, F.when(F.col("quality") > 0, 2).otherwise(1)).when(F.col("toxic").isNotNull(), 0)
+    return labels.withColumn("grade", grade)
+
+
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     """All documents, with the labels of the labels table."""
-    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
