@@ -10,23 +10,44 @@ from voyage.llm.store import LOWER, UPPER, written
 #: (host, path, verdict); a rule fits its host and all subdomains, the longest that fits wins.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
-#: The labelled URL table: written for this operator. Training is bounded by its length.
-BLOCKED = (
-    "http://casino-bonus.example.net/free-spins", "http://win.bet365x.example.org/casino/slots", "https://www.xxxvideos.example.net/adult/1",
-    "http://cheap-pills.example.org/viagra/buy", "https://free-porn.example.com/xxx/clip", "http://poker-online.example.net/bonus/play",
-    "https://adult-dating.example.org/sex/chat", "http://loan-fast.example.net/payday/cash", "https://crack-keygen.example.org/warez/download",
-    "http://torrents.example.net/warez/movie", "https://lottery-win.example.com/prize/claim", "http://seo-links.example.org/spam/backlinks",
-    "https://slots.example.net/casino/jackpot", "http://pharma-discount.example.com/pills/cialis", "https://hot-girls.example.org/webcam/sex",
-    "http://bitcoin-double.example.net/invest/claim", "http://clickads.example.org/popup/offer", "https://replica-watches.example.net/cheap/buy",
-)
-ALLOWED = (
-    "https://www.university.example.org/en/research", "http://news.example.com/en/12345", "https://blog.example.org/2021/05/post",
-    "https://docs.example.net/guide/index.html", "http://library.example.org/catalogue/books", "https://museum.example.net/de/exhibition",
-    "http://m.weather.example.com/forecast/today", "https://science.example.org/articles/7781", "https://school.example.net/courses/history",
-    "http://wiki.example.org/wiki/Geography", "https://recipes.example.com/soup/onion", "http://city.example.net/council/minutes",
-    "https://journal.example.org/volume/12", "https://forum.example.net/topic/open-source", "http://www.garden.example.com/plants/roses",
-    "https://travel.example.org/fr/guide", "http://sports.example.net/es/results", "https://health.example.org/advice/sleep",
-)
+#: The labelled URL table is made of these words, fixed values chosen for this operator: a host is one or two of them, the table has
+#: each of them once or more in the shapes that addresses take. SALES marks hosts to block, TOPICS hosts to allow.
+SALES = (
+    "adult bet bonus bride casino cash cheap cialis click crack credit deal debt diet erotic escort fake free gamble girls hack jackpot keygen loan lottery"
+    " lucky mining payday pills poker porn prize promo replica roulette sex slots spam sugar torrent viagra warez webcam win xxx"
+).split()
+TOPICS = (
+    "academy archive art bank bird book botany bridge city climate college council culture data doctor earth farm film forest garden geology health history hotel"
+    " island journal kitchen language law library market math medicine museum music nature news ocean paper park people plant poetry press radio recipe river school"
+    " science society sport street teacher theatre town train travel union village water weather wiki world"
+).split()
+#: Syllables of invented names, which say nothing for or against a host.
+SYLLABLES = "and ble ed en er ha hat he her ing ion it ly nd nt on or ou re sh st th ti tion wh".split()
+
+
+def labelled_urls(spark: SparkSession, rows: int = 200) -> DataFrame:
+    """(url, blocked, part): a small labelled table; part says which fifth a row is in, words of one fifth are in no other.
+
+    Every second row is to be blocked. Sub-domains, top-level domains, languages and paths are dealt alike to both labels, so that
+    only names tell them apart; half of the allowed rows have invented names.
+    """
+    k, b = F.col("id"), F.col("id") % 2
+    n = F.floor(k / 2).cast("int")
+
+    def pick(words: list[str], at: Column) -> Column:
+        return F.get(F.array(*map(F.lit, words)), F.pmod(at, F.lit(len(words))).cast("int"))
+
+    def hashed(salt: int) -> Column:
+        return F.pmod(F.xxhash64(k, F.lit(salt)), F.lit(1 << 30))
+
+    part = n % 5
+    word = lambda words: pick(words, part + 5 * (F.floor(n / 5) % (len(words) // 5)))  # noqa: E731  of the part's own words
+    invented = F.concat(*(pick(SYLLABLES, hashed(salt)) for salt in (1, 2, 3)))
+    name = F.when(b == 1, F.concat(word(SALES), F.lit("-"), pick([*SALES[::5], "farm", "shop", "now", "online"], hashed(4)))).when(F.floor(n / 5) % 2 == 0, invented).otherwise(word(TOPICS))
+    path = F.concat(F.lit("/"), pick(["en", "de", "fr", "es"], hashed(5)), F.lit("/"), (hashed(6) % 10_000).cast("string"), pick(["", "/", ".html"], hashed(7)))
+    host = F.concat(pick(["", "www.", "m.", "blog."], hashed(8)), name, pick([".example.com", ".example.org", ".example.net"], hashed(9)))
+    url = F.concat(pick(["http://", "https://"], hashed(10)), host, path, pick(["", "?page=2&ref=x", "#top"], hashed(11)))
+    return spark.range(rows).select(url.alias("url"), b.cast("int").alias("blocked"), part.alias("part"))
 
 
 def address(url: Column) -> tuple[Column, Column]:
@@ -43,7 +64,7 @@ def buckets(host: Column, path: Column, n: int, size: int) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.pmod(F.xxhash64(text.substr(i, F.lit(n))), F.lit(size)).cast("int")))
 
 
-def fit(spark: SparkSession, labelled: DataFrame, n: int = 4, size: int = 2048, steps: int = 150, rate: float = 2.0, decay: float = 0.002) -> tuple[float, list[float]]:
+def fit(spark: SparkSession, labelled: DataFrame, n: int = 4, size: int = 4096, steps: int = 150, rate: float = 12.0, decay: float = 0.0003, bias: float = 0.1) -> tuple[float, list[float]]:
     """Intercept and one weight a bucket, from rows (url, blocked) of a small labelled table.
 
     Gradient descent in the dual: a weight vector is a sum of rows times coefficients, so that each step needs only the
@@ -52,23 +73,19 @@ def fit(spark: SparkSession, labelled: DataFrame, n: int = 4, size: int = 2048,
     host, path = address(F.col("url"))
     rows = labelled.select("url", F.col("blocked").cast("double").alias("y"), buckets(host, path, n, size).alias("b"))
     table = rows.agg(F.array_sort(F.collect_list(F.struct("url", "y", "b"))).alias("rows"))
-    table = table.withColumn("kernel", F.expr("transform(rows, r -> transform(rows, s -> 1D + size(array_intersect(r.b, s.b)) / sqrt(size(r.b) * size(s.b))))"))
+    table = table.withColumn("kernel", F.expr(f"transform(rows, r -> transform(rows, s -> {bias}D + size(array_intersect(r.b, s.b)) / sqrt(size(r.b) * size(s.b))))"))
     table = written(table, "kernel")  # else the kernel would be worked out anew within every step
     step = f"""transform(rows, (r, i) -> a[i] * (1 - {rate * decay}D) + {rate}D / size(rows)
         * (r.y - 1 / (1 + exp(-aggregate(sequence(0, size(rows) - 1), 0D, (t, j) -> t + a[j] * kernel[i][j])))))"""
     table = table.withColumn("a", F.expr(f"aggregate(sequence(1, {steps}), transform(rows, r -> 0D), (a, k) -> {step})"))
-    parts = table.select(F.posexplode("rows").alias("i", "r"), "a").select("r.b", (F.expr("a[i]") / F.sqrt(F.size("r.b"))).alias("w"), F.expr("a[i]").alias("bias"))
+    parts = table.select(F.posexplode("rows").alias("i", "r"), "a").select("r.b", (F.expr("a[i]") / F.sqrt(F.size("r.b"))).alias("w"), (F.expr("a[i]") * bias).alias("bias"))
     weights = [0.0] * size
     for bucket, w in parts.select(F.explode("b").alias("bucket"), "w").groupBy("bucket").agg(F.sum("w")).collect():  # size numbers at most
         weights[bucket] = w
     return parts.agg(F.sum("bias")).first()[0], weights
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(u, 1) for u in BLOCKED] + [(u, 0) for u in ALLOWED], "url string, blocked int")
-
-
-def url_filter(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, n: int = 4, size: int = 2048) -> DataFrame:
+def url_filter(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, n: int = 4, size: int = 4096) -> DataFrame:
     """Per row: id, host, path, rule (or null), score (log-odds of block), verdict.
 
     Null url or one without "://": empty host and path, no rule, verdict by the score of the empty address. Repeated rows
