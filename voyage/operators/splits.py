@@ -14,12 +14,28 @@ def candidate_split_dates(events: DataFrame, days_before: int = 90, days_after:
 
     Death rows go where a patient has any; else the patient's last date goes.
     """
-    own = Window.partitionBy("patientid")
-    flagged = events.select("patientid", "date", "event_category").withColumn("dead", F.max((F.col("event_category") == "death").cast("int")).over(own)).withColumn("last", F.max("date").over(own))
-    kept = flagged.where("(dead = 1 and event_category <> 'death') or (dead = 0 and date < last)")
-    lots = events.where("event_category = 'lot'").select("patientid", F.col("date").alias("lot_date")).distinct()
-    near = kept.select("patientid", "date").distinct().join(lots, "patientid").where(F.datediff("date", "lot_date").between(-days_before, days_after))
-    return near.groupBy("patientid", "date").agg(F.min(F.struct(F.abs(F.datediff("date", "lot_date")).alias("gap"), "lot_date")).alias("x")).select("patientid", "date", "x.lot_date")
+    lot = F.when(F.col("event_category") == "lot", F.col("date"))
+    facts = events.groupBy("patientid").agg(F.bool_or(F.col("event_category") == "death").alias("dead"), F.max("date").alias("last"), F.array_sort(F.collect_set(lot)).alias("lots"))  # of one patient
+    dates = events.groupBy("patientid", "date").agg(F.bool_and(F.col("event_category") == "death").alias("death_only"))
+    near = dates.join(facts.where(F.size("lots") > 0), "patientid").where((F.col("dead") & ~F.col("death_only")) | (~F.col("dead") & (F.col("date") < F.col("last"))))
+    gap = lambda lot: F.abs(F.datediff("date", lot))
+    inside = F.filter("lots", lambda lot: F.datediff("date", lot).between(-days_before, days_after))
+    best = F.array_min(F.transform(inside, lambda lot: F.struct(gap(lot).alias("gap"), lot.alias("lot_date"))))
+    return near.select("patientid", "date", best["lot_date"].alias("lot_date")).where("lot_date is not null")
+
+
+def within_days(splits: DataFrame, rows: DataFrame, before: int, after: int, keys: tuple[str, ...] = ("patientid",), at: str = "at") -> DataFrame:
+    """Join splits (keys, date) with rows (keys, at) where at is from before days ahead of the date to after days behind it.
+
+    Both are cut into stretches of as many days, so that the equal keys of the join hold only what is near and a long
+    history is not multiplied by all of its splits.
+    """
+    wide = max(1, before + after)
+    stretch = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / wide)
+    reach = F.explode(F.sequence(stretch(F.date_sub("date", before)), stretch(F.date_add("date", after)))).alias("stretch")
+    left = splits.select("*", reach)
+    right = rows.withColumn("stretch", stretch(F.col(at)))
+    return left.join(right, [*keys, "stretch"]).where(F.datediff(at, "date").between(-before, after)).drop("stretch")
 
 
 def sample_splits_per_lot(candidates: DataFrame, n: int = 10, seed: str = "1") -> DataFrame:
@@ -34,7 +50,7 @@ def eligible_variables(events: DataFrame, splits: DataFrame, lookback: int = 90,
     """(patientid, date, event_name): variables with enough rows before and after each date; dates with none keep a null row."""
     labs = events.where(F.col("event_category").isin(*categories)).select("patientid", F.col("date").alias("at"), "event_name")
     gap = F.datediff("at", "date")
-    around = splits.select("patientid", "date").join(labs, "patientid").where(gap.between(-lookback, horizon))
+    around = within_days(splits.select("patientid", "date"), labs, lookback, horizon)
     counted = around.groupBy("patientid", "date", "event_name").agg(F.count_if(gap <= 0).alias("before"), F.count_if(gap > 0).alias("after"))
     good = counted.where((F.col("before") >= min_previous) & (F.col("after") >= min_after)).select("patientid", "date", "event_name")
     return splits.select("patientid", "date").join(good, ["patientid", "date"], "left")
@@ -61,13 +77,14 @@ def variable_statistics(events: DataFrame, candidates: DataFrame, min_n: int = 5
 
 def forecast_targets(events: DataFrame, splits: DataFrame, variables: DataFrame, stats: DataFrame, horizon: int = 90) -> DataFrame:
     """Values of each split's variables within the horizon and before the next line of therapy, clipped to three deviations."""
-    lots = events.where("event_category = 'lot'").select("patientid", F.col("date").alias("lot"))
+    lots = events.where("event_category = 'lot'").groupBy("patientid").agg(F.collect_set("date").alias("lots"))  # of one patient
     keys = splits.select("patientid", "date").distinct()
-    ends = keys.join(lots, "patientid", "left").groupBy("patientid", "date").agg(F.min(F.when(F.col("lot") > F.col("date"), F.col("lot"))).alias("next_lot"))
+    ends = keys.join(lots, "patientid", "left").select("patientid", "date", F.array_min(F.filter("lots", lambda lot: lot > F.col("date"))).alias("next_lot"))
     asked = ends.join(variables.where("event_name is not null"), ["patientid", "date"])
     labs = events.where("event_category = 'lab'").select("patientid", "event_name", F.col("date").alias("target_date"), number(F.col("event_value")).alias("v"))
     gap = F.datediff("target_date", "date")
-    rows = asked.join(labs, ["patientid", "event_name"]).where((gap > 0) & (gap <= horizon) & F.col("v").isNotNull() & (F.col("next_lot").isNull() | (F.col("target_date") < F.col("next_lot"))))
+    rows = within_days(asked, labs, 0, horizon, ("patientid", "event_name"), "target_date")
+    rows = rows.where((gap > 0) & F.col("v").isNotNull() & (F.col("next_lot").isNull() | (F.col("target_date") < F.col("next_lot"))))
     three = stats.select("event_name", (F.col("mean") - 3 * F.col("std")).alias("low"), (F.col("mean") + 3 * F.col("std")).alias("high"))
     return rows.join(F.broadcast(three), "event_name", "left").select("patientid", "date", "event_name", "target_date", F.greatest(F.least("v", "high"), "low").alias("event_value"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voyage.functions.random import u01
 from voyage.operators import evaluation, landmarks, splits
+from voyage.plans import fixtures
 from voyage.plans.fixtures import constant, events
 from voyage.plans.journeys import CANDIDATES, ELIGIBLE, STATS, U, WITH
 
@@ -31,15 +32,13 @@ AT = 1500
 
 
 def _frames(spark, d):
-    ev, cand = events(spark, d), splits.candidate_split_dates(events(spark, d))
-    stats = splits.variable_statistics(ev, cand)
-    return ev, cand, stats, splits.forecast_targets(ev, cand, splits.eligible_variables(ev, cand), stats)
+    return events(spark, d), fixtures.candidates(spark, d), fixtures.statistics(spark, d), fixtures.targets(spark, d)
 
 
 def _scored(spark, d):
-    ev, _, stats, targets = _frames(spark, d)
-    last = evaluation.copy_forward(ev, targets)
-    return last.withColumn("event_value", F.col("event_value") + 20 * (u01(F.lit("pred"), *evaluation.KEY) - 0.5)), targets, last, stats
+    last = fixtures.last_values(spark, d)
+    pred = last.withColumn("event_value", F.col("event_value") + 20 * (u01(F.lit("pred"), *evaluation.KEY) - 0.5))
+    return pred, fixtures.targets(spark, d), last, fixtures.statistics(spark, d)
 
 
 def _survival(spark, d):
@@ -48,18 +47,17 @@ def _survival(spark, d):
     return rows.select("patientid", F.col("race").alias("group"), F.datediff(F.coalesce("dead", "d1"), "d0").alias("time"), F.col("dead").isNotNull().alias("event"), u01(F.lit("risk"), "patientid").alias("survival"))
 
 
-def _rounded(df, places=4):
+def _rounded(df, places=6):
     return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def d11_sample_variables(spark, d):
-    ev, cand, stats, _ = _frames(spark, d)
-    return splits.sample_variables(splits.eligible_variables(ev, cand), stats)
+    return splits.sample_variables(fixtures.eligible(spark, d), fixtures.statistics(spark, d))
 
 
 def d16_landmark_times(spark, d):
     ev = events(spark, d)
-    return _rounded(landmarks.landmark_times(ev, splits.candidate_split_dates(ev)))
+    return _rounded(landmarks.landmark_times(ev, fixtures.candidates(spark, d)))
 
 
 def d19_cap_outliers(spark, d):
@@ -112,24 +110,24 @@ ORACLE = {
         min(e.date) FILTER (event_category = 'progression') AS progression FROM cand c LEFT JOIN ev e ON e.patientid = c.patientid AND e.date > c.date GROUP BY 1, 2),
         g AS (SELECT *, 'lot' AS category, next_lot AS hit FROM a UNION ALL SELECT *, 'death', death FROM a UNION ALL SELECT *, 'progression', progression FROM a),
         h AS (SELECT *, hit IS NOT NULL AND (category = 'lot' OR next_lot IS NULL OR hit < next_lot) AS seen FROM g)
-        SELECT patientid, date, category, round((CASE WHEN seen THEN hit ELSE coalesce(next_lot, last, date) END - date) / 7, 4) AS true_time, NOT seen AS true_censoring FROM h""",
+        SELECT patientid, date, category, round((CASE WHEN seen THEN hit ELSE coalesce(next_lot, last, date) END - date) / 7, 6) AS true_time, NOT seen AS true_censoring FROM h""",
     "d19_cap_outliers": f"""{WITH}{CANDIDATES}{STATS}, x AS (SELECT event_name, TRY_CAST(event_value AS DOUBLE) AS v, mean - 3 * std AS low, mean + 3 * std AS high, mean_without_outliers AS m, std_without_outliers AS s FROM ev LEFT JOIN stat USING (event_name) WHERE event_category = 'lab')
-        SELECT event_name, CASE WHEN v < low THEN -1 WHEN v > high THEN 1 ELSE 0 END AS capped, count(*) AS n, round(avg(coalesce((greatest(least(v, high), low) - m) / nullif(s, 0), v)), 4) AS mean_value FROM x GROUP BY 1, 2""",
+        SELECT event_name, CASE WHEN v < low THEN -1 WHEN v > high THEN 1 ELSE 0 END AS capped, count(*) AS n, round(avg(coalesce((greatest(least(v, high), low) - m) / nullif(s, 0), v)), 6) AS mean_value FROM x GROUP BY 1, 2""",
     "d21_align_week_start": f"""{WITH}, x AS (SELECT patientid, event_name, date, CAST(isodow(min(date) OVER (PARTITION BY patientid, event_name)) - 1 AS INT) AS "offset" FROM ev WHERE event_category = 'lab')
         SELECT patientid, event_name, date - "offset" AS date, "offset" FROM x""",
-    "d24_copy_forward": f"{TARGETS}{LAST} SELECT patientid, date, event_name, target_date, round(c, 4) AS event_value FROM cf",
+    "d24_copy_forward": f"{TARGETS}{LAST} SELECT patientid, date, event_name, target_date, round(c, 6) AS event_value FROM cf",
     "d26_fill_with_copy_forward": f"""{TARGETS}{LAST}, x AS (SELECT patientid, date, event_name, target_date, c, CASE WHEN {_OFFSET.replace("pred|", "gap|")} < 0.7 THEN c + 20 * ({_OFFSET} - 0.5) END AS p FROM cf)
-        SELECT patientid, date, event_name, target_date, p IS NULL AS filled, round(coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY patientid, date, event_name ORDER BY target_date ROWS UNBOUNDED PRECEDING), c), 4) AS event_value FROM x""",
+        SELECT patientid, date, event_name, target_date, p IS NULL AS filled, round(coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY patientid, date, event_name ORDER BY target_date ROWS UNBOUNDED PRECEDING), c), 6) AS event_value FROM x""",
     "d28_forecast_eval": f"""{TARGETS}{LAST}{SCORED}, capped AS (SELECT patientid, date, event_name, target_date, {_CAP.format("y")} AS y, {_CAP.format("p")} AS p, {_CAP.format("c")} AS c FROM scored LEFT JOIN stat USING (event_name)),
         m AS (SELECT event_name, avg(abs(y - p)) AS mae, avg(abs(y - p) / nullif(abs(y), 0)) AS mape, avg(abs(y - c)) AS cm, avg(abs(y - c) / nullif(abs(y), 0)) AS cp, count(*) AS n_samples,
         count(DISTINCT (patientid, date)) AS n_splits, count(DISTINCT patientid) AS n_patients, count(DISTINCT target_date) AS n_dates FROM capped GROUP BY 1)
-        SELECT event_name, round(mae, 4) AS mae, round(mape, 4) AS mape, n_samples, n_splits, n_patients, n_dates, round(mae / nullif(cm, 0), 4) AS nmae, round(mape / nullif(cp, 0), 4) AS nmape FROM m""",
+        SELECT event_name, round(mae, 6) AS mae, round(mape, 6) AS mape, n_samples, n_splits, n_patients, n_dates, round(mae / nullif(cm, 0), 6) AS nmae, round(mape / nullif(cp, 0), 6) AS nmape FROM m""",
     "d28b_regression_eval": f"""{TARGETS}{LAST}{SCORED}, m AS (SELECT count(*) AS n, avg(abs(y - p)) AS mae, avg((y - p) * (y - p)) AS mse, avg(abs(y - c)) AS cm, avg((y - c) * (y - c)) AS cs FROM scored)
-        SELECT n, round(mae, 4) AS mae, round(mse, 4) AS mse, round(sqrt(mse), 4) AS rmse, round(mae / nullif(cm, 0), 4) AS mae_ratio, round(mse / nullif(cs, 0), 4) AS mse_ratio, round(sqrt(mse / nullif(cs, 0)), 4) AS rmse_ratio FROM m""",
-    "d29_km_censoring": f'{WITH}{SURVIVAL} SELECT "group", CAST(time AS INT) AS time, round(g, 4) AS g FROM km',
+        SELECT n, round(mae, 6) AS mae, round(mse, 6) AS mse, round(sqrt(mse), 6) AS rmse, round(mae / nullif(cm, 0), 6) AS mae_ratio, round(mse / nullif(cs, 0), 6) AS mse_ratio, round(sqrt(mse / nullif(cs, 0)), 6) AS rmse_ratio FROM m""",
+    "d29_km_censoring": f'{WITH}{SURVIVAL} SELECT "group", CAST(time AS INT) AS time, round(g, 6) AS g FROM km',
     "d30_brier_ipcw": f"""{WITH}{SURVIVAL}, here AS (SELECT "group", arg_max(g, time) AS g_at FROM km WHERE time <= {AT} GROUP BY 1),
         x AS (SELECT surv.*, km.g, coalesce(here.g_at, 1) AS g_at FROM surv JOIN km USING ("group", time) LEFT JOIN here USING ("group"))
-        SELECT "group", CASE WHEN {AT} >= min(time) AND {AT} < max(time) THEN round(avg(coalesce(CASE WHEN time <= {AT} AND event THEN survival * survival / nullif(g, 0) WHEN time > {AT} THEN (1 - survival) * (1 - survival) / nullif(g_at, 0) END, 0)), 4) END AS brier, count(*) AS n FROM x GROUP BY 1""",
+        SELECT "group", CASE WHEN {AT} >= min(time) AND {AT} < max(time) THEN round(avg(coalesce(CASE WHEN time <= {AT} AND event THEN survival * survival / nullif(g, 0) WHEN time > {AT} THEN (1 - survival) * (1 - survival) / nullif(g_at, 0) END, 0)), 6) END AS brier, count(*) AS n FROM x GROUP BY 1""",
     "d33_evaluation_fingerprint": f"""{TARGETS} SELECT count(DISTINCT patientid) AS n_patients, count(DISTINCT event_name) AS n_events, count(DISTINCT target_date) AS n_dates, count(*) AS n_rows,
         CAST(sum(DISTINCT CAST(('0x' || substr(md5(patientid), 1, 8)) AS BIGINT)) AS BIGINT) AS ids FROM tgt""",
 }

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voyage.operators import evaluation, splits
+from voyage.sources.tables import once
+
 _ID = "concat('C', CAST(o_custkey AS STRING))"
 
 EVENTS = f"""
@@ -43,12 +46,36 @@ def duck(text: str) -> str:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, sf_dir, EVENTS)
+    """The events, made once an application and bucketed by patient."""
+    return once(spark, "events", sf_dir, lambda: frame(spark, sf_dir, EVENTS), by="patientid")
 
 
 def molecular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, sf_dir, MOLECULAR)
+    return once(spark, "molecular", sf_dir, lambda: frame(spark, sf_dir, MOLECULAR), by="patientid")
 
 
 def constant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, CONSTANT)
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, "candidates", sf_dir, lambda: splits.candidate_split_dates(events(spark, sf_dir)), by="patientid")
+
+
+def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, "eligible", sf_dir, lambda: splits.eligible_variables(events(spark, sf_dir), candidates(spark, sf_dir)), by="patientid")
+
+
+def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, "statistics", sf_dir, lambda: splits.variable_statistics(events(spark, sf_dir), candidates(spark, sf_dir)))
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        return splits.forecast_targets(events(spark, sf_dir), candidates(spark, sf_dir), eligible(spark, sf_dir), statistics(spark, sf_dir))
+
+    return once(spark, "targets", sf_dir, build, by="patientid")
+
+
+def last_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, "last_values", sf_dir, lambda: evaluation.copy_forward(events(spark, sf_dir), targets(spark, sf_dir)), by="patientid")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voyage.functions.numbers import value_text
 from voyage.operators import ingest, splits
+from voyage.plans import fixtures
 from voyage.plans.fixtures import CONSTANT, EVENTS, MOLECULAR, constant, duck, events, molecular
 
 U = "CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) / 4294967296.0"
@@ -25,10 +26,6 @@ stat AS (SELECT base.*, c.m AS mean_without_outliers, c.s AS std_without_outlier
 RULES = {"lab": [("/", " per "), (".", " ")]}
 
 
-def _candidates(spark, d):
-    return splits.candidate_split_dates(events(spark, d))
-
-
 def d02_clean_dates(spark, d):
     holes = events(spark, d).withColumn("date", F.when(F.col("event_value") == "17", None).otherwise(F.col("date")))
     return ingest.clean_dates(holes, "2030-01-01").groupBy("event_category").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
@@ -48,33 +45,30 @@ def d05_patient_timeline(spark, d):
 
 
 def d07_candidate_split_dates(spark, d):
-    return _candidates(spark, d)
+    return fixtures.candidates(spark, d)
 
 
 def d08_sample_splits_per_lot(spark, d):
-    return splits.sample_splits_per_lot(_candidates(spark, d))
+    return splits.sample_splits_per_lot(fixtures.candidates(spark, d))
 
 
 def d09_eligible_variables(spark, d):
-    return splits.eligible_variables(events(spark, d), _candidates(spark, d))
+    return fixtures.eligible(spark, d)
 
 
 def _rounded(df, *names):
-    return df.select(*(F.round(c, 4).alias(c) if c in names else F.col(c) for c in df.columns))
+    return df.select(*(F.round(c, 6).alias(c) if c in names else F.col(c) for c in df.columns))
 
 
 NUMBERS = ("mean", "std", "range", "r2", "nrmse", "mape", "mean_without_outliers", "std_without_outliers")
 
 
 def d10_variable_statistics(spark, d):
-    out = splits.variable_statistics(events(spark, d), _candidates(spark, d))
-    return _rounded(out.select("event_name", "num_samples", *NUMBERS), *NUMBERS)
+    return _rounded(fixtures.statistics(spark, d).select("event_name", "num_samples", *NUMBERS), *NUMBERS)
 
 
 def d12_forecast_targets(spark, d):
-    ev, cand = events(spark, d), _candidates(spark, d)
-    out = splits.forecast_targets(ev, cand, splits.eligible_variables(ev, cand).distinct(), splits.variable_statistics(ev, cand))
-    return _rounded(out, "event_value")
+    return _rounded(fixtures.targets(spark, d), "event_value")
 
 
 def d37_value_format(spark, d):
@@ -94,9 +88,9 @@ ORACLE = {
     "d08_sample_splits_per_lot": f"""{WITH}{CANDIDATES}, g AS (SELECT patientid, lot_date, list(date ORDER BY date) AS dates FROM cand GROUP BY ALL)
         SELECT patientid, lot_date, CAST(k AS INT) AS split_idx, dates[1 + CAST(floor({U.format(key="'1|' || patientid || '|' || CAST(lot_date AS VARCHAR) || '|' || CAST(k AS VARCHAR)")} * len(dates)) AS INT)] AS split_date FROM g, range(10) t(k)""",
     "d09_eligible_variables": f"{WITH}{CANDIDATES}{ELIGIBLE} SELECT * FROM elig",
-    "d10_variable_statistics": f"{WITH}{CANDIDATES}{STATS} SELECT event_name, num_samples, {', '.join(f'round({c}, 4) AS {c}' for c in NUMBERS)} FROM stat",
+    "d10_variable_statistics": f"{WITH}{CANDIDATES}{STATS} SELECT event_name, num_samples, {', '.join(f'round({c}, 6) AS {c}' for c in NUMBERS)} FROM stat",
     "d12_forecast_targets": f"""{WITH}{CANDIDATES}{ELIGIBLE}{STATS}, ends AS (SELECT c.patientid, c.date, min(l.lot_date) FILTER (l.lot_date > c.date) AS next_lot FROM cand c LEFT JOIN lots l USING (patientid) GROUP BY ALL)
-        SELECT x.patientid, x.date, x.event_name, e.date AS target_date, round(greatest(least(TRY_CAST(e.event_value AS DOUBLE), mean + 3 * std), mean - 3 * std), 4) AS event_value
+        SELECT x.patientid, x.date, x.event_name, e.date AS target_date, round(greatest(least(TRY_CAST(e.event_value AS DOUBLE), mean + 3 * std), mean - 3 * std), 6) AS event_value
         FROM elig x JOIN ends USING (patientid, date) JOIN ev e ON e.patientid = x.patientid AND e.event_name = x.event_name AND e.event_category = 'lab' LEFT JOIN stat s ON s.event_name = x.event_name
         WHERE e.date - x.date BETWEEN 1 AND 90 AND (next_lot IS NULL OR e.date < next_lot)""",
     "d37_value_format": "SELECT l_orderkey, l_linenumber, regexp_replace(CAST(CAST(round(l_quantity / 8, 2) AS DECIMAL(38,2)) AS VARCHAR), '\\.?0+$', '') AS eighth, l_returnflag AS flag FROM lineitem",
