@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from voyage.plans import evaluations, journeys
+from voyage.plans import evaluations, journeys, texts
 
-QUERIES = journeys.QUERIES | evaluations.QUERIES
-ORACLE = journeys.ORACLE | evaluations.ORACLE
+QUERIES = journeys.QUERIES | evaluations.QUERIES | texts.QUERIES
+ORACLE = journeys.ORACLE | evaluations.ORACLE | texts.ORACLE
 FLAGSHIP = journeys.d12_forecast_targets
