@@ -8,7 +8,8 @@ Documents are sets of hashed word n-grams. Copies of a set meet first, so what f
    a common key cannot link. Frequent n-grams alone never make a key.
 2. Groups. Each set is verified against the smallest set it shares a key with, its lead, in groups of GROUP.
 3. Rounds. A key whose sets are not yet all connected, and that has GROUP sets or fewer, is one group: its sets are verified against
-   each other. A larger key is not compared pair by pair. All its sets are verified against its smallest one, the pivot, and what
+   each other. If all but GROUP sets of a key are connected, those few meet the rest, group by group. Other keys are not
+   compared pair by pair. All sets of such a key are verified against its smallest one, the pivot, and what
    a set has or lacks against the pivot is its difference. Two sets that link, and are not both linked to the pivot, have
    part of their differences in common, and their differences differ in few tokens: in the order from rare to
    frequent, the first few tokens of both differences share a token. These are the keys of the next round. The pivot has no
@@ -302,21 +303,43 @@ def differences(n: int, num: int, den: int):
 
 
 def unsettled(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows (key, id) of keys whose sets are not all connected; nodes that joined (node, component) lacks are alone."""
+    """The rows (key, id) of keys whose sets are not all connected, with the key's number of sets, its smallest one, and whether the set is outside the largest connected part.
+
+    Nodes that joined (node, component) lacks are alone.
+    """
     placed = rows.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    return rows.join(mixed, "key")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    keys = parts.groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("pivot"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    stray = F.col("component") != F.col("main.component")
+    return placed.join(keys, "key").select("key", "id", "n", "pivot", stray.alias("stray"), (F.col("n") - F.col("main.n")).alias("strays"))
+
+
+def merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """joined (node, component) with what the links (a, b) bring together; only components that they change are followed."""
+    of = lambda side: joined.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    ends = written(ends.where("a <> b").distinct(), "ends")
+    if ends.isEmpty():
+        return joined
+    tops = components(ends).withColumnRenamed("component", "top")
+    moved = joined.join(tops.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    fresh = tops.join(joined, "node", "left_anti").select("node", F.col("top").alias("component"))
+    return written(moved.unionByName(fresh), "joined")
 
 
 def links_of_keys(rows: DataFrame, matrix: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
-    """One round over rows (key, id): verified links (a, b), and the rows of the next round or None."""
-    counted = written(rows.join(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")), "key"), "counted")
-    few = counted.where(F.col("n") <= GROUP)
+    """One round over what unsettled() gives: verified links (a, b), and the rows (key, id) of the next round or None."""
+    few = rows.where(F.col("n") <= GROUP)
     kin = few.groupBy("pivot").agg(F.count_distinct("id").alias("kin"))
     own = F.when(F.col("kin") <= GROUP, F.xxhash64("pivot")).otherwise(F.xxhash64("pivot", "key"))  # all keys of a smallest set in one group, if they fit
-    small = few.join(kin, "pivot").select(own.alias("tile"), F.lit(2).alias("side"), "id").distinct()
-    found = links_of_tiles(small, matrix, texts, n, num, den)
-    large = written(counted.where(F.col("n") > GROUP).select("pivot", "id").distinct(), "large")
+    small = few.join(kin, "pivot").select(own.alias("tile"), F.lit(2).alias("side"), "id")
+    lone = rows.where((F.col("n") > GROUP) & (F.col("strays") <= GROUP))  # few strays meet the rest in its groups
+    rooms = F.ceil((F.col("n") - F.col("strays")) / GROUP)
+    room = F.when(F.col("stray"), F.sequence(F.lit(0).cast("long"), rooms - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), rooms)))
+    beside = lone.select("key", "stray", "id", F.explode(room).alias("room")).select(F.xxhash64("key", "room").alias("tile"), F.when(F.col("stray"), 2).otherwise(1).alias("side"), "id")
+    found = links_of_tiles(small.unionByName(beside).distinct(), matrix, texts, n, num, den)
+    crowded = (F.col("n") > GROUP) & (F.col("strays") > GROUP)
+    large = written(rows.where(crowded).select("pivot", "id").distinct(), "large")
     if large.isEmpty():
         return found, None
     others = large.where("id <> pivot")
@@ -327,7 +350,8 @@ def links_of_keys(rows: DataFrame, matrix: DataFrame, texts: DataFrame, n: int,
     dealt = written(sides.join(only(texts, sides), "id").select("pivot", "room", "side", "id", "text"), "dealt")
     sample = dealt.where("room = 0").repartition("pivot").sortWithinPartitions("pivot", "side")
     often = sample.mapInArrow(common_tokens(n), "pivot long, tokens array<long>, counts array<long>").where("pivot is not null")
-    told = dealt.withColumn("of", F.when(F.col("side") == 0, F.col("pivot"))).join(often.withColumnRenamed("pivot", "of"), "of", "left")
+    none = F.lit(None).cast("array<long>")
+    told = dealt.where("side = 0").join(often, "pivot", "left").unionByName(dealt.where("side = 1").withColumns({"tokens": none, "counts": none}))
     told = told.select(F.xxhash64("pivot", "room").alias("tile"), "side", "pivot", "id", "text", "tokens", "counts").repartition("tile").sortWithinPartitions("tile", "pivot", "side")
     apart = written(told.mapInArrow(differences(n, num, den), "pivot long, id long, linked boolean, keys array<long>"), "apart")
     links = found.union(apart.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
@@ -373,13 +397,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = components(links)
     rows: DataFrame | None = met
     while rows is not None:
-        rows = written(unsettled(rows, joined).select("key", "id").distinct(), "unsettled")
+        rows = written(unsettled(rows.select("key", "id").distinct(), joined), "unsettled")
         if rows.isEmpty():
             break
         found, rows = links_of_keys(rows, matrix, texts, n, num, den)
-        if not found.isEmpty():
-            links = links.union(found)
-            joined = components(links)
+        joined = merged(joined, found)
     return members.join(joined.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "set_id", "id").alias("component_id")
     )
