@@ -112,31 +112,23 @@ def fetch_segments(length: int):
 
 
 class Files:
-    """The order, transform and common prefixes of one column's suffixes, each in a file that is read from front to back."""
+    """The order, transform and common prefixes of one column's suffixes, each mapped from a file that is read from front to back."""
 
-    KINDS = (("order", np.int32), ("transform", np.uint16), ("common", np.int16))
+    def __init__(self, folder: str, name: str, n: int):
+        kinds = {"order": np.int32, "transform": np.uint16, "common": np.int16}
+        self.columns = [np.memmap(os.path.join(folder, f"{name}-{what}"), kind, "w+", shape=(n,)) for what, kind in kinds.items()]
 
-    def __init__(self, folder: str, name: str):
-        self.paths = [os.path.join(folder, f"{name}-{what}") for what, _ in self.KINDS]
+    def blocks(self) -> Iterator[list[np.ndarray]]:
+        for at in range(0, len(self.columns[0]), BLOCK):
+            yield [np.array(x[at : at + BLOCK]) for x in self.columns]
 
-    def write(self, *columns: np.ndarray) -> None:
-        for path, column, (_, kind) in zip(self.paths, columns, self.KINDS, strict=True):
-            column.astype(kind).tofile(path)
 
-    def opened(self, n: int) -> list[np.memmap]:
-        return [np.memmap(path, kind, "w+", shape=(n,)) for path, (_, kind) in zip(self.paths, self.KINDS, strict=True)]
-
-    def blocks(self, n: int) -> Iterator[list[np.ndarray]]:
-        for at in range(0, n, BLOCK):
-            yield [np.fromfile(path, kind, min(BLOCK, n - at), offset=at * np.dtype(kind).itemsize) for path, (_, kind) in zip(self.paths, self.KINDS, strict=True)]
-
-
-def insert_column(old: Files, new: Files, n: int, counts: np.ndarray, before: np.ndarray, length: int) -> None:
+def insert_column(old: Files, new: Files, counts: np.ndarray, before: np.ndarray, length: int) -> None:
     """One round: the column that old's transform holds is put before all suffixes. counts: how often it has each symbol; before: the column before it."""
-    order, transform, common = new.opened(n)
+    order, transform, common = new.columns
     upto = np.concatenate(([0], np.cumsum(counts)))[:-1]
     least = np.full(ABSENT + 1, -1, np.int64)  # the least common prefix since a symbol's last suffix; -1: none so far
-    for own, symbol, shared in old.blocks(n):
+    for own, symbol, shared in old.blocks():
         to = np.argsort(symbol, kind="stable")
         s, at = symbol[to], to
         first = np.concatenate(([True], s[1:] != s[:-1]))
@@ -152,8 +144,6 @@ def insert_column(old: Files, new: Files, n: int, counts: np.ndarray, before: np
         tails = at[np.append(heads[1:], len(s)) - 1]
         least = np.where(least >= 0, np.minimum(least, front[-1]), -1)
         least[s[heads]] = back[tails + 1]
-    for x in (order, transform, common):
-        x.flush()
 
 
 def repeated_windows(segments: list[bytes], shifts: np.ndarray, length: int) -> np.ndarray:
@@ -173,17 +163,17 @@ def repeated_windows(segments: list[bytes], shifts: np.ndarray, length: int) ->
                 column = np.full(n, ABSENT, np.uint16)
                 column[there] = joined[base[there] + at[there]]
                 column.tofile(file)
-        old, new = Files(folder, "a"), Files(folder, "b")
+        old, new = Files(folder, "a", n), Files(folder, "b", n)
         with open(path, "rb") as file:
             column = np.fromfile(file, np.uint16, n)
-            old.write(np.arange(n), column, np.zeros(n))
+            old.columns[0][:], old.columns[1][:] = np.arange(n), column
             for c in range(columns - 1, -1, -1):
                 before = np.fromfile(file, np.uint16, n) if c else np.full(n, ABSENT, np.uint16)
-                insert_column(old, new, n, np.bincount(column, minlength=ABSENT + 1), before, length)
+                insert_column(old, new, np.bincount(column, minlength=ABSENT + 1), before, length)
                 old, new, column = new, old, before
                 if c <= left:
                     last = -1
-                    for own, _, common in old.blocks(n):
+                    for own, _, common in old.blocks():
                         here = common >= length
                         flags[c, own] |= here
                         flags[c, own[:-1]] |= here[1:]
