@@ -99,3 +99,21 @@ def sample_variables(eligible: DataFrame, stats: DataFrame, n: int = 3, score: s
     wait = -F.ln(F.greatest(u01(F.lit(seed), "patientid", "date", "event_name"), F.lit(1e-12))) / F.col("w")
     drawn = pool.withColumn("holes", F.count_if(F.col("w").isNull()).over(own)).where("holes = 0 and w > 0").withColumn("k", F.row_number().over(own.orderBy(wait, "event_name")))
     return drawn.where(F.col("k") <= n).select("patientid", "date", "event_name")
+
+
+def retry_empty_splits(targets: DataFrame, sampled: DataFrame) -> DataFrame:
+    """(patientid, lot_date, split_idx, split_date, replaced): sampled dates without targets take another one of their line.
+
+    sampled: (patientid, lot_date, split_idx, split_date); targets: (patientid, date, ...). The other sampled dates of the line are tried in
+    order, the first with targets wins; without one the row keeps its date.
+    """
+    full = targets.select("patientid", F.col("date").alias("split_date"), F.lit(True).alias("full")).distinct()
+    rows = sampled.join(full, ["patientid", "split_date"], "left").withColumn("full", F.coalesce("full", F.lit(False)))
+    other = F.min(F.when(F.col("full"), F.col("split_date"))).over(Window.partitionBy("patientid", "lot_date"))
+    use = F.when(F.col("full"), F.col("split_date")).otherwise(F.coalesce(other, "split_date"))
+    return rows.select("patientid", "lot_date", "split_idx", use.alias("split_date"), (use != F.col("split_date")).alias("replaced"))
+
+
+def override_splits(dates: DataFrame, variables: tuple[str, ...]) -> DataFrame:
+    """(patientid, date, event_name): every given date with every given variable."""
+    return dates.select("patientid", "date").distinct().withColumn("event_name", F.explode(F.array(*map(F.lit, variables))))
