@@ -7,17 +7,21 @@ in which no two neighbouring words are neighbours in any item cannot hold a matc
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voyage.llm import hashing
 from voyage.llm.store import texts_of
 
-BLOCK_BYTES = 8 << 20
+#: An automaton takes about a hundred times the bytes of its block, in each worker.
+BLOCK_BYTES = 1 << 20
+_built: dict[str, tuple] = {}
 
 
 class Automaton:
@@ -99,21 +103,25 @@ def word_lists(texts: list[str]) -> list[list[int]]:
     return out
 
 
-def scan(items: list[tuple[int, str]], n: int, all_rows: bool, limit: float):
-    """Rows (id, text): words, hit words, spans of words, items, and the text without its hit spans."""
-    held: list = []
+def scan(items: Broadcast, n: int, all_rows: bool, limit: float):
+    """Rows (id, text): words, hit words, spans of words, items, and the text without its hit spans.
+
+    The automaton of the items (id, text) is built once in each worker and kept until it gets other ones.
+    """
+    name = uuid.uuid4().hex
 
     def prepare():
-        lists = list(zip([i for i, _ in items], word_lists([t for _, t in items]), strict=True))
+        lists = list(zip([i for i, _ in items.value], word_lists([t for _, t in items.value]), strict=True))
         automaton = Automaton(lists, n)
         least = min((min(n, len(w)) for _, w in lists if w), default=0)
         pairs = [hashing.grams(np.array(w, np.uint64), 2 if least > 1 else 1) for _, w in lists]
         return automaton, least, np.unique(np.concatenate([*pairs, np.zeros(0, np.uint64)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(prepare())
-        automaton, least, known = held[0]
+        if name not in _built:
+            _built.clear()
+            _built[name] = prepare()
+        automaton, least, known = _built[name]
         for batch in batches:
             out = []
             ids, texts = batch.column("id").to_pylist(), batch.column("text")
@@ -185,16 +193,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, coverage:
     """
     texts = texts_of(docs, id_col, text_col)
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t"))
+    context = docs.sparkSession.sparkContext
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = 1 + total // BLOCK_BYTES
     if blocks == 1:
         held = [(r.i, r.t) for r in items.collect()]  # BLOCK_BYTES at most
-        return texts.mapInArrow(scan(held, n, True, coverage), SCHEMA).withColumnRenamed("id", id_col)
+        return texts.mapInArrow(scan(context.broadcast(held), n, True, coverage), SCHEMA).withColumnRenamed("id", id_col)
     parts = []
     rows = texts.withColumn("row", F.xxhash64("id", "text"))
     for b in range(blocks):
         held = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()]
-        parts.append(rows.select(F.col("row").alias("id"), "text").mapInArrow(scan(held, n, False, coverage), SCHEMA))
+        parts.append(rows.select(F.col("row").alias("id"), "text").mapInArrow(scan(context.broadcast(held), n, False, coverage), SCHEMA))
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)

@@ -1,8 +1,9 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors of similar length share a bucket; large buckets are dealt into blocks of bounded size. A first pass over the
-longest vectors' block gives each query a score that its k-th best cannot fall below. That score, over the query's length and a
-block's greatest length, is the cosine a vector of the block must reach: above 1 the block is closed to the query; high
+longest vectors' block gives each query a score that its k-th best cannot fall below. That score over the query's length is the
+length that a vector needs: queries of similar need share a part, and parts go only to blocks that hold a vector so long. Over a
+block's greatest length besides, it is the cosine a vector of the block must reach: above 1 the block is closed to the query; high
 cosines prune by the feasible range of the query's greatest coordinate, others by length. What is left is multiplied out.
 """
 
@@ -109,15 +110,19 @@ def top_k_search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, i
     squares = F.aggregate("v", F.lit(0.0), lambda t, c: t + c.cast("double") * c.cast("double"))
     rows = written(rows.withColumn("bucket", F.floor(F.log(F.sqrt(squares) + 1) / F.log(F.lit(1.05)))), "vectors")
     rooms = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("rooms"))  # one row a bucket: a few hundred at most
-    dealt = rows.join(F.broadcast(rooms), "bucket").withColumn("room", F.pmod(F.xxhash64("id", "v"), F.col("rooms")))
-    blocks = written(dealt.groupBy("bucket", "room").agg(F.collect_list(F.struct("id", "v")).alias("vectors"), F.count("*").alias("n")), "blocks")
-    asked = rows.where("asks").select("id", "v").dropDuplicates(["id"])
+    numbered = rows.withColumn("place", F.monotonically_increasing_id())  # of a written table: repeated rows fall apart, too
+    dealt = numbered.join(F.broadcast(rooms), "bucket").withColumn("room", F.pmod(F.xxhash64("place"), F.col("rooms")))
+    blocks = written(dealt.groupBy("bucket", "room").agg(F.collect_list(F.struct("id", "v")).alias("vectors"), F.count("*").alias("n"), F.sqrt(F.max(squares)).alias("longest")), "blocks")
+    asked = rows.where("asks").select("id", "v", F.sqrt(squares).alias("length")).dropDuplicates(["id"])
     n = spread(asked, QUERIES)
-    part = F.pmod(F.xxhash64("id"), F.lit(n)).alias("part")
 
     def against(queries: DataFrame, some: DataFrame) -> DataFrame:
-        packed = queries.groupBy(part).agg(F.collect_list(F.struct("id", "v", "floor")).alias("queries"))
-        grid = some.select("bucket", "room").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        """Parts of queries of similar need, the length that a vector must have to reach their floor, meet the blocks that are long enough for one of them."""
+        need = F.when(F.col("floor").isNotNull() & (F.col("length") > 0), F.col("floor") / F.col("length")).otherwise(F.when(F.col("floor") > 0, float("inf")).otherwise(float("-inf")))
+        sorted_ = written(queries.withColumn("need", need).repartitionByRange(n, "need", "id").withColumn("part", F.spark_partition_id()), "parts")
+        packed = written(sorted_.groupBy("part").agg(F.collect_list(F.struct("id", "v", "floor")).alias("queries"), F.min("need").alias("need")), "packed")
+        parts = packed.select("part", "need")  # one row for QUERIES queries
+        grid = some.select("bucket", "room", "longest").join(F.broadcast(parts), F.col("need") <= F.col("longest") * (1 + 1e-9)).select("bucket", "room", "part")
         return grid.join(packed, "part").join(some, ["bucket", "room"]).select("vectors", "queries").mapInArrow(search(k), "query_id long, vec_id long, score long")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -131,3 +136,12 @@ def top_k_search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, i
 def op5_topk_search(spark, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 100 against all others."""
     return top_k_search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+#: The same: all products.
+ORACLE_OP5 = """
+WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.w AS DOUBLE[]), CAST(c.w AS DOUBLE[])) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10
+"""
