@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from voyage.plans import evaluations, journeys, texts
+from voyage.plans import evaluations, journeys, models, texts
 
-QUERIES = journeys.QUERIES | evaluations.QUERIES | texts.QUERIES
-ORACLE = journeys.ORACLE | evaluations.ORACLE | texts.ORACLE
+QUERIES = journeys.QUERIES | evaluations.QUERIES | texts.QUERIES | models.QUERIES
+ORACLE = journeys.ORACLE | evaluations.ORACLE | texts.ORACLE | models.ORACLE
 FLAGSHIP = journeys.d12_forecast_targets

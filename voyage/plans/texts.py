@@ -127,7 +127,7 @@ def samples(spark, d):
 
 
 def d43_instruction_samples(spark, d):
-    return samples(spark, d)
+    return samples(spark, d).withColumn("kinds", F.array_join("kinds", ","))
 
 
 def d44_pretrain_samples(spark, d):
@@ -209,7 +209,7 @@ ORACLE = {
     "d39_summary_text": f"{FULL}{_SUMMARY} SELECT * FROM su",
     "d40_forecast_task": f"{FULL}{_FORECAST} SELECT * FROM fc",
     "d42_event_task_text": f"{BASE}{sql_tasks(_DRAWN, '2100-01-01')}{_EVENT_TEXT} SELECT * FROM et",
-    "d43_instruction_samples": f"{FULL}{_SAMPLES} SELECT * FROM sa",
+    "d43_instruction_samples": f"{FULL}{_SAMPLES} SELECT * REPLACE (array_to_string(kinds, ',') AS kinds) FROM sa",
     "d44_pretrain_samples": f"{WITH}{TIMELINE}{_STATIC}{sql_timeline('tx', 'tl', 'patientid')} SELECT patientid, {quoted(w.PREAMBLE)} || static || text AS text FROM tx JOIN st USING (patientid)",
     "d34_dataset_stats": f"""{FULL}{_SAMPLES}, c AS (SELECT array_to_string(list_sort(list_distinct(kinds)), '+') AS combination, tokens_input + tokens_target AS t FROM sa)
         SELECT combination, count(*) AS n, CAST(sum(t) AS BIGINT) AS tokens, round(avg(t), 6) AS mean_tokens, min(t) AS least_tokens, max(t) AS most_tokens, count(*) FILTER (t > 1500) AS n_over FROM c GROUP BY 1""",
