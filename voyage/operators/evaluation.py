@@ -46,21 +46,22 @@ def cap_outliers(rows: DataFrame, stats: DataFrame, mode: str = "clean", value:
     return rows.join(F.broadcast(own), "event_name", "left").withColumn("capped", side).withColumn(value, held).select(*rows.columns, "capped")  # one row a variable
 
 
-def _errors(pred: DataFrame, target: DataFrame, last: DataFrame) -> DataFrame:
-    rows = target.select(*KEY, F.col("event_value").alias("y"))
+def _errors(pred: DataFrame, target: DataFrame, last: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    rows = target.select(*KEY, *more, F.col("event_value").alias("y"))
     rows = rows.join(pred.select(*KEY, F.col("event_value").alias("p")), list(KEY)).join(last.select(*KEY, F.col("event_value").alias("c")), list(KEY))
     return rows.withColumn("e", F.abs(F.col("y") - F.col("p"))).withColumn("f", F.abs(F.col("y") - F.col("c")))
 
 
-def forecast_eval(pred: DataFrame, target: DataFrame, last: DataFrame, stats: DataFrame) -> DataFrame:
-    """Per variable: absolute and relative errors, the same over those of copying forward, and how much was scored.
+def forecast_eval(pred: DataFrame, target: DataFrame, last: DataFrame, stats: DataFrame, by: tuple[str, ...] = ("event_name",)) -> DataFrame:
+    """Per variable (or by, of columns of target): absolute and relative errors, the same over those of copying forward, and how much was scored.
 
     pred and last have one row a key. Predictions and targets are capped by the clean moments. A relative error to 0 and a
-    quotient by 0 are null.
+    quotient by 0 are null. Targets with a column imputed count only where it is 0.
     """
-    rows = _errors(*(cap_outliers(x, stats) for x in (pred, target, last)))
+    own = target.where("imputed = 0") if "imputed" in target.columns else target
+    rows = _errors(*(cap_outliers(x, stats) for x in (pred, own, last)), tuple(c for c in by if c not in KEY))
     size = F.nullif(F.abs("y"), F.lit(0.0))
-    out = rows.groupBy("event_name").agg(
+    out = rows.groupBy(*by).agg(
         F.avg("e").alias("mae"), F.avg(F.col("e") / size).alias("mape"), F.avg("f").alias("cf_mae"), F.avg(F.col("f") / size).alias("cf_mape"),
         F.count("*").alias("n_samples"), F.count_distinct(F.struct("patientid", "date")).alias("n_splits"), F.count_distinct("patientid").alias("n_patients"), F.count_distinct("target_date").alias("n_dates"),
     )
@@ -75,14 +76,20 @@ def regression_eval(pred: DataFrame, target: DataFrame, last: DataFrame) -> Data
 
 
 def evaluation_fingerprint(targets: DataFrame) -> DataFrame:
-    """One row that two runs over the same targets share: counts, and a sum over the hashes of the different ids."""
+    """One row that two runs over the same targets share: counts, and a sum over the 32-bit hashes of the different ids."""
     id_hash = (u01("patientid") * 4294967296.0).cast("long")
     return targets.agg(
         F.count_distinct("patientid").alias("n_patients"), F.count_distinct("event_name").alias("n_events"), F.count_distinct("target_date").alias("n_dates"),
-        F.count("*").alias("n_rows"), F.sum_distinct(id_hash).alias("ids"),
+        F.count("*").alias("n_rows"), F.count_distinct(F.round("event_value", 6)).alias("n_values"), F.sum_distinct(id_hash).alias("ids"),
     )
 
 
+def same_fingerprint(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row: whether two fingerprints, a stored one and a new one, agree in every column."""
+    a, b = first.select(F.struct(*first.columns).alias("a")), second.select(F.struct(*first.columns).alias("b"))
+    return a.crossJoin(F.broadcast(b)).select((F.col("a") == F.col("b")).alias("same"))  # one row each
+
+
 def align_week_start(series: DataFrame, by: tuple[str, ...] = ("patientid", "event_name")) -> DataFrame:
     """Dates moved back so that each series begins on a Monday; offset is the number of days."""
     first = series.groupBy(*by).agg(F.weekday(F.min("date")).alias("offset"))

@@ -49,3 +49,54 @@ def patient_timeline(events: DataFrame, molecular: DataFrame) -> DataFrame:
         F.col("biomarker_descriptive_name").alias("event_descriptive_name"), F.col("biomarker_value").alias("event_value"), F.lit("genetic").alias("source"),
     )
     return events.withColumn("source", F.lit("events")).unionByName(genetic).distinct()
+
+
+def null_dates(events: DataFrame) -> DataFrame:
+    """One row: how many rows clean_dates leaves out for want of a date, and how many it keeps."""
+    date = F.to_date("date")
+    return events.agg(F.count_if(date.isNull()).alias("n_dropped"), F.count_if(date.isNotNull()).alias("n_kept"))
+
+
+def unique_events(events: DataFrame) -> DataFrame:
+    """(event_category, event_name, event_descriptive_name, n): the different triples; fails, when read, if a descriptive name of disambiguate_names stands for two of them."""
+    triples = events.groupBy("event_category", "event_name", "event_descriptive_name").agg(F.count("*").alias("n"))
+    shared = triples.groupBy("event_descriptive_name").agg(F.count("*").alias("triples"))
+    checked = F.when(F.col("triples") > 1, F.raise_error(F.concat(F.lit("one name for several events: "), "event_descriptive_name"))).otherwise(F.col("n"))
+    return triples.join(shared, "event_descriptive_name").select("event_category", "event_name", "event_descriptive_name", checked.cast("long").alias("n"))
+
+
+def given_splits(constant: DataFrame, mapping: DataFrame, override: str | None = None) -> DataFrame:
+    """(patientid, data_split) from a mapping (patientid, data_split), or override for all; fails, when read, for a patient without a split or a split of another name."""
+    patients = constant.select("patientid").distinct()
+    if override is not None:
+        return patients.withColumn("data_split", F.lit(override))
+    rows = patients.join(mapping.select("patientid", "data_split").distinct(), "patientid", "left")
+    wrong = ~F.coalesce(F.col("data_split").isin("train", "validation", "test"), F.lit(False))
+    return rows.withColumn("data_split", F.when(wrong, F.raise_error(F.concat(F.lit("no split for patient "), "patientid"))).otherwise(F.col("data_split")).cast("string"))
+
+
+def split_counts(splits: DataFrame) -> DataFrame:
+    """(data_split, n, n_patients): rows and patients of each split; both agree where each patient has one split."""
+    return splits.groupBy("data_split").agg(F.count("*").alias("n"), F.count_distinct("patientid").alias("n_patients"))
+
+
+def from_meds(codes: DataFrame, data: DataFrame, split: DataFrame, prefer_text: bool = True, no_value: str = "present", categories: dict[str, str] | None = None, category: str = "other") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, constant, duplicates) of codes (code, description), data (subject_id, time, code, numeric_value, text_value), split (subject_id, split).
+
+    Rows without a time become the patient's constants, one map entry a code; the others events, each with its code's
+    description. duplicates: how often a (patient, date, name, value) comes again. Fails, when read, for a code without a description.
+    """
+    number, text = F.col("numeric_value").cast("string"), F.col("text_value")
+    value = F.coalesce(text, number) if prefer_text else F.coalesce(number, text)
+    rows = data.select(F.col("subject_id").cast("string").alias("patientid"), F.col("time").alias("date"), F.col("code").alias("event_name"), value.alias("event_value"))
+    untimed = rows.where("date is null and event_value is not null").groupBy("patientid", "event_name").agg(F.min("event_value").alias("v"))
+    held = untimed.groupBy("patientid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_name", "v")))).alias("constants"))
+    constant = held.join(split.select(F.col("subject_id").cast("string").alias("patientid"), "split"), "patientid", "left")
+    named = rows.where("date is not null").join(codes.select(F.col("code").alias("event_name"), F.col("description").alias("event_descriptive_name")), "event_name", "left")
+    kind = F.lit(None).cast("string")
+    for code, c in (categories or {}).items():
+        kind = F.when(F.col("event_name") == code, c).otherwise(kind)
+    described = F.when(F.col("event_descriptive_name").isNull(), F.raise_error(F.concat(F.lit("no description of "), "event_name"))).otherwise(F.col("event_descriptive_name"))
+    events = named.select("patientid", "date", F.coalesce(kind, F.lit(category)).alias("event_category"), "event_name", described.cast("string").alias("event_descriptive_name"), F.coalesce("event_value", F.lit(no_value)).alias("event_value"))
+    again = events.groupBy("patientid", "date", "event_name", "event_value").agg(F.count("*").alias("n")).where("n > 1")
+    return events, constant, again

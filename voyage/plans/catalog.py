@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from voyage.plans import evaluations, journeys, models, texts
+from voyage.plans import evaluations, imports, journeys, models, texts
 
-QUERIES = journeys.QUERIES | evaluations.QUERIES | texts.QUERIES | models.QUERIES
-ORACLE = journeys.ORACLE | evaluations.ORACLE | texts.ORACLE | models.ORACLE
+QUERIES = journeys.QUERIES | evaluations.QUERIES | texts.QUERIES | models.QUERIES | imports.QUERIES
+ORACLE = journeys.ORACLE | evaluations.ORACLE | texts.ORACLE | models.ORACLE | imports.ORACLE
 FLAGSHIP = journeys.d12_forecast_targets

@@ -84,6 +84,14 @@ def d28_forecast_eval(spark, d):
     return _rounded(evaluation.forecast_eval(*_scored(spark, d)))
 
 
+def d28_forecast_eval_by_trial(spark, d):
+    """By trial (a third of the patients each) and variable, over targets that are not imputed."""
+    pred, target, last, stats = _scored(spark, d)
+    trial = F.pmod(F.substring("patientid", 2, 9).cast("int"), F.lit(3)).alias("trial_id")
+    held = target.select("*", trial, F.when(F.dayofmonth("target_date") <= 3, 1).otherwise(0).alias("imputed"))
+    return _rounded(evaluation.forecast_eval(pred, held, last, stats, ("trial_id", "event_name")))
+
+
 def d28b_regression_eval(spark, d):
     return _rounded(evaluation.regression_eval(*_scored(spark, d)[:3]))
 
@@ -101,7 +109,7 @@ def d33_evaluation_fingerprint(spark, d):
     return evaluation.evaluation_fingerprint(_frames(spark, d)[3])
 
 
-QUERIES = {f.__name__: f for f in (d11_sample_variables, d16_landmark_times, d19_cap_outliers, d21_align_week_start, d24_copy_forward, d26_fill_with_copy_forward, d28_forecast_eval, d28b_regression_eval, d29_km_censoring, d30_brier_ipcw, d33_evaluation_fingerprint)}
+QUERIES = {f.__name__: f for f in (d11_sample_variables, d16_landmark_times, d19_cap_outliers, d21_align_week_start, d24_copy_forward, d26_fill_with_copy_forward, d28_forecast_eval, d28_forecast_eval_by_trial, d28b_regression_eval, d29_km_censoring, d30_brier_ipcw, d33_evaluation_fingerprint)}
 ORACLE = {
     "d11_sample_variables": f"""{WITH}{CANDIDATES}{ELIGIBLE}{STATS}, pool AS (SELECT patientid, date, event_name, log2(num_samples * nrmse) AS w, count(*) FILTER (log2(num_samples * nrmse) IS NULL) OVER (PARTITION BY patientid, date) AS holes FROM elig JOIN stat USING (event_name)),
         r AS (SELECT *, row_number() OVER (PARTITION BY patientid, date ORDER BY -ln(greatest({U.format(key="'2|' || patientid || '|' || CAST(date AS VARCHAR) || '|' || event_name")}, 1e-12)) / w, event_name) AS k FROM pool WHERE holes = 0 AND w > 0)
@@ -122,12 +130,16 @@ ORACLE = {
         m AS (SELECT event_name, avg(abs(y - p)) AS mae, avg(abs(y - p) / nullif(abs(y), 0)) AS mape, avg(abs(y - c)) AS cm, avg(abs(y - c) / nullif(abs(y), 0)) AS cp, count(*) AS n_samples,
         count(DISTINCT (patientid, date)) AS n_splits, count(DISTINCT patientid) AS n_patients, count(DISTINCT target_date) AS n_dates FROM capped GROUP BY 1)
         SELECT event_name, round(mae, 6) AS mae, round(mape, 6) AS mape, n_samples, n_splits, n_patients, n_dates, round(mae / nullif(cm, 0), 6) AS nmae, round(mape / nullif(cp, 0), 6) AS nmape FROM m""",
+    "d28_forecast_eval_by_trial": f"""{TARGETS}{LAST}{SCORED}, capped AS (SELECT CAST(substr(patientid, 2) AS INT) % 3 AS trial_id, patientid, date, event_name, target_date, {_CAP.format("y")} AS y, {_CAP.format("p")} AS p, {_CAP.format("c")} AS c FROM scored LEFT JOIN stat USING (event_name) WHERE day(target_date) > 3),
+        m AS (SELECT trial_id, event_name, avg(abs(y - p)) AS mae, avg(abs(y - p) / nullif(abs(y), 0)) AS mape, avg(abs(y - c)) AS cm, avg(abs(y - c) / nullif(abs(y), 0)) AS cp, count(*) AS n_samples,
+        count(DISTINCT (patientid, date)) AS n_splits, count(DISTINCT patientid) AS n_patients, count(DISTINCT target_date) AS n_dates FROM capped GROUP BY 1, 2)
+        SELECT trial_id, event_name, round(mae, 6) AS mae, round(mape, 6) AS mape, n_samples, n_splits, n_patients, n_dates, round(mae / nullif(cm, 0), 6) AS nmae, round(mape / nullif(cp, 0), 6) AS nmape FROM m""",
     "d28b_regression_eval": f"""{TARGETS}{LAST}{SCORED}, m AS (SELECT count(*) AS n, avg(abs(y - p)) AS mae, avg((y - p) * (y - p)) AS mse, avg(abs(y - c)) AS cm, avg((y - c) * (y - c)) AS cs FROM scored)
         SELECT n, round(mae, 6) AS mae, round(mse, 6) AS mse, round(sqrt(mse), 6) AS rmse, round(mae / nullif(cm, 0), 6) AS mae_ratio, round(mse / nullif(cs, 0), 6) AS mse_ratio, round(sqrt(mse / nullif(cs, 0)), 6) AS rmse_ratio FROM m""",
     "d29_km_censoring": f'{WITH}{SURVIVAL} SELECT "group", CAST(time AS INT) AS time, round(g, 6) AS g FROM km',
     "d30_brier_ipcw": f"""{WITH}{SURVIVAL}, here AS (SELECT "group", arg_max(g, time) AS g_at FROM km WHERE time <= {AT} GROUP BY 1),
         x AS (SELECT surv.*, km.g, coalesce(here.g_at, 1) AS g_at FROM surv JOIN km USING ("group", time) LEFT JOIN here USING ("group"))
         SELECT "group", CASE WHEN {AT} >= min(time) AND {AT} < max(time) THEN round(avg(coalesce(CASE WHEN time <= {AT} AND event THEN survival * survival / nullif(g, 0) WHEN time > {AT} THEN (1 - survival) * (1 - survival) / nullif(g_at, 0) END, 0)), 6) END AS brier, count(*) AS n FROM x GROUP BY 1""",
-    "d33_evaluation_fingerprint": f"""{TARGETS} SELECT count(DISTINCT patientid) AS n_patients, count(DISTINCT event_name) AS n_events, count(DISTINCT target_date) AS n_dates, count(*) AS n_rows,
+    "d33_evaluation_fingerprint": f"""{TARGETS} SELECT count(DISTINCT patientid) AS n_patients, count(DISTINCT event_name) AS n_events, count(DISTINCT target_date) AS n_dates, count(*) AS n_rows, count(DISTINCT round(y, 6)) AS n_values,
         CAST(sum(DISTINCT CAST(('0x' || substr(md5(patientid), 1, 8)) AS BIGINT)) AS BIGINT) AS ids FROM tgt""",
 }
