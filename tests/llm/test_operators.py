@@ -17,7 +17,7 @@ from voyage.llm.pii import KINDS, listed, personal_data
 from voyage.llm.sharding import shard_by_bytes
 from voyage.llm.suffix_dedup import suffix_dedup
 from voyage.llm.topk_search import top_k_search
-from voyage.llm.toxicity import toxicity
+from voyage.llm.toxicity import graded, toxicity
 from voyage.llm.url_filter import labelled_urls, url_filter
 
 WORDS = "the of and re tion er ing Éan été straße niño on at it is to for was as les".split()
@@ -95,11 +95,17 @@ def test_url_filter(spark):
     assert [(out[k].host, out[k].path) for k in range(len(urls))] == [("", ""), ("", ""), ("", ""), ("com", "/x"), ("a.com", ""), ("www.example.com", "/en/1"), ("b.example.com", "/en/2"), ("x.net", "/es/"), ("xnet", "/es/"), ("u.net", "/fr/a://b/c"), ("h", ""), ("h.net", "/fr/1")]
     assert [out[k].rule for k in range(len(urls))] == [None, None, None, "com/", None, "www.example.com/en/", "example.com/en/", "net/es/", None, "net/fr/", None, "net/fr/"]
     assert [out[k].verdict for k in (3, 5, 6, 7, 9)] == ["allow", "allow", "block", "block", "block"]
-    trained = url_filter(labelled_urls(spark).withColumn("page_id", F.monotonically_increasing_id()), labelled_urls(spark), rules=()).select("verdict")
-    assert [r[0] for r in trained.collect()] == [("block" if y else "allow") for _, y in labelled_urls(spark).collect()]
     assert url_filter(pages.limit(0), labelled_urls(spark)).count() == 0
 
 
+def test_url_filter_on_held_out_words(spark):
+    """Addresses of one part, whose first words the model has not seen."""
+    labelled = labelled_urls(spark)
+    held = labelled.where("part = 2").withColumn("page_id", F.col("blocked"))
+    out = [(r.page_id == 1, r.verdict == "block") for r in url_filter(held, labelled.where("part <> 2"), rules=()).collect()]
+    assert len(out) == 40 and sum(a == b for a, b in out) >= 34
+
+
 def test_top_k_search(spark):
     rng = np.random.default_rng(3)
     vectors = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 8)) * rng.choice([0.01, 1, 5], size=(400, 1)))]
@@ -136,6 +142,21 @@ def test_context_finds_what_patterns_miss(spark):
     assert spans[101] == ""
 
 
+def test_identifiers_of_unseen_shape(spark):
+    """Planted values in the places of known keys are found, plain words after the same signs and stop words are not."""
+    rng = random.Random(9)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [f'and the token = "{key()}" or so' for _ in range(30)] + [f"the {key()} of the {k} said: nothing here" for k in range(20)]
+    odd = ["KX-99-ÄÖ-1", "hunter22", "9F:77:AA", "plain-looking"]
+    rows += [f'éé token = "{x}" there' for x in odd] + ["he said: something else", "the 123456789 words", 'remark = "ordinary words"', None, "", 'token = "' + "a1" * 5000 + '"', "label" * 4000 + " = x"]
+    docs = spark.createDataFrame([*enumerate(rows), (None, rows[30])], "doc_id long, text string")
+    spans = {r.doc_id: r.s for r in personal_data(docs).select("doc_id", listed(F.col("spans")).alias("s")).collect()}
+    found = [spans[50 + k] == f"id:12:{12 + len(x)}" for k, x in enumerate(odd)]
+    assert sum(found) >= 0.9 * len(odd) and all(spans[k].startswith("id:") for k in range(30))
+    assert all("id:" not in spans[k] for k in [*range(30, 50), *range(54, 59)])
+    assert spans[59] == "id:9:10009" and spans[60] == "" and len(spans) == len(rows) + 1
+
+
 def test_shards(docs, nothing, rows):
     out = shard_by_bytes(docs, shards=6).collect()
     text = dict(rows)
@@ -152,24 +173,29 @@ def test_shards(docs, nothing, rows):
 
 
 def test_toxicity(spark, nothing):
+    """Held-out documents of three grades, which share their words but not their number."""
     rng = random.Random(5)
     rows, labels = [], []
-    for i in range(600):
+    for i in range(900):
         words = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(rng.choice([20, 200]))]
-        if bad := i % 5 == 0:
-            for _ in range(rng.choice([2, 9])):
-                words.insert(rng.randrange(len(words)), rng.choice(["IDIOT", "moron", "scum"]))
-        rows.append((i, " ".join(words)))
-        if i < 400:
-            labels.append((i, int(bad)))
-    docs = spark.createDataFrame([*rows, (1000, None), (1001, "")], "doc_id long, text string")
-    marks = spark.createDataFrame([*labels, (None, 1), (5000, 1)], "doc_id long, toxic int")
+        grade = (0, 0, 1, 2)[i % 4]
+        for bad in ([], ["IDIOT", "moron"], ["IDIOT", "moron", "scum", "filth"])[grade]:
+            words.insert(rng.randrange(len(words)), bad)
+        rows.append((i, " ".join(words), "x", 7))
+        if i < 600:
+            labels.append((i, grade))
+    docs = spark.createDataFrame([*rows, (1000, None, "x", 7), (1001, "", "x", 7)], "doc_id long, text string, grade string, y int")
+    marks = spark.createDataFrame([*labels, (None, 1), (5000, 1), (0, 0), (1, None)], "doc_id long, grade int")
     out = {r.doc_id: r for r in toxicity(docs, marks).collect()}
-    held_out = [(out[i].toxic, i % 5 == 0) for i in range(400, 600)]
-    assert sum(a == b for a, b in held_out) >= 196
-    assert not out[1000].toxic and not out[1001].toxic and len(out) == 602
+    held_out = [(out[i].grade, (0, 0, 1, 2)[i % 4]) for i in range(600, 900)]
+    assert sum(a == b for a, b in held_out) >= 290
+    means = [np.mean([out[i].expected_severity for i in range(600, 900) if (0, 0, 1, 2)[i % 4] == g]) for g in (0, 1, 2)]
+    assert means[0] < 0.3 < 0.7 < means[1] < 1.3 < 1.7 < means[2]
+    assert not out[1000].toxic and not out[1001].toxic and len(out) == 902
     assert not any(r.toxic for r in toxicity(docs, marks.limit(0)).collect())
     assert toxicity(nothing, marks).count() == 0
+    two = graded(spark.createDataFrame([(1, 1, 1), (2, 0, 1), (3, 1, 0), (4, 0, None), (5, None, 1)], "doc_id long, quality int, toxic int"))
+    assert [r.grade for r in two.orderBy("doc_id").collect()] == [2, 1, 0, None, 1]
 
 
 @pytest.mark.parametrize("block", [8 << 20, 500])
