@@ -43,12 +43,15 @@ def assign_patient_splits(constant: DataFrame, share: float = 0.1, cap: int = 50
 
 
 def patient_timeline(events: DataFrame, molecular: DataFrame) -> DataFrame:
-    """Events and molecular rows, named alike and tagged by source, without repeated rows."""
+    """Events and molecular rows, named alike and tagged by source, without repeated rows.
+
+    The source tells the two sides apart, so each drops its own repeats: where rows lie in buckets by patient, without a shuffle.
+    """
     genetic = molecular.select(
         "patientid", "date", F.col("biomarker_category").alias("event_category"), F.col("biomarker_event").alias("event_name"),
         F.col("biomarker_descriptive_name").alias("event_descriptive_name"), F.col("biomarker_value").alias("event_value"), F.lit("genetic").alias("source"),
     )
-    return events.withColumn("source", F.lit("events")).unionByName(genetic).distinct()
+    return events.distinct().withColumn("source", F.lit("events")).unionByName(genetic.distinct())
 
 
 def null_dates(events: DataFrame) -> DataFrame:

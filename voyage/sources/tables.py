@@ -49,3 +49,9 @@ def once(spark: SparkSession, name: str, source: str, build: Callable[[], DataFr
     if by is None:
         return spark.read.schema(_schemas[key]).parquet(_made[key])
     return spark.table(_made[key])
+
+
+def forget(spark: SparkSession) -> None:
+    """Later calls of once make their tables anew."""
+    for key in [k for k in _made if k[0] == spark.sparkContext.applicationId]:
+        del _made[key], _schemas[key]
