@@ -7,8 +7,8 @@ from voyage.llm.line_dedup import ORACLE_OP2, op2_line_dedup
 from voyage.llm.ngram_jaccard import ORACLE_OP1, op1_ngram_jaccard_join
 from voyage.llm.packing import op10_best_fit_packing
 from voyage.llm.pii import op6_pii
-from voyage.llm.sharding import op7_sharding
-from voyage.llm.suffix_dedup import op3_suffix_dedup
+from voyage.llm.sharding import ORACLE_OP7, op7_sharding
+from voyage.llm.suffix_dedup import ORACLE_OP3, op3_suffix_dedup
 from voyage.llm.topk_search import ORACLE_OP5, op5_topk_search
 from voyage.llm.toxicity import op8_toxicity
 from voyage.llm.url_filter import op4_url_filter
@@ -21,4 +21,7 @@ QUERIES = {
     )
 }
 
-ORACLE = {"op1_ngram_jaccard_join": ORACLE_OP1, "op2_line_dedup": ORACLE_OP2, "op5_topk_search": ORACLE_OP5, "op9_decontamination": ORACLE_OP9}
+ORACLE = {
+    "op1_ngram_jaccard_join": ORACLE_OP1, "op2_line_dedup": ORACLE_OP2, "op3_suffix_dedup": ORACLE_OP3, "op5_topk_search": ORACLE_OP5,
+    "op7_sharding": ORACLE_OP7, "op9_decontamination": ORACLE_OP9,
+}

@@ -1,6 +1,6 @@
 """Shards of near equal bytes by sampled splitters. DataFrame functions only.
 
-Records are ordered by the hash of their text, then by id, so equal texts lie side by side. A sample, drawn with a chance
+Records are ordered by 60 bits of their text's MD5 hash, then by id, so equal texts lie side by side. A sample, drawn with a chance
 in proportion to a record's size, gives quantile splitters that range-partition the records; the exact bytes and rows before each
 range then turn running sums within ranges into global ones, and these say where an overfull range is cut into
 shards. No task handles a shard, or more than a range.
@@ -48,7 +48,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col
     slot. No rows: no rows. Other columns are not looked at.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("own"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k1"))
+    rows = docs.select(F.col(id_col).cast("long").alias("own"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long").alias("k1"))
     rows = written(rows.withColumn("id", F.coalesce("own", F.lit(LEAST))), "records")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = min(RANGES_AT_MOST, max(shards, math.ceil(n / 100_000)))
@@ -77,3 +77,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards of near equal bytes."""
     out = shard_by_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same: the records in their order, with running sums over all; the checksum folds over the bytes.
+ORACLE_OP7 = """
+WITH table_ AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+bytes AS (SELECT doc_id, [4294967295] || [CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] AS b FROM documents),
+crc AS (SELECT doc_id, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS text_crc32 FROM bytes, table_),
+r AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, text_crc32, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS k FROM documents JOIN crc USING (doc_id)),
+total AS (SELECT sum(size) AS total FROM r),
+large AS (SELECT k FROM r, total GROUP BY k, total HAVING sum(size) > total / 40 / 8),
+placed AS (SELECT r.*, large.k IS NOT NULL AS large, row_number() OVER o - 1 AS n, sum(size) OVER (ORDER BY r.k, doc_id ROWS UNBOUNDED PRECEDING) - size AS start FROM r LEFT JOIN large USING (k) WINDOW o AS (ORDER BY r.k, doc_id)),
+middles AS (SELECT *, CASE WHEN large THEN start + size / 2 ELSE (min(start) OVER (PARTITION BY k) + max(start + size) OVER (PARTITION BY k)) / 2 END AS middle FROM placed),
+sharded AS (SELECT *, CAST(least(39, floor(middle * 40 / total)) AS INT) AS shard FROM middles, total)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, CAST(n - min(n) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM sharded
+"""

@@ -354,3 +354,19 @@ def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Repeats of 200 bytes over all documents."""
     out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same: strings of 200 bytes by digests of digests, on one row a byte.
+ORACLE_OP3 = """
+WITH b AS (
+  SELECT doc_id, unnest(x) AS byte, generate_subscripts(x, 1) AS p, len(x) AS n FROM (SELECT doc_id, regexp_extract_all(lower(hex(encode(coalesce(text, '')))), '..') AS x FROM documents)
+), h2 AS (SELECT doc_id, p, n, byte, byte || lead(byte, 1, '') OVER w AS s FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+h8 AS (SELECT doc_id, p, n, byte, s || lead(s, 2, '') OVER w || lead(s, 4, '') OVER w || lead(s, 6, '') OVER w AS s FROM h2 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+h40 AS (SELECT doc_id, p, n, byte, md5(s || lead(s, 8, '') OVER w || lead(s, 16, '') OVER w || lead(s, 24, '') OVER w || lead(s, 32, '') OVER w) AS s FROM h8 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+h200 AS (SELECT doc_id, p, n, byte, CASE WHEN p + 199 <= n THEN md5(s || lead(s, 40) OVER w || lead(s, 80) OVER w || lead(s, 120) OVER w || lead(s, 160) OVER w) END AS s FROM h40 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+twice AS (SELECT s FROM h200 WHERE s IS NOT NULL GROUP BY s HAVING count(*) > 1),
+marked AS (SELECT doc_id, p, byte, max(CASE WHEN twice.s IS NOT NULL THEN p END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM h200 LEFT JOIN twice USING (s)),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM marked),
+out AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS kept FROM runs GROUP BY 1)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents LEFT JOIN out USING (doc_id)
+"""
