@@ -208,6 +208,13 @@ ORACLE = {
     "d38_history_within_budget": f"{BASE}{HISTORY}, his0 AS (SELECT *, 400 AS room FROM his){_BUDGET} SELECT patientid, split_date, date, event_category, event_name, event_descriptive_name, event_value, source FROM kept_rows",
     "d39_summary_text": f"{FULL}{_SUMMARY} SELECT * FROM su",
     "d40_forecast_task": f"{FULL}{_FORECAST} SELECT * FROM fc",
+    "d41_binned_task": f"""{FULL}, bn AS (SELECT event_name, [round(x, 2) FOR x IN list_sort(list_distinct(quantile_cont(v, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])))] AS b FROM pairs SEMI JOIN base USING (event_name) GROUP BY 1),
+        bt AS (SELECT ft.*, b, substr('{text.LETTERS}', 1 + len([e FOR e IN b[2 : len(b) - 1] IF event_value > e]), 1) AS label FROM ft JOIN bn USING (event_name) WHERE len(b) >= 2),
+        bq AS (SELECT patientid, split_date, event_name, b, min(event_descriptive_name) AS n, {_WEEKS} AS wk FROM (SELECT DISTINCT patientid, split_date, event_name, event_descriptive_name, target_date, b FROM bt) GROUP BY 1, 2, 3, 4),
+        bp AS (SELECT patientid, split_date, {quoted(w.BINS_START)} || string_agg(chr(10) || chr(9) || n || {quoted(w.FORECAST_TIME)} || wk || chr(10) || {quoted(w.BINS_LIST)} || array_to_string(
+          [substr('{text.LETTERS}', k + 1, 1) || ': ' || CASE WHEN k = 0 THEN '-inf' ELSE {number_text("b[k + 1]")} END || ' to ' || CASE WHEN k = len(b) - 2 THEN 'inf' ELSE {number_text("b[k + 2]")} END FOR k IN range(0, len(b) - 1)], ', '), '' ORDER BY event_name) AS prompt FROM bq GROUP BY 1, 2),
+        br AS (SELECT patientid, split_date, target_date AS date, 'lab' AS event_category, event_name, event_descriptive_name, label AS event_value, 'events' AS source, split_date AS since0 FROM bt){sql_timeline("bx", "br", "patientid, split_date", start="since0", first=False)}
+        SELECT bp.*, text AS answer FROM bp JOIN bx USING (patientid, split_date)""",
     "d42_event_task_text": f"{BASE}{sql_tasks(_DRAWN, '2100-01-01')}{_EVENT_TEXT} SELECT * FROM et",
     "d43_instruction_samples": f"{FULL}{_SAMPLES} SELECT * REPLACE (array_to_string(kinds, ',') AS kinds) FROM sa",
     "d44_pretrain_samples": f"{WITH}{TIMELINE}{_STATIC}{sql_timeline('tx', 'tl', 'patientid')} SELECT patientid, {quoted(w.PREAMBLE)} || static || text AS text FROM tx JOIN st USING (patientid)",
