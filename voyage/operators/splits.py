@@ -38,8 +38,12 @@ def within_days(splits: DataFrame, rows: DataFrame, before: int, after: int, key
     return left.join(right, [*keys, "stretch"]).where(F.datediff(at, "date").between(-before, after)).drop("stretch")
 
 
-def sample_splits_per_lot(candidates: DataFrame, n: int = 10, seed: str = "1") -> DataFrame:
-    """(patientid, lot_date, split_idx, split_date): n draws with replacement per line of therapy."""
+def sample_splits_per_lot(candidates: DataFrame, n: int = 10, seed: str = "1", replace: bool = True) -> DataFrame:
+    """(patientid, lot_date, split_idx, split_date): n draws per line of therapy; without replacement, n different dates at most, numbered in order."""
+    if not replace:
+        own = Window.partitionBy("patientid", "lot_date")
+        ranked = candidates.select("patientid", "lot_date", "date").distinct().withColumn("k", F.row_number().over(own.orderBy(u01(F.lit(seed), "patientid", "lot_date", "date"), "date")))
+        return ranked.where(F.col("k") <= n).select("patientid", "lot_date", (F.row_number().over(own.orderBy("date")) - 1).alias("split_idx"), F.col("date").alias("split_date"))
     dates = candidates.groupBy("patientid", "lot_date").agg(F.array_sort(F.collect_list("date")).alias("dates"))  # of one window of days
     drawn = dates.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     at = F.floor(u01(F.lit(seed), "patientid", "lot_date", "k") * F.size("dates")).cast("int")
@@ -75,8 +79,8 @@ def variable_statistics(events: DataFrame, candidates: DataFrame, min_n: int = 5
     return base.join(clean, "event_name", "left").withColumn("score_nrmse_n_samples", n).withColumn("score_log_nrmse_n_samples", F.log2(n))
 
 
-def forecast_targets(events: DataFrame, splits: DataFrame, variables: DataFrame, stats: DataFrame, horizon: int = 90) -> DataFrame:
-    """Values of each split's variables within the horizon and before the next line of therapy, clipped to three deviations."""
+def forecast_targets(events: DataFrame, splits: DataFrame, variables: DataFrame, stats: DataFrame, horizon: int = 90, stop_at_next_lot: bool = True, sigma_clip: bool = True) -> DataFrame:
+    """Values of each split's variables within the horizon and, if so asked, before the next line of therapy and clipped to three deviations."""
     lots = events.where("event_category = 'lot'").groupBy("patientid").agg(F.collect_set("date").alias("lots"))  # of one patient
     keys = splits.select("patientid", "date").distinct()
     ends = keys.join(lots, "patientid", "left").select("patientid", "date", F.array_min(F.filter("lots", lambda lot: lot > F.col("date"))).alias("next_lot"))
@@ -84,19 +88,23 @@ def forecast_targets(events: DataFrame, splits: DataFrame, variables: DataFrame,
     labs = events.where("event_category = 'lab'").select("patientid", "event_name", F.col("date").alias("target_date"), number(F.col("event_value")).alias("v"))
     gap = F.datediff("target_date", "date")
     rows = within_days(asked, labs, 0, horizon, ("patientid", "event_name"), "target_date")
-    rows = rows.where((gap > 0) & F.col("v").isNotNull() & (F.col("next_lot").isNull() | (F.col("target_date") < F.col("next_lot"))))
+    before = F.col("next_lot").isNull() | (F.col("target_date") < F.col("next_lot")) if stop_at_next_lot else F.lit(True)
+    rows = rows.where((gap > 0) & F.col("v").isNotNull() & before)
     three = stats.select("event_name", (F.col("mean") - 3 * F.col("std")).alias("low"), (F.col("mean") + 3 * F.col("std")).alias("high"))
-    return rows.join(F.broadcast(three), "event_name", "left").select("patientid", "date", "event_name", "target_date", F.greatest(F.least("v", "high"), "low").alias("event_value"))
+    return rows.join(F.broadcast(three), "event_name", "left").select("patientid", "date", "event_name", "target_date", (F.greatest(F.least("v", "high"), "low") if sigma_clip else F.col("v")).alias("event_value"))
 
 
-def sample_variables(eligible: DataFrame, stats: DataFrame, n: int = 3, score: str = "score_log_nrmse_n_samples", seed: str = "2") -> DataFrame:
-    """(patientid, date, event_name): up to n variables a date, drawn without replacement with odds in proportion to the score.
+def sample_variables(eligible: DataFrame, stats: DataFrame, n_min: int = 3, n_max: int = 3, score: str = "score_log_nrmse_n_samples", seed: str = "2", taken: DataFrame | None = None) -> DataFrame:
+    """(patientid, date, event_name): variables of each date, drawn without replacement with odds in proportion to the score.
 
-    Variables without statistics or with a score of 0 or less are not drawn; a date with a null score in its pool has no sample.
+    n_min of them, or a number drawn from n_min up to below n_max. Variables without statistics or with a score of 0 or less are not drawn,
+    nor those an earlier draw (patientid, date, event_name) has taken; a date with a null score in its pool has no sample.
     """
     pool = eligible.where("event_name is not null").join(F.broadcast(stats.select("event_name", F.col(score).alias("w"))), "event_name")  # one row a variable
+    pool = pool if taken is None else pool.join(taken, ["patientid", "date", "event_name"], "left_anti")
     own = Window.partitionBy("patientid", "date")
     wait = -F.ln(F.greatest(u01(F.lit(seed), "patientid", "date", "event_name"), F.lit(1e-12))) / F.col("w")
+    n = F.lit(n_min) + F.floor(u01(F.lit(seed), F.lit("n"), "patientid", "date") * max(0, n_max - n_min))
     drawn = pool.withColumn("holes", F.count_if(F.col("w").isNull()).over(own)).where("holes = 0 and w > 0").withColumn("k", F.row_number().over(own.orderBy(wait, "event_name")))
     return drawn.where(F.col("k") <= n).select("patientid", "date", "event_name")
 
