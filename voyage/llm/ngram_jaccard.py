@@ -11,8 +11,9 @@ Documents are sets of hashed word n-grams. Copies of a set meet first, so what f
    each other. If all but GROUP sets of a key are connected, those few meet the rest, group by group. Other keys are not
    compared pair by pair. All sets of such a key are verified against its smallest one, the pivot, and what
    a set has or lacks against the pivot is its difference. Two sets that link, and are not both linked to the pivot, have
-   part of their differences in common, and their differences differ in few tokens: in the order from rare to
-   frequent, the first few tokens of both differences share a token. These are the keys of the next round. The pivot has no
+   part of their differences in common, the more the larger these are: in the order from rare to frequent, the first
+   tokens of both differences, all but that part, share a token. These are the keys of the next round, told apart by the
+   sizes of the two differences. The pivot has no
    difference and drops out, and edits of a common original, each in another place, fall apart at once.
 
 Token-group matrix: for the groups above, the matrix holds the token union of each. A query set whose tokens overlap a
@@ -38,6 +39,8 @@ from voyage.llm.components import components
 from voyage.llm.store import TABLES, only, remove, texts_of, without, written
 
 GROUP = 64
+#: Classes of sizes of differences, in the number of tokens by which linked sets can differ.
+CLASSES = 4
 BITS, MOST_BITS = 1 << 11, 1 << 17
 SLICE = 256  # bytes of the rows that are opened to bits at a time
 
@@ -270,7 +273,8 @@ def common_tokens(n: int):
 def differences(n: int, num: int, den: int):
     """Over rows (tile, side, pivot, id, text, tokens, counts) sorted by tile and side, the pivot first: (pivot, id, linked, keys) of each other set.
 
-    keys: the first tokens of the set's difference from the pivot, rare ones first, so many that two sets that link have one in common.
+    keys: for each class of sizes that the difference of a set that links can have, the first tokens of this set's difference, rare ones
+    first: all but as many as both have in common at least. So two sets that link share a key of their two classes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,13 +292,20 @@ def differences(n: int, num: int, den: int):
                 most = (den - num) * len(own) // num  # tokens by which a set that links can differ from this one
                 for base in bases:
                     apart = np.setxor1d(base, own, assume_unique=True)
-                    same = (len(base) + len(own) - len(apart)) // 2
-                    rank = np.zeros(len(apart), np.int64)
+                    n_apart = len(apart)
+                    same = (len(base) + len(own) - n_apart) // 2
+                    rank = np.zeros(n_apart, np.int64)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, apart), len(known) - 1)
                         rank = np.where(known[at] == apart, often[at], 0)
-                    first = apart[np.lexsort((hashing.mix(apart), rank))][: most + 1]
-                    keys = hashing.mix(first ^ hashing.mix(np.array([pivot], np.int64).view(np.uint64)))
+                    apart = hashing.mix(apart)[np.lexsort((hashing.mix(apart), rank))]
+                    wide = max(1, (den - num) * len(base) // num // CLASSES)
+                    own_class, found = n_apart // wide, [np.zeros(0, np.uint64)]
+                    for other in range(max(0, n_apart - most) // wide, (n_apart + most) // wide + 1):
+                        common = max(1, -((most - n_apart - max(1, other * wide)) // 2))  # of the two differences, at least
+                        label = np.array([pivot, wide, min(own_class, other), max(own_class, other)], np.int64).view(np.uint64)
+                        found.append(hashing.mix(apart[: max(0, n_apart - common + 1)] ^ hashing.grams(hashing.mix(label), 4)))
+                    keys = np.concatenate(found)
                     rows.append((pivot, i, den * same >= num * (len(base) + len(own) - same), hashing.signed(keys).tolist()))
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["pivot", "id", "linked", "keys"])
@@ -327,8 +338,11 @@ def merged(joined: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(fresh), "joined")
 
 
-def links_of_keys(rows: DataFrame, matrix: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
-    """One round over what unsettled() gives: verified links (a, b), and the rows (key, id) of the next round or None."""
+def links_of_keys(rows: DataFrame, matrix: DataFrame, texts: DataFrame, n: int, num: int, den: int, first: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """One round over what unsettled() gives: verified links (a, b), and the rows (key, id) of the next round or None.
+
+    In the first round, large keys that share sets have one pivot together, so that each set is opened against one.
+    """
     few = rows.where(F.col("n") <= GROUP)
     kin = few.groupBy("pivot").agg(F.count_distinct("id").alias("kin"))
     own = F.when(F.col("kin") <= GROUP, F.xxhash64("pivot")).otherwise(F.xxhash64("pivot", "key"))  # all keys of a smallest set in one group, if they fit
@@ -343,6 +357,8 @@ def links_of_keys(rows: DataFrame, matrix: DataFrame, texts: DataFrame, n: int,
     if large.isEmpty():
         return found, None
     others = large.where("id <> pivot")
+    if first:
+        others = components(others.select(F.col("pivot").alias("a"), F.col("id").alias("b"))).where("node <> component").select(F.col("component").alias("pivot"), F.col("node").alias("id"))
     rooms = others.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("rooms"))
     tiles = written(others.join(rooms, "pivot").select("pivot", F.pmod(F.xxhash64("id"), "rooms").alias("room"), "id"), "tiles")
     heads = tiles.select("pivot", "room").distinct().withColumn("id", F.col("pivot"))
@@ -355,7 +371,9 @@ def links_of_keys(rows: DataFrame, matrix: DataFrame, texts: DataFrame, n: int,
     told = told.select(F.xxhash64("pivot", "room").alias("tile"), "side", "pivot", "id", "text", "tokens", "counts").repartition("tile").sortWithinPartitions("tile", "pivot", "side")
     apart = written(told.mapInArrow(differences(n, num, den), "pivot long, id long, linked boolean, keys array<long>"), "apart")
     links = found.union(apart.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-    return links, written(apart.select(F.explode("keys").alias("key"), "id").distinct(), "next")
+    keyed = apart.select(F.explode("keys").alias("key"), "id")
+    wide = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    return links, written(keyed.join(wide, "key"), "next")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -395,12 +413,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     split = members.groupBy("id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a < b").select("id", "a")  # ids of two texts
     links = links.union(split.join(members.where("set_id is not null").select("id", F.col("set_id").alias("b")), "id").select("a", "b"))
     joined = components(links)
-    rows: DataFrame | None = met
+    rows, first = met, True
     while rows is not None:
         rows = written(unsettled(rows.select("key", "id").distinct(), joined), "unsettled")
         if rows.isEmpty():
             break
-        found, rows = links_of_keys(rows, matrix, texts, n, num, den)
+        found, rows = links_of_keys(rows, matrix, texts, n, num, den, first)
+        first = False
         joined = merged(joined, found)
     return members.join(joined.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "set_id", "id").alias("component_id")
