@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from voyage.functions.numbers import number
 from voyage.functions.random import u01
+from voyage.operators.ordering import as_of
 
 KEY = ("patientid", "date", "event_name", "target_date")
 #: Centre and spread that decide the bounds, by mode.
@@ -20,9 +21,8 @@ BOUNDS = {"raw": ("mean", "std"), "clean": ("mean_without_outliers", "std_withou
 def copy_forward(events: DataFrame, targets: DataFrame) -> DataFrame:
     """The target rows' keys with the last value up to the split (of one day the largest); null where there is none."""
     labs = events.where("event_category = 'lab'").select("patientid", "event_name", F.col("date").alias("at"), number(F.col("event_value")).alias("v")).where("v is not null")
-    keys = targets.select("patientid", "date", "event_name").distinct()
-    last = keys.join(labs, ["patientid", "event_name"]).where("at <= date").groupBy("patientid", "date", "event_name").agg(F.max(F.struct("at", "v")).alias("x"))
-    return targets.select(*KEY).distinct().join(last, ["patientid", "date", "event_name"], "left").select(*KEY, F.col("x.v").alias("event_value"))
+    last = as_of(targets, labs, ("patientid", "event_name"), {"v": F.col("v")})
+    return targets.select(*KEY).distinct().join(last, ["patientid", "date", "event_name"], "left").select(*KEY, F.col("v").alias("event_value"))
 
 
 def fill_with_copy_forward(pred: DataFrame, last: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voyage.functions.random import u01
+from voyage.operators.ordering import as_of
 
 
 def landmark_times(events: DataFrame, splits: DataFrame, categories: tuple[str, ...] = ("death", "progression", "lot")) -> DataFrame:
@@ -15,13 +16,12 @@ def landmark_times(events: DataFrame, splits: DataFrame, categories: tuple[str,
     with the last visit. Lines of therapy are not censored by themselves. Nothing later: time 0, censored.
     """
     keys = splits.select("patientid", "date").distinct()
-    later = events.select("patientid", F.col("date").alias("at"), "event_category").join(keys, "patientid").where("at > date")
-    first = later.groupBy("patientid", "date").agg(
-        F.max("at").alias("last"), F.min(F.when(F.col("event_category") == "lot", F.col("at"))).alias("next_lot"),
-        *(F.min(F.when(F.col("event_category") == c, F.col("at"))).alias(f"first_{c}") for c in categories),
-    )
+    rows = events.select("patientid", F.col("date").alias("at"), "event_category")
+    is_ = lambda c: F.when(F.col("event_category") == c, F.col("at"))
+    first = as_of(keys, rows, ("patientid",), {"next_lot": is_("lot")} | {f"first_{c}": is_(c) for c in categories}, forward=True)
+    first = first.join(rows.groupBy("patientid").agg(F.max("at").alias("last")), "patientid", "left").withColumn("last", F.when(F.col("last") > F.col("date"), F.col("last")))
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.col(f"first_{c}").alias("hit")) for c in categories)))
-    grid = keys.join(first, ["patientid", "date"], "left").select("patientid", "date", "last", "next_lot", cells.alias("x")).select("*", "x.*")
+    grid = first.select("patientid", "date", "last", "next_lot", cells.alias("x")).select("*", "x.*")
     seen = F.col("hit").isNotNull() & ((F.col("category") == "lot") | F.col("next_lot").isNull() | (F.col("hit") < F.col("next_lot")))
     end = F.when(seen, F.col("hit")).otherwise(F.coalesce("next_lot", "last", "date"))
     return grid.select("patientid", "date", "category", (F.datediff(end, "date") / 7).alias("true_time"), (~seen).alias("true_censoring"))
@@ -45,11 +45,10 @@ def event_tasks(
     keys = splits.select("patientid", "split_date").distinct()
     rows = events.select("patientid", F.col("date").alias("at"), "event_category", "event_name")
     last = rows.groupBy("patientid").agg(F.max("at").alias("last"))
-    first = lambda condition: F.min(F.when(condition, F.col("at")))
+    first = lambda condition: F.when(condition, F.col("at"))
     names = tuple(dict.fromkeys((*categories, "death", "lot")))
-    later = keys.join(rows, "patientid").where("at > split_date").groupBy("patientid", "split_date").agg(
-        F.min("at").alias("next_any"), first(F.col("event_name") == "death").alias("died"), *(first(F.col("event_category") == c).alias(f"first_{c}") for c in names)
-    )
+    picks = {"next_any": F.col("at"), "died": first(F.col("event_name") == "death")} | {f"first_{c}": first(F.col("event_category") == c) for c in names}
+    later = as_of(keys, rows, ("patientid",), picks, key_at="split_date", forward=True)
     drawn = F.lit(1) + F.floor(u01(F.lit(seed), "patientid", "split_date", "category") * max_weeks)
     grid = keys.withColumn("category", F.explode(F.array(*map(F.lit, categories))))
     grid = grid.withColumn("week", F.explode(F.array(*map(F.lit, weeks))) if weeks else drawn.cast("int"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from voyage.functions.numbers import number
 from voyage.functions.random import u01
+from voyage.operators.quantiles import exact_quantiles
+from voyage.sources.tables import written
 
 
 def candidate_split_dates(events: DataFrame, days_before: int = 90, days_after: int = 90) -> DataFrame:
@@ -65,18 +67,18 @@ def variable_statistics(events: DataFrame, candidates: DataFrame, min_n: int = 5
     labs = events.where("event_category = 'lab'").select("patientid", "date", "event_name", number(F.col("event_value")).alias("v")).distinct()
     rows = labs.join(candidates.select("patientid", "date"), ["patientid", "date"])
     before = F.lag("v").over(Window.partitionBy("patientid", "event_name").orderBy("date", "v"))
-    pairs = rows.withColumn("p", before).where("v is not null and p is not null")
+    pairs = written(rows.withColumn("p", before).where("v is not null and p is not null and event_name is not null").select("event_name", "v", "p"), "pairs")
     error = F.avg((F.col("v") - F.col("p")) ** 2)
     base = pairs.groupBy("event_name").agg(
         F.count("*").alias("num_samples"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), (F.max("v") - F.min("v")).alias("range"),
         (1 - error / F.var_pop("v")).alias("r2"), (F.sqrt(error) / F.stddev_samp("v")).alias("nrmse"), (F.avg(F.abs((F.col("v") - F.col("p")) / F.nullif(F.col("v"), F.lit(0.0)))) * 100).alias("mape"),
-        F.array_distinct(F.percentile("v", F.array(*map(F.lit, (0.0, 0.2, 0.4, 0.6, 0.8, 1.0))))).alias("bins"),
-    )
-    base = base.where(F.col("num_samples") >= min_n)
+    ).where(F.col("num_samples") >= min_n)
+    base = written(base, "moments")
     inside = pairs.join(F.broadcast(base.select("event_name", "mean", "std")), "event_name").where("abs(v - mean) <= 3 * std")  # one row a variable
     clean = inside.groupBy("event_name").agg(F.avg("v").alias("mean_without_outliers"), F.stddev_pop("v").alias("std_without_outliers"))
+    edges = exact_quantiles(pairs, ("event_name",), "v", (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)).select("event_name", F.array_distinct("quantiles").alias("bins"))
     n = F.col("num_samples") * F.col("nrmse")
-    return base.join(clean, "event_name", "left").withColumn("score_nrmse_n_samples", n).withColumn("score_log_nrmse_n_samples", F.log2(n))
+    return base.join(edges, "event_name").join(clean, "event_name", "left").withColumn("score_nrmse_n_samples", n).withColumn("score_log_nrmse_n_samples", F.log2(n))
 
 
 def forecast_targets(events: DataFrame, splits: DataFrame, variables: DataFrame, stats: DataFrame, horizon: int = 90, stop_at_next_lot: bool = True, sigma_clip: bool = True) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voyage.operators.evaluation import km_censoring
+from voyage.operators.ordering import numbered
+from voyage.sources.tables import written
 
-LEVELS = 40
+#: Risks of a block, as a power of 2.
+BLOCK = 16
 
 
 def with_censoring(rows: DataFrame, g: DataFrame, group: str = "group") -> DataFrame:
@@ -24,25 +27,38 @@ def c_index_ipcw(test: DataFrame, tau: float | None = None, by: tuple[str, ...]
     A row with an event before tau is compared with all rows of a later time, and with censored ones of the same time; its
     pairs weigh 1 / g squared, equal risks count half. Null without pairs, or where g is 0 at an event.
 
-    Pairs are counted, not made: times become ranks, and the pairs of ranks a < b are those that first differ at one binary digit. For
-    each digit, rows that share the digits above it meet, sorted by risk, and running counts of those with the digit 1
-    give, for each row with the digit 0, how many have a lower or an equal risk.
+    Rows without a time or a risk take no part; by may be null.
+
+    Pairs are counted, not made: times become ranks, and the pairs of ranks a < b are those that first differ at one binary digit. For each digit,
+    rows that share the digits above it meet. Rows of equal place and risk are added up first; the risks of a group are cut into blocks, in which running
+    counts of rows with the digit 1 go on from the counts of the blocks of lower risk. So each row with the digit 0 learns how many have a lower or
+    an equal risk, and no task holds a group.
     """
-    ranked = test.withColumn("rank", F.dense_rank().over(Window.partitionBy(*by).orderBy("time", (~F.col("event")).cast("int"))).cast("long"))
-    most = Window.partitionBy(*by)
-    ranked = ranked.withColumn("digits", F.greatest(F.ceil(F.log2(F.max("rank").over(most) + 1)), F.lit(1)).cast("int")).withColumn("row", F.monotonically_increasing_id())
-    cells = ranked.withColumn("digit", F.explode(F.sequence(F.lit(0), F.col("digits") - 1)))
-    cells = cells.withColumn("above", F.expr("shiftright(rank, digit + 1)")).withColumn("one", F.expr("cast(shiftright(rank, digit) & 1 as long)"))
-    meet = Window.partitionBy(*by, "digit", "above")
-    upto = F.sum("one").over(meet.orderBy("risk").rangeBetween(Window.unboundedPreceding, 0))
-    equal = F.sum("one").over(Window.partitionBy(*by, "digit", "above", "risk"))
-    counted = cells.withColumns({"upto": upto, "equal": equal, "all": F.sum("one").over(meet)})
-    use = (F.col("one") == 0) & F.col("event") & ((F.col("time") < tau) if tau is not None else F.lit(True))
-    w = F.try_divide(F.lit(1.0), F.col("g") * F.col("g"))
-    good = F.col("upto") - F.col("equal") / 2
-    out = counted.where(use).groupBy(*by).agg(F.sum(w * good).alias("good"), F.sum(w * F.col("all")).alias("weight"), F.bool_or((F.col("g") <= 0) & (F.col("all") > 0)).alias("broken"))
-    groups = test.select(*by).distinct()
-    return groups.join(out, list(by), "left").select(*by, F.when(~F.coalesce("broken", F.lit(False)) & (F.col("weight") > 0), F.col("good") / F.col("weight")).alias("c_index"))
+    use = F.col("event") & ((F.col("time") < tau) if tau is not None else F.lit(True))
+    key, sums = F.struct(*by).alias("key"), ["n", "w", "broken"]
+    cells = test.where("time is not null and risk is not null").groupBy(key, "time", (~F.col("event")).alias("free"), "risk").agg(
+        F.count("*").alias("n"), F.sum(F.when(use, F.try_divide(F.lit(1.0), F.col("g") * F.col("g")))).alias("w"), F.count_if(use & (F.col("g") <= 0)).alias("broken")
+    )
+    cells = written(cells, "cells")
+    ranks = numbered(cells.select("key", "time", "free").distinct(), ("key",), ("time", "free")).withColumnRenamed("position", "rank")
+    places = numbered(cells.select("key", "risk").distinct(), ("key",), ("risk",)).withColumnRenamed("position", "place")
+    digits = ranks.groupBy("key").agg(F.greatest(F.ceil(F.log2(F.max("rank") + 1)), F.lit(1)).cast("int").alias("digits"))
+    rows = cells.join(ranks, ["key", "time", "free"]).join(places, ["key", "risk"]).join(digits, "key")
+    rows = rows.select("key", "rank", "place", *sums, F.explode(F.sequence(F.lit(0), F.col("digits") - 1)).alias("digit"))
+    one = F.expr("shiftright(rank, digit) & 1") == 1
+    meet = rows.groupBy("key", "digit", F.expr("shiftright(rank, digit + 1)").alias("above"), F.shiftright("place", BLOCK).alias("block"), "place").agg(
+        F.sum(F.when(one, F.col("n")).otherwise(0)).alias("ones"), F.sum(F.when(~one, F.col("w"))).alias("w"), F.sum(F.when(~one, F.col("broken")).otherwise(0)).alias("broken")
+    )
+    meet = written(meet, "meet")
+    own = ["key", "digit", "above"]
+    before = lambda by, order: F.coalesce(F.sum("ones").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = meet.groupBy(*own, "block").agg(F.sum("ones").alias("ones"))
+    blocks = blocks.select(*own, "block", before(own, "block").alias("ahead"), F.sum("ones").over(Window.partitionBy(*own)).alias("all"))
+    counted = meet.withColumn("lower", before([*own, "block"], "place")).join(blocks, [*own, "block"])
+    good = F.col("ahead") + F.col("lower") + F.col("ones") / 2
+    out = counted.groupBy("key").agg(F.sum(F.col("w") * good).alias("good"), F.sum(F.col("w") * F.col("all")).alias("weight"), F.bool_or((F.col("broken") > 0) & (F.col("all") > 0)).alias("bad"))
+    index = F.when(~F.coalesce("bad", F.lit(False)) & (F.col("weight") > 0), F.col("good") / F.col("weight"))
+    return test.select(key).distinct().join(out, "key", "left").select("key.*", index.alias("c_index"))
 
 
 def survival_eval(pred: DataFrame, targets: DataFrame, train: DataFrame, days_a_unit: int = 7, category: str = "category") -> DataFrame:
