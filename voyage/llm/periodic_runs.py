@@ -190,21 +190,21 @@ def periodic_runs(docs: DataFrame, least: int = 24, powers: int = 3, id_col: str
     return out.withColumnRenamed("id", id_col)
 
 
-def planted(text, doc_id):
-    """The text with a repeat: of documents whose checksum ends in 0, each word from a = g % n on is the word a + (i - a) % p."""
-    h = F.crc32(doc_id.cast("string").cast("binary"))
-    g, words = F.floor(h / 10), F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.size(words).cast("long")
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    turned = F.transform(words, lambda w, i: F.when(i >= a, F.element_at(words, (1 + a + F.pmod(i - a, p)).cast("int"))).otherwise(w))
-    return F.when((h % 10 == 0) & (n > 0), F.concat_ws(" ", turned)).otherwise(text)
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with repeats: in documents whose checksum ends in 0, each word from a = g % n on is the word a + (i - a) % p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words"))  # split once, not for every word
+    rows = rows.select("*", F.size("words").cast("long").alias("n")).select("*", F.pmod("g", F.nullif("n", F.lit(0))).alias("a"))
+    rows = rows.select("*", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).alias("p"))
+    turned = F.transform("words", lambda w, i: F.when(i >= F.col("a"), F.element_at("words", (1 + F.col("a") + F.pmod(i - F.col("a"), F.col("p"))).cast("int"))).otherwise(w))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.concat_ws(" ", turned)).otherwise(F.col("text")).alias("text"))
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of 24 words and three periods at least, over all documents with planted repeats."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = periodic_runs(docs.select("doc_id", planted(F.col("text"), F.col("doc_id")).alias("text")))
+    out = periodic_runs(planted(docs))
     listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))))
     return out.select(
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
