@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voyage.functions.numbers import number
-from voyage.functions.random import u01
 from voyage.operators.ordering import as_of
 
 KEY = ("patientid", "date", "event_name", "target_date")
@@ -75,19 +74,48 @@ def regression_eval(pred: DataFrame, target: DataFrame, last: DataFrame) -> Data
     return out.select("n", "mae", "mse", F.sqrt("mse").alias("rmse"), F.try_divide("mae", "cf_mae").alias("mae_ratio"), F.try_divide("mse", "cf_mse").alias("mse_ratio"), F.sqrt(F.try_divide("mse", "cf_mse")).alias("rmse_ratio"))
 
 
+def _halves(*columns: Column) -> tuple[Column, Column]:
+    """The two 64-bit halves of the columns' MD5 hash as decimals."""
+    text = F.md5(F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("\\N")) for c in columns)))
+    return tuple(F.conv(F.substring(text, at, 16), 16, 10).cast("decimal(20,0)") for at in (1, 17))
+
+
 def evaluation_fingerprint(targets: DataFrame) -> DataFrame:
-    """One row that two runs over the same targets share: counts, and a sum over the 32-bit hashes of the different ids."""
-    id_hash = (u01("patientid") * 4294967296.0).cast("long")
-    return targets.agg(
+    """One row that two runs over the same targets share, in whatever order: counts, and 128-bit sums over the different ids and over all rows.
+
+    A sum is written as the sums of the two halves of the hashes; repeated rows count as often as they are there. Values count to six digits.
+    """
+    ids = targets.select("patientid").distinct().select(*(x.alias(n) for x, n in zip(_halves(F.col("patientid")), ("a", "b"), strict=True)))
+    row = _halves(*(F.col(c) for c in KEY), F.format_string("%.6f", F.col("event_value").cast("double")))
+    total = lambda a, b: F.concat_ws("-", F.coalesce(F.sum(a), F.lit(0)).cast("string"), F.coalesce(F.sum(b), F.lit(0)).cast("string"))
+    counts = targets.agg(
         F.count_distinct("patientid").alias("n_patients"), F.count_distinct("event_name").alias("n_events"), F.count_distinct("target_date").alias("n_dates"),
-        F.count("*").alias("n_rows"), F.count_distinct(F.round("event_value", 6)).alias("n_values"), F.sum_distinct(id_hash).alias("ids"),
+        F.count("*").alias("n_rows"), F.count_distinct(F.round("event_value", 6)).alias("n_values"), total(*row).alias("rows"),
     )
+    return counts.crossJoin(ids.agg(total(F.col("a"), F.col("b")).alias("ids")))  # one row each
+
+
+def store_run(targets: DataFrame, path: str) -> None:
+    """The fingerprint of a run's targets and, apart from it, the list of their ids."""
+    evaluation_fingerprint(targets).write.mode("overwrite").json(f"{path}/fingerprint")
+    targets.select("patientid").distinct().write.mode("overwrite").parquet(f"{path}/ids")
+
+
+def fingerprint_differences(path: str, targets: DataFrame) -> DataFrame:
+    """(field, stored, now, same): each field of a stored run's fingerprint beside that of the targets."""
+    def fields(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, df.columns)), F.array(*(F.col(c).cast("string") for c in df.columns)))).alias("field", name))
+
+    now = evaluation_fingerprint(targets)
+    stored = targets.sparkSession.read.schema(now.schema).json(f"{path}/fingerprint")
+    return fields(stored, "stored").join(fields(now, "now"), "field").withColumn("same", F.col("stored") == F.col("now"))
 
 
-def same_fingerprint(first: DataFrame, second: DataFrame) -> DataFrame:
-    """One row: whether two fingerprints, a stored one and a new one, agree in every column."""
-    a, b = first.select(F.struct(*first.columns).alias("a")), second.select(F.struct(*first.columns).alias("b"))
-    return a.crossJoin(F.broadcast(b)).select((F.col("a") == F.col("b")).alias("same"))  # one row each
+def ids_apart(path: str, targets: DataFrame) -> DataFrame:
+    """(patientid, only_in): ids that the stored run has and the targets lack ("stored"), or the other way round ("now")."""
+    stored = targets.sparkSession.read.parquet(f"{path}/ids").withColumn("s", F.lit(True))
+    both = stored.join(targets.select("patientid").distinct().withColumn("n", F.lit(True)), "patientid", "full")
+    return both.where("s is null or n is null").select("patientid", F.when(F.col("s").isNull(), "now").otherwise("stored").alias("only_in"))
 
 
 def align_week_start(series: DataFrame, by: tuple[str, ...] = ("patientid", "event_name")) -> DataFrame:

@@ -83,23 +83,35 @@ def split_counts(splits: DataFrame) -> DataFrame:
     return splits.groupBy("data_split").agg(F.count("*").alias("n"), F.count_distinct("patientid").alias("n_patients"))
 
 
-def from_meds(codes: DataFrame, data: DataFrame, split: DataFrame, prefer_text: bool = True, no_value: str = "present", categories: dict[str, str] | None = None, category: str = "other") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(events, constant, duplicates) of codes (code, description), data (subject_id, time, code, numeric_value, text_value), split (subject_id, split).
-
-    Rows without a time become the patient's constants, one map entry a code; the others events, each with its code's
-    description. duplicates: how often a (patient, date, name, value) comes again. Fails, when read, for a code without a description.
+def from_meds(
+    codes: DataFrame, data: DataFrame, split: DataFrame, prefer_text: bool = True, no_value: str = "present", categories: dict[str, str] | None = None, category: str = "other", most_constants: int = 1000,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(events, constant, constant_description, duplicates) of codes (code, description), data (subject_id, time, code, numeric_value, text_value), split (subject_id, split).
+
+    Rows without a time become the patient's constants: a first pass takes their codes, sorted, a second one makes a column of each, and the split is one
+    more. A patient with two values of one has the least. More than most_constants codes fail, since a table has so many columns. The other rows are events, each with its
+    code's description, and no_value where it has none. duplicates: how often a (patient, date, name, value) comes again. Fails, when read, for a code without a description.
     """
     number, text = F.col("numeric_value").cast("string"), F.col("text_value")
     value = F.coalesce(text, number) if prefer_text else F.coalesce(number, text)
     rows = data.select(F.col("subject_id").cast("string").alias("patientid"), F.col("time").alias("date"), F.col("code").alias("event_name"), value.alias("event_value"))
-    untimed = rows.where("date is null and event_value is not null").groupBy("patientid", "event_name").agg(F.min("event_value").alias("v"))
-    held = untimed.groupBy("patientid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_name", "v")))).alias("constants"))
+    told = codes.groupBy(F.col("code").alias("event_name")).agg(F.min("description").alias("event_descriptive_name"))
+    described = F.when(F.col("event_descriptive_name").isNull(), F.raise_error(F.concat(F.lit("no description of "), "event_name"))).otherwise(F.col("event_descriptive_name")).cast("string").alias("event_descriptive_name")
+
+    untimed = rows.where("date is null")
+    names = [r[0] for r in untimed.select("event_name").distinct().orderBy("event_name").limit(most_constants + 1).collect()]  # bounded by most_constants
+    if len(names) > most_constants:
+        raise ValueError(f"more than {most_constants} codes without a time: they can't be columns")
+    held = untimed.groupBy("patientid").agg(F.count("*").alias("n"), *(F.min(F.when(F.col("event_name") == c, F.col("event_value"))).alias(c) for c in names)).drop("n")
     constant = held.join(split.select(F.col("subject_id").cast("string").alias("patientid"), "split"), "patientid", "left")
-    named = rows.where("date is not null").join(codes.select(F.col("code").alias("event_name"), F.col("description").alias("event_descriptive_name")), "event_name", "left")
+    shown = data.sparkSession.createDataFrame([(c,) for c in ["patientid", *names, "split"]], "event_name string").join(told, "event_name", "left")
+    missing = F.when(F.col("event_name").isin("patientid", "split"), F.lit("No description available")).otherwise(described)
+    description = shown.select(F.col("event_name").alias("variable"), missing.alias("comment"))
+
+    named = rows.where("date is not null").join(told, "event_name", "left")
     kind = F.lit(None).cast("string")
     for code, c in (categories or {}).items():
         kind = F.when(F.col("event_name") == code, c).otherwise(kind)
-    described = F.when(F.col("event_descriptive_name").isNull(), F.raise_error(F.concat(F.lit("no description of "), "event_name"))).otherwise(F.col("event_descriptive_name"))
-    events = named.select("patientid", "date", F.coalesce(kind, F.lit(category)).alias("event_category"), "event_name", described.cast("string").alias("event_descriptive_name"), F.coalesce("event_value", F.lit(no_value)).alias("event_value"))
+    events = named.select("patientid", "date", F.coalesce(kind, F.lit(category)).alias("event_category"), "event_name", described, F.coalesce("event_value", F.lit(no_value)).alias("event_value"))
     again = events.groupBy("patientid", "date", "event_name", "event_value").agg(F.count("*").alias("n")).where("n > 1")
-    return events, constant, again
+    return events, constant, description, again

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voyage.functions import wording as w
+from voyage.functions.random import u01
+from voyage.operators.rows import without_words
 
 KEY = ("patientid", "split_date")
 NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
@@ -175,3 +177,38 @@ def evaluation_text_tables(samples: DataFrame, targets: DataFrame, last: DataFra
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of the one and not of the other, with the side they are on."""
     return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))
+
+
+def drawn_patients(rows: DataFrame, share: float = 0.01, seed: str = "round trip", key: str = "patientid") -> DataFrame:
+    """The rows of a share of the patients; the id decides, so all tables give the same patients."""
+    return rows.where(u01(F.lit(seed), key) < share)
+
+
+def round_trip_check(wrote: DataFrame, read: DataFrame, share: float = 0.01, skip: tuple[str, ...] = (), skip_genetic: bool = False, seed: str = "round trip", key: tuple[str, ...] = KEY) -> DataFrame:
+    """(key, date, event_name, event_value, side): rows of a share of the patients that were written and not read back, or the other way round.
+
+    wrote, read: (key, date, event_name, event_descriptive_name, event_value, source). Names and values are compared in lower case, repeats count. skip: words, in any
+    case, whose descriptive names are left out; skip_genetic: so are genetic rows. No rows: the way back is right.
+    """
+
+    def shown(df: DataFrame) -> DataFrame:
+        rows = drawn_patients(df, share, seed)
+        rows = rows.where("source is null or source <> 'genetic'") if skip_genetic else rows
+        rows = without_words(rows, "event_descriptive_name", skip) if skip else rows
+        return rows.select(*key, "date", F.lower("event_name").alias("event_name"), F.lower("event_value").alias("event_value"))
+
+    return symmetric_difference(shown(wrote), shown(read))
+
+
+def answers_apart(wrote: DataFrame, read: DataFrame, key: tuple[str, ...], share: float = 0.01, seed: str = "round trip", fields: tuple[str, ...] = ("target_name", "censored", "occurred")) -> DataFrame:
+    """(key, field, wrote, read): the fields of event answers, one row a key in either table, that differ; a missing row differs in all."""
+    side = lambda df, name: drawn_patients(df, share, seed).select(*key, F.struct(*(F.col(f).cast("string").alias(f) for f in fields)).alias(name))
+    both = side(wrote, "a").join(side(read, "b"), list(key), "full")
+    cells = F.array(*(F.struct(F.lit(f).alias("field"), F.col("a")[f].alias("wrote"), F.col("b")[f].alias("read")) for f in fields))
+    return both.select(*key, F.explode(cells).alias("x"), (F.col("a").isNull() | F.col("b").isNull()).alias("alone")).select(*key, "x.*", "alone").where("alone or not (wrote <=> read)").drop("alone")
+
+
+def completion_logprobs(logprobs: Column, prompt_tokens: Column) -> Column:
+    """The log-probabilities behind those of the prompt's tokens; none if the answer has none, null if there are fewer than the prompt has tokens."""
+    n = F.size(logprobs)
+    return F.when(n >= prompt_tokens, F.slice(logprobs, prompt_tokens.cast("int") + 1, F.greatest(n - prompt_tokens.cast("int"), F.lit(0))))

@@ -27,9 +27,9 @@ def without_words(rows: DataFrame, column: str, words: tuple[str, ...]) -> DataF
 
 
 def with_content(rows: DataFrame, column: str) -> DataFrame:
-    """rows whose array has an element, or whose text has more than white space."""
+    """rows whose array has an element, or whose text has more than ASCII white space."""
     kind = dict(rows.dtypes)[column]
-    return rows.where(F.size(column) > 0 if kind.startswith("array") else F.trim(column) != "")
+    return rows.where(F.size(column) > 0 if kind.startswith("array") else F.col(column).rlike(r"[^\x09-\x0D\x20]"))
 
 
 def blanked(rows: DataFrame, labels: tuple[str, ...]) -> DataFrame:

@@ -61,22 +61,25 @@ def c_index_ipcw(test: DataFrame, tau: float | None = None, by: tuple[str, ...]
     return test.select(key).distinct().join(out, "key", "left").select("key.*", index.alias("c_index"))
 
 
-def survival_eval(pred: DataFrame, targets: DataFrame, train: DataFrame, days_a_unit: int = 7, category: str = "category") -> DataFrame:
-    """(category, week, n, brier, c_index) of predictions (patientid, category, week, survival).
+def survival_eval(pred: DataFrame, targets: DataFrame, train: DataFrame, days_a_unit: int = 7, category: str = "category", by: tuple[str, ...] = (), within_training: bool = True) -> DataFrame:
+    """(category, week, by, n, brier, c_index) of predictions (patientid, category, week, survival).
 
-    targets and train: (patientid, category, time, event) in days, one row a patient and category. Test rows behind the last
-    training time of their category are left out; so are scores of weeks outside the followed times.
+    targets and train: (patientid, category, time, event) in days, one row a patient and category; by: further columns of targets, such as the trial, that
+    part the scores, while the censoring curve stays that of the category. within_training: test rows behind the last training time of their
+    category are left out. Scores of weeks outside the followed times of their part are null.
     """
     g = km_censoring(train, category)
     longest = train.groupBy(category).agg(F.max("time").alias("longest"))  # one row a category
-    held = with_censoring(targets.join(F.broadcast(longest), category).where("time <= longest").drop("longest"), g, category)
-    rows = pred.join(held, ["patientid", category]).withColumn("at", F.col("week") * days_a_unit)
+    tested = targets.join(F.broadcast(longest), category).where("time <= longest").drop("longest") if within_training else targets
+    rows = pred.join(with_censoring(tested, g, category), ["patientid", category]).withColumn("at", F.col("week") * days_a_unit)
     marks = rows.select(category, F.col("at").alias("time")).distinct()
     here = with_censoring(marks, g, category).select(category, F.col("time").alias("at"), F.col("g").alias("g_at"))
     rows = rows.join(F.broadcast(here), [category, "at"])  # one row a category and week
     hit = F.when((F.col("time") <= F.col("at")) & F.col("event"), F.try_divide(F.col("survival") ** 2, F.col("g")))
     free = F.when(F.col("time") > F.col("at"), F.try_divide((1 - F.col("survival")) ** 2, F.col("g_at")))
-    brier = rows.groupBy(category, "week").agg(F.avg(F.coalesce(hit, free, F.lit(0.0))).alias("score"), F.min("time").alias("lo"), F.max("time").alias("hi"), F.first("at").alias("at"), F.count("*").alias("n"))
-    brier = brier.select(category, "week", "n", F.when((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")), F.col("score")).alias("brier"))
-    index = c_index_ipcw(rows.withColumn("event", F.col("event") & (F.col("time") < F.col("at"))).withColumn("risk", 1 - F.col("survival")), by=(category, "week"))
-    return brier.join(index, [category, "week"])
+    own = (category, "week", *by)
+    brier = rows.groupBy(*own).agg(F.avg(F.coalesce(hit, free, F.lit(0.0))).alias("score"), F.min("time").alias("lo"), F.max("time").alias("hi"), F.first("at").alias("at"), F.count("*").alias("n"))
+    brier = brier.select(*own, "n", F.when((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")), F.col("score")).alias("brier"))
+    index = c_index_ipcw(rows.withColumn("event", F.col("event") & (F.col("time") < F.col("at"))).withColumn("risk", 1 - F.col("survival")), by=own)
+    same = lambda df: df.withColumn("own", F.struct(*own))
+    return same(brier).join(same(index).select("own", "c_index"), "own").drop("own")

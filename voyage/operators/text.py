@@ -213,3 +213,17 @@ def dataset_stats(samples: DataFrame, limit: int = 8192) -> DataFrame:
     return samples.groupBy(F.array_join(F.array_sort(F.array_distinct("kinds")), "+").alias("combination")).agg(
         F.count("*").alias("n"), F.sum(total).alias("tokens"), F.avg(total).alias("mean_tokens"), F.min(total).alias("least_tokens"), F.max(total).alias("most_tokens"), F.count_if(total > limit).alias("n_over"),
     )
+
+
+def forecast_meta(targets: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """(key, weeks, names): of each sample the map from variable to its weeks after the split, in order, and the map from variable to its descriptive name."""
+    week = F.datediff("target_date", "split_date") / 7
+    rows = targets.groupBy(*key, "event_name").agg(F.array_sort(F.collect_set(week)).alias("weeks"), F.min("event_descriptive_name").alias("name"))
+    entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_name", c))))
+    return rows.groupBy(*key).agg(entries("weeks").alias("weeks"), entries(F.coalesce("name", "event_name")).alias("names"))
+
+
+def merged_maps(first: Column, second: Column) -> Column:
+    """The entries of both maps, the second's value where both have a key; a null map counts as empty."""
+    first, second = (F.coalesce(m, F.map_filter(o, lambda k, v: F.lit(False))) for m, o in ((first, second), (second, first)))
+    return F.map_concat(F.map_filter(first, lambda k, v: ~F.map_contains_key(second, k)), second)

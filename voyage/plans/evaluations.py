@@ -29,6 +29,7 @@ counts AS (SELECT "group", time, count(*) FILTER (event) AS d, count(*) FILTER (
 steps AS (SELECT *, sum(c + d) OVER (PARTITION BY "group" ORDER BY time DESC) AS n FROM counts),
 km AS (SELECT "group", time, product(CASE WHEN n > d THEN 1 - c / (n - d) ELSE 1 END) OVER (PARTITION BY "group" ORDER BY time) AS g FROM steps)"""
 AT = 1500
+_HALVES = "CAST(sum(CAST('0x' || substr(h, 1, 16) AS UBIGINT)) AS VARCHAR) || '-' || CAST(sum(CAST('0x' || substr(h, 17, 16) AS UBIGINT)) AS VARCHAR)"
 
 
 def _frames(spark, d):
@@ -141,5 +142,5 @@ ORACLE = {
         x AS (SELECT surv.*, km.g, coalesce(here.g_at, 1) AS g_at FROM surv JOIN km USING ("group", time) LEFT JOIN here USING ("group"))
         SELECT "group", CASE WHEN {AT} >= min(time) AND {AT} < max(time) THEN round(avg(coalesce(CASE WHEN time <= {AT} AND event THEN survival * survival / nullif(g, 0) WHEN time > {AT} THEN (1 - survival) * (1 - survival) / nullif(g_at, 0) END, 0)), 6) END AS brier, count(*) AS n FROM x GROUP BY 1""",
     "d33_evaluation_fingerprint": f"""{TARGETS} SELECT count(DISTINCT patientid) AS n_patients, count(DISTINCT event_name) AS n_events, count(DISTINCT target_date) AS n_dates, count(*) AS n_rows, count(DISTINCT round(y, 6)) AS n_values,
-        CAST(sum(DISTINCT CAST(('0x' || substr(md5(patientid), 1, 8)) AS BIGINT)) AS BIGINT) AS ids FROM tgt""",
+        (SELECT {_HALVES} FROM (SELECT md5(concat_ws('|', patientid, date, event_name, target_date, format('{{:.6f}}', y))) AS h FROM tgt)) AS rows, (SELECT {_HALVES} FROM (SELECT DISTINCT md5(patientid) AS h FROM tgt)) AS ids FROM tgt""",
 }

@@ -110,7 +110,7 @@ ORACLE = {
     "p03_of_patient": f"{BASE} SELECT patientid, date, event_category, event_name, event_value, source FROM tl WHERE patientid = 'C1'",
     "p10_shaped": f"{WITH} SELECT event_name, patientid, CAST(NULL AS VARCHAR) AS meta_data, date FROM ev WHERE event_category <> 'lab'",
     "p12_without_words": f"{WITH} SELECT event_descriptive_name, count(*) AS n FROM ev WHERE NOT regexp_matches(event_descriptive_name, '(?i)small|line of') GROUP BY 1",
-    "p13_with_content": "SELECT doc_id FROM documents WHERE trim(text, ' ') <> ''",
+    "p13_with_content": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[^\x09-\x0D\x20]')",
     "p14_blanked": f"{WITH} SELECT gender, count(*) AS n, CAST(0 AS BIGINT) AS n_race, CAST(0 AS BIGINT) AS n_birthyear FROM con GROUP BY 1",
     "j07_compared": f"""{WITH}, a AS (SELECT DISTINCT patientid, date FROM ev WHERE event_category = 'lot'), b AS (SELECT DISTINCT patientid, date FROM ev WHERE event_category = 'progression')
         SELECT coalesce(a.patientid, b.patientid) AS patientid, coalesce(a.date, b.date) AS date, CASE WHEN a.patientid IS NULL THEN 'right_only' WHEN b.patientid IS NULL THEN 'left_only' ELSE 'both' END AS found FROM a FULL JOIN b ON a.patientid = b.patientid AND a.date = b.date""",

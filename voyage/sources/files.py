@@ -5,12 +5,16 @@ Paths go through Spark and its file systems alone, so they may lie in any store
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+import re
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Files of a cohort behind its name.
 PARTS = {
@@ -61,9 +65,62 @@ def typed(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*own, *(F.col(f"`{c}`") for c in df.columns if c not in {f.name for f in fields}))
 
 
+def csv_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, record, text): the records of CSV files, numbered from 0 in each file, whichever tasks read them.
+
+    Files are read in splits of lines. A first pass counts quotes in every split; sums of these tell whether a split begins inside quotes, and how many records
+    begin before it. So a second pass knows of each line whether it begins a record or goes on with one. Only the lines of records that have
+    several are moved to meet. Quotes stand around fields and are doubled inside them; a file with an odd number of them fails.
+    """
+    lines = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.withColumn("quotes", (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).cast("long"))
+    own = Window.partitionBy("file", "split").orderBy("at")
+    ahead = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.withColumn("inside", ahead("quotes", own))
+    begins = lambda odd: F.count_if(F.pmod(F.col("inside") + odd, F.lit(2)) == 0)
+    splits = lines.groupBy("file", "split").agg(F.sum("quotes").alias("quotes"), begins(0).alias("even"), begins(1).alias("odd"))
+    of_file = Window.partitionBy("file").orderBy("split")  # a row for each split
+    splits = splits.withColumn("carry", ahead("quotes", of_file))
+    splits = splits.withColumn("begun", ahead(F.when(F.pmod("carry", F.lit(2)) == 0, F.col("even")).otherwise(F.col("odd")), of_file)).withColumn("all", F.sum("quotes").over(Window.partitionBy("file")))
+    whole = F.when(F.pmod("all", F.lit(2)) == 0, F.col("begun")).otherwise(F.raise_error(F.concat(F.lit("unbalanced quotes in "), "file")))
+    rows = lines.join(splits.select("file", "split", "carry", whole.cast("long").alias("begun")), ["file", "split"])
+    rows = rows.withColumn("first", F.pmod(F.col("carry") + F.col("inside"), F.lit(2)) == 0).withColumn("last", F.pmod(F.col("carry") + F.col("inside") + F.col("quotes"), F.lit(2)) == 0)
+    rows = rows.withColumn("record", F.col("begun") + F.sum(F.col("first").cast("long")).over(own) - 1)
+    single = rows.where("first and last").select("file", "record", F.col("value").alias("text"))
+    several = rows.where("not (first and last)").groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "at", "value"))), lambda x: x["value"]), "\n").alias("text"))
+    return single.unionByName(several).withColumn("text", F.regexp_replace("text", r"\r\z", ""))
+
+
+def _first_record(spark: SparkSession, file: str) -> str:
+    """The header of a file whose name is a URI, read from its beginning alone; empty for an empty file."""
+    java = spark.sparkContext._jvm.java
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(java.net.URI(file))
+    reader = java.io.BufferedReader(java.io.InputStreamReader(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where), "UTF-8"))
+    text = reader.readLine() or ""
+    while text.count('"') % 2 and (more := reader.readLine()) is not None:
+        text += "\n" + more
+    reader.close()
+    return text
+
+
 def read_csv(spark: SparkSession, paths: str | list[str], schema: str | None = None, dates: Iterable[str] = ()) -> DataFrame:
-    """CSV files with headers, quoted line breaks and all; columns are texts but for the schema's and the dates."""
-    df = without_unnamed(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths))
+    """CSV files with headers, quoted line breaks and all, a large file by many tasks; columns are texts but for the schema's and the dates.
+
+    Files of different headers are united by name. Blank lines are left out. Quotes are as csv_records says.
+    """
+    records = csv_records(spark, paths)
+    heads: dict[str, list[str]] = {}
+    for file in spark.read.text(paths).inputFiles():
+        heads.setdefault(_first_record(spark, file).removeprefix("\ufeff"), []).append(re.sub(":/+", ":/", file))
+    out = None
+    for head, files_ in heads.items():
+        names = [n.strip() or f"_c{k}" for k, n in enumerate(next(csv.reader(io.StringIO(head))))]
+        fields = StructType([StructField(f"f{k}", StringType()) for k in range(len(names))])
+        body = records.where((F.col("record") > 0) & (F.trim("text") != "") & F.regexp_replace("file", ":/+", ":/").isin(*files_))
+        parsed = body.select(F.from_csv("text", fields.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"escape": '"', "maxCharsPerColumn": "-1"}).alias("x"))
+        part = without_unnamed(parsed.select(*(F.col(f"x.f{k}").alias(n) for k, n in enumerate(names))))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    df = out if out is not None else spark.createDataFrame([], schema or "_c0 string")
     df = typed(df, schema) if schema else df
     return df.withColumns({c: F.to_date(c) for c in dates}) if dates else df
 
@@ -121,14 +178,15 @@ def read_representations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_split_map(spark: SparkSession, path: str) -> DataFrame:
-    """(patientid, data_split) of a JSON object of both."""
-    text = spark.read.option("wholetext", True).text(path)
+    """(patientid, data_split) of a JSON object of both, or of a folder of files with one such object a line, as write_split_map leaves them."""
+    where, store = _file_system(spark, path)
+    text = spark.read.option("wholetext", not store.getFileStatus(where).isDirectory()).text(path)
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("patientid", "data_split"))
 
 
 def write_split_map(splits: DataFrame, path: str) -> None:
-    """The (patientid, data_split) rows as JSON, a line each, read again by read_json_lines; of any size."""
-    splits.select("patientid", "data_split").write.mode("overwrite").json(path)
+    """The (patientid, data_split) rows as JSON objects, a line each, in a folder of any size; read_split_map reads them."""
+    splits.select(F.to_json(F.create_map("patientid", "data_split")).alias("value")).write.mode("overwrite").text(path)
 
 
 def nested_json(rows: DataFrame, key: tuple[str, ...], name: str, order: Column | str | None = None) -> DataFrame:
@@ -137,27 +195,78 @@ def nested_json(rows: DataFrame, key: tuple[str, ...], name: str, order: Column
     return rows.groupBy(*key).agg(F.to_json(F.array_sort(F.collect_list(cells))).alias(name))
 
 
-def write_samples(samples: DataFrame, path: str, meta: Iterable[str] = (), by: tuple[str, ...] = ("indication", "data_split"), resume: bool = False) -> None:
-    """JSON lines of instruction, answer and meta (an object of the columns named), one folder for each cohort and split.
+def write_samples(samples: DataFrame, path: str, meta: Iterable[str] = (), by: tuple[str, ...] = ("indication", "data_split"), batch: str = "all", resume: bool = False) -> None:
+    """JSON lines of instruction, answer and meta (an object of the columns named), in folders of the batch, cohort and split.
 
-    Folders that the samples have rows for are replaced, others stay; with resume, cohorts that are there already are left alone.
+    A batch is written in full and then put into the manifest by one rename, with the rows of each of its cohorts and splits; readers see only what the manifest
+    lists. So a batch that was broken off, by a lost driver too, does not count and its folder is replaced by the next attempt. With resume,
+    a batch of the manifest is left alone, and of a new one the cohorts and splits that any earlier batch has are; without, the batch
+    replaces all others of the path.
     """
     spark = samples.sparkSession
+    known = _manifest(spark, path) if resume else {}
+    if batch in known:
+        return
     rows = samples.select("instruction", "answer", F.struct(*meta).alias("meta"), *by) if meta else samples
-    if resume:
-        done = [p.rsplit("=", 1)[1] for p in listed(spark, f"{path}/{by[0]}=*")]
-        rows = rows.where(~F.col(by[0]).isin(*done)) if done else rows
-    rows.write.mode("append" if resume else "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(path)
-
-
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path)
+    done = sorted({tuple(part[c] for c in by) for parts in known.values() for part in parts}, key=str)  # cohorts times splits
+    if done:
+        seen = spark.createDataFrame(done, ", ".join(f"{c} string" for c in by))
+        rows = rows.join(F.broadcast(seen), list(by), "left_anti").select(*rows.columns)
+    target = f"{path}/batch={batch}"
+    rows.write.mode("overwrite").partitionBy(*by).json(target)
+    counts = spark.read.schema(rows.schema).json(target).groupBy(*by).agg(F.count("*").alias("rows")) if listed(spark, f"{target}/{by[0]}=*") else None
+    parts = [r.asDict() for r in counts.collect()] if counts is not None else []
+    if not resume:
+        for other in _manifest(spark, path):
+            if other != batch:
+                _delete(spark, f"{path}/_manifest/{other}.json")
+                _delete(spark, f"{path}/batch={other}")
+    _put(spark, f"{path}/_manifest/{batch}.json", json.dumps(parts, default=str))
+
+
+def _manifest(spark: SparkSession, path: str) -> dict[str, list[dict]]:
+    """Of each finished batch the cohorts and splits with their rows."""
+    found = listed(spark, f"{path}/_manifest/*.json")
+    texts = {r.file: r.value for r in spark.read.option("wholetext", True).text(found).select("value", F.col("_metadata.file_name").alias("file")).collect()} if found else {}
+    return {name.removesuffix(".json"): json.loads(text) for name, text in texts.items()}
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there in full or not at all."""
+    part, store = _file_system(spark, f"{path}.part")
+    out = store.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    final = _file_system(spark, path)[0]
+    store.delete(final, False)
+    if not store.rename(part, final):
+        raise OSError(f"{path} could not be put in place")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where, store = _file_system(spark, path)
+    store.delete(where, True)
+
+
+def read_samples(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The samples of the batches that the manifest lists, with the columns of their folders."""
+    folders = [f"{path}/batch={b}" for b, parts in _manifest(spark, path).items() if parts]
+    if not folders:
+        raise FileNotFoundError(f"no finished batch in {path}")
+    reader = spark.read.option("basePath", path)
+    return (reader.schema(schema) if schema else reader).json(folders)
+
+
+def finished(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, part, rows): the manifest; part is a JSON object of the cohort and split."""
+    rows = [(b, json.dumps({k: v for k, v in p.items() if k != "rows"}, sort_keys=True), p["rows"]) for b, parts in _manifest(spark, path).items() for p in parts]
+    return spark.createDataFrame(rows, "batch string, part string, rows long")
 
 
 def write_csv(df: DataFrame, path: str, by: tuple[str, ...] = (), overwrite: bool = True) -> None:
     """CSV with headers, one folder for each value of by (cohort and split, or patient); arrays and structs as JSON."""
     flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
-    writer = df.select(*flat).write.option("header", True).option("escape", '"').mode("overwrite" if overwrite else "errorifexists")
+    writer = df.select(*flat).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).mode("overwrite" if overwrite else "errorifexists")
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
