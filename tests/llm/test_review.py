@@ -1,7 +1,9 @@
 """Cases in which an operator once did less than the whole job."""
 
 import hashlib
+import itertools
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -12,6 +14,7 @@ from voyage.llm import suffix_dedup as suffixes
 from voyage.llm.decontamination import decontaminate
 from voyage.llm.line_dedup import line_dedup
 from voyage.llm.ngram_jaccard import ngram_jaccard_join
+from voyage.llm.pii import listed, personal_data, scanned
 
 
 @pytest.mark.parametrize("block", [8 << 20, 60])
@@ -109,3 +112,42 @@ def test_structured_texts_do_not_fall_together(spark):
     rows = [(1, "x" * 60 + halves[0]), (2, "y" * 60 + halves[1])]
     got = {tuple(r) for r in suffixes.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
     assert got == brute.repeats(rows)
+
+
+def test_personal_data_work_grows_with_the_matches(spark):
+    """Many thousand matches in one text, each in its place."""
+    texts = {n: " ".join(f"mail: user{k}@host{k % 7}.org {k % 200}.1.2.3" for k in range(n)) for n in (3000, 12000)}
+    out = {r.doc_id: r.s for r in personal_data(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).select("doc_id", listed(F.col("spans")).alias("s")).collect()}
+    for n, text in texts.items():
+        want = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"user\d+@host\d\.org", text)] + [f"ip:{m.start()}:{m.end()}" for m in re.finditer(r"\d+\.1\.2\.3", text)]
+        assert sorted(out[n].split(",")) == sorted(want)
+
+
+def test_scans_over_several_pieces(spark):
+    rng = random.Random(8)
+    lists = [[rng.randrange(-50, 50) for _ in range(n)] for n in (0, 1, 63, 64, 65, 128, 1000)] + [[]]
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k int, x array<int>")
+    sums = {r.k: r.s for r in scanned(frame, "s", "x", lambda t, x: t + x).collect()}
+    tops = {r.k: r.s for r in scanned(frame, "s", "x", F.greatest).collect()}
+    for k, x in enumerate(lists):
+        assert sums[k] == list(itertools.accumulate(x)) and tops[k] == list(itertools.accumulate(x, max))
+
+
+def test_top_k_refuses_what_a_long_cannot_hold(spark):
+    """Scores of such vectors were wrong without an error once."""
+    from voyage.llm.topk_search import top_k_search
+
+    schema = "vec_id long, embedding array<double>"
+    good = top_k_search(spark.createDataFrame([(0, [1e5, 2.0]), (1, [1e5, -3.0])], schema), F.col("vec_id") == 0).collect()
+    assert [(r.vec_id, r.score) for r in good] == [(1, 102400000 * 102400000 - 2048 * 3072)]
+    for huge in (1e17, 1e30):
+        with pytest.raises(Exception, match="too long for exact products"):
+            top_k_search(spark.createDataFrame([(0, [1.0, 2.0]), (1, [huge, 3.0])], schema), F.col("vec_id") == 0).collect()
+
+
+def test_top_k_with_an_id_given_twice(spark):
+    from voyage.llm.topk_search import top_k_search
+
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 5.0])]
+    out = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, scale=1).collect())
+    assert out == [(0, 1, 1, 3), (0, 1, 2, 5), (0, 2, 1, 1), (0, 2, 2, 1)]

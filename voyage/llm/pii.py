@@ -32,24 +32,37 @@ IN_CONTEXT = r"""(?<![\p{L}\p{N}_.-])([\p{L}_][\p{L}\p{N}_.-]*+)(\s{0,3}[=:#]\s{
 SECRET = r"\A(?:(?=(?:[^0-9]*[0-9]){4})(?=(?:[^a-f]*[a-f]){2})[0-9a-f]{24,}|(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])(?=(?:[^0-9]*[0-9]){3})[A-Za-z0-9_/+]{20,}=*)\z"
 BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 ROUNDS, SUPPORT, SURE = 3, 3, 0.8
+PIECE = 64
 
 
-def matches(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Column:
-    """array<struct<start, end, match>> of the leftmost non-overlapping matches that keep accepts, in code points.
+def scanned(rows: DataFrame, name: str, source: str, combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """rows with column name: the running combinations of the integers of an array column.
 
-    What lies between matches gives their places: split and extract_all walk through the text alike. Both are zipped, as a
-    lambda that reached for them would work them out anew for every match.
+    Arrays are cut into pieces of PIECE, which are scanned on their own, as are their last values; so appending, which copies, stays within a piece,
+    and the work grows with the array. source must be a column of a projection of its own.
     """
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    nothing = F.expr("CAST(array() AS array<struct<start: int, end: int, match: string>>)")
+    none = F.expr("CAST(array() AS array<int>)")
+    last = lambda acc: F.get(acc, F.size(acc) - 1)
+    scan = lambda xs: F.aggregate(xs, none, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, combine(last(acc), x)).otherwise(x))))
+    numbers = F.when(F.size(source) > 0, F.sequence(F.lit(0), F.floor((F.size(source) - 1) / PIECE).cast("int"))).otherwise(none)
+    cut = rows.withColumn("_pieces", F.transform(F.transform(numbers, lambda k: F.slice(source, k * PIECE + 1, PIECE)), scan))
+    cut = cut.withColumn("_before", scan(F.transform("_pieces", last)))
+    moved = F.transform(F.arrays_zip(F.col("_pieces").alias("own"), F.concat(F.array(F.lit(None).cast("int")), F.slice("_before", 1, F.greatest(F.size("_before") - 1, F.lit(0)))).alias("ahead")), lambda z: F.transform(z["own"], lambda x: F.when(z["ahead"].isNull(), x).otherwise(combine(z["ahead"], x))))
+    return cut.withColumn(name, F.when(F.size("_pieces") > 0, F.flatten(moved)).otherwise(none)).drop("_pieces", "_before")
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))
-        return F.struct(end.alias("at"), F.when(x["match"].isNotNull() & keep(x["match"]), F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda s: s["out"])
+def with_matches(rows: DataFrame, name: str, pattern: str, when: Column, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """rows with column name, array<struct<start, end, match>>: the leftmost non-overlapping matches in text that keep accepts, in code points; none but where when holds.
+
+    What lies between matches gives their places: split and extract_all walk through the text alike.
+    """
+    none = F.expr("CAST(array() AS array<struct<step: int, size: int, match: string>>)")
+    pairs = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("match"))
+    sized = F.transform(F.filter(pairs, lambda x: x["match"].isNotNull()), lambda x: F.struct((F.length(x["gap"]) + F.length(x["match"])).alias("step"), F.length(x["match"]).alias("size"), x["match"].alias("match")))
+    found = rows.withColumn("_found", F.when(when, sized).otherwise(none)).withColumn("_steps", F.col("_found.step"))
+    found = scanned(found, "_ends", "_steps", lambda t, x: t + x)
+    placed = F.transform(F.arrays_zip(F.col("_found").alias("m"), F.col("_ends").alias("end")), lambda x: F.struct((x["end"] - x["m"]["size"]).alias("start"), x["end"].alias("end"), x["m"]["match"].alias("match")))
+    return found.withColumn(name, F.filter(placed, lambda m: keep(m["match"])) if keep else placed).drop("_found", "_steps", "_ends")
 
 
 def luhn(digits: Column) -> Column:
@@ -67,17 +80,22 @@ def holds(kind: str, match: Column) -> Column:
     return F.length(digits).between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<start, order, end>> of the fixed kinds, unordered; order is the kind's place in ORDER."""
-    digit = text.rlike("[0-9]")
-    guards = {"email": F.contains(text, F.lit("@")), "ip": digit & F.contains(text, F.lit(".")), "card": digit, "phone": digit & F.contains(text, F.lit("+"))}
-    none = F.expr("CAST(array() AS array<struct<start: int, order: int, end: int>>)")
+def with_base(rows: DataFrame) -> DataFrame:
+    """rows with base, array<struct<start, order, end>> of the fixed kinds by start; order is the kind's place in ORDER. And starts and tops, their starts and the greatest end so far."""
+    digit = F.col("text").rlike("[0-9]")
+    guards = {"email": F.contains("text", F.lit("@")), "ip": digit & F.contains("text", F.lit(".")), "card": digit, "phone": digit & F.contains("text", F.lit("+"))}
+    for kind, guard in guards.items():
+        rows = with_matches(rows, kind, KINDS[kind], guard, lambda m, kind=kind: holds(kind, m))
+    spans = lambda kind: F.transform(kind, lambda m: F.struct(m["start"].alias("start"), F.lit(ORDER.index(kind)).alias("order"), m["end"].alias("end")))
+    rows = rows.withColumn("base", F.array_sort(F.concat(*map(spans, KINDS)))).drop(*KINDS)
+    return scanned(rows.withColumn("starts", F.col("base.start")).withColumn("_own", F.col("base.end")), "tops", "_own", F.greatest).drop("_own")
 
-    def spans(kind: str) -> Column:
-        good = matches(text, KINDS[kind], lambda m: holds(kind, m))
-        return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(ORDER.index(kind)).alias("order"), m["end"].alias("end")))
 
-    return F.concat(*(F.when(guards[kind], spans(kind)).otherwise(none) for kind in KINDS))
+def overlapped(start: Column, end: Column) -> Column:
+    """Whether one of the base spans (columns starts, tops) shares a place with [start, end): of those that begin before the end, by halving, one ends behind the start."""
+    bits = F.array(*(F.lit(1 << k) for k in range(26, -1, -1)))
+    before = F.aggregate(bits, F.lit(0), lambda n, bit: F.when((n + bit <= F.size("starts")) & (F.get("starts", n + bit - 1) < end), n + bit).otherwise(n))
+    return (F.size("starts") > 0) & F.coalesce(F.get("tops", before - 1) > start, F.lit(False))
 
 
 def listed(spans: Column) -> Column:
@@ -86,19 +104,20 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(kinds, s["order"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """array<struct<start, end, value, pattern, seed>>: the values that stand in a lexical pattern."""
-    found = matches(text, IN_CONTEXT, lambda m: F.lit(True))
+def with_values(rows: DataFrame) -> DataFrame:
+    """rows with values, array<struct<start, end, value, pattern, based, seed>>: the values that stand in a lexical pattern; based: one that a base span overlaps."""
+    rows = with_matches(rows, "_context", IN_CONTEXT, F.col("text").rlike(r"[=:#\"'(\[<]"))
 
     def one(m: Column) -> Column:
         group = lambda k: F.regexp_extract(m["match"], IN_CONTEXT, k)
         start = m["start"] + F.length(group(1)) + F.length(group(2))
-        end = start + F.length(group(3))
-        seed = group(3).rlike(SECRET) | F.exists(base, lambda b: (b["start"] < end) & (start < b["end"]))
         pattern = F.concat_ws(" ", F.lower(group(1)), F.regexp_replace(group(2), r"\s", ""), group(4))
-        return F.struct(start.alias("start"), end.alias("end"), group(3).alias("value"), pattern.alias("pattern"), seed.alias("seed"))
+        return F.struct(start.alias("start"), (start + F.length(group(3))).alias("end"), group(3).alias("value"), pattern.alias("pattern"))
 
-    return F.transform(found, one)
+    rows = rows.withColumn("_values", F.transform("_context", one))
+    based = F.transform("_values", lambda v: F.struct(v["start"].alias("start"), v["end"].alias("end"), v["value"].alias("value"), v["pattern"].alias("pattern"), overlapped(v["start"], v["end"]).alias("based")))
+    seeds = F.transform(based, lambda v: F.struct(v["start"].alias("start"), v["end"].alias("end"), v["value"].alias("value"), v["pattern"].alias("pattern"), v["based"].alias("based"), (v["based"] | v["value"].rlike(SECRET)).alias("seed")))
+    return rows.withColumn("values", seeds).drop("_context", "_values")
 
 
 def confident(graph: DataFrame) -> DataFrame:
@@ -127,14 +146,12 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows. Other columns are not looked at.
     """
     text, key = F.coalesce(F.col(text_col), F.lit("")), ["row", "check"]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("row"), F.hash(text).alias("check")).withColumn("base", base_spans(F.col("text")))
-    values = F.when(F.col("text").rlike(r"[=:#\"'(\[<]"), candidates(F.col("text"), F.col("base")))
-    told = written(rows.select("id", *key, "base", values.alias("values")), "seeds")
-    graph = told.select(*key, "base", F.explode("values").alias("v")).select(*key, "base", "v.*")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("row"), F.hash(text).alias("check"))
+    told = written(with_values(with_base(rows)).select("id", *key, "base", "values"), "seeds")
+    graph = told.select(*key, F.explode("values").alias("v")).select(*key, "v.*")
     sure = confident(graph.select("pattern", "value", "seed"))
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
     span = F.struct(F.col("start"), F.lit(ORDER.index("id")).alias("order"), F.col("end"))
-    new = graph.where(free).join(sure, "pattern").groupBy(*key).agg(F.collect_set(span).alias("more"))  # of one text
+    new = graph.where("not based").join(sure, "pattern").groupBy(*key).agg(F.collect_set(span).alias("more"))  # of one text
     return told.join(new, key, "left").select(F.col("id").alias(id_col), "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")).alias("spans"))
 
 
