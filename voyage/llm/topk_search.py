@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from voyage.llm.store import spread, written
 
-BLOCK, QUERIES, COORDINATE_FROM = 4096, 1024, 0.7
+BLOCK, QUERIES, COORDINATE_FROM = 4096, 4096, 0.7
+#: Scaled vectors have to be shorter, so that all their products fit a long.
+LONGEST = 2.0**31
 
 
 def _matrix(lists: list[list[int]], width: int) -> np.ndarray:
@@ -28,8 +30,8 @@ def _matrix(lists: list[list[int]], width: int) -> np.ndarray:
     return out
 
 
-def products(ids: np.ndarray, block: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query, id, score) with each query's k best of the block that reach its floor, ties to smaller ids."""
+def products(ids: np.ndarray, block: np.ndarray, q_ids: np.ndarray, names: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+    """(query's name, id, score) with each query's k best of the block that reach its floor and have another id, ties to smaller ids."""
     length = np.sqrt((block**2).sum(axis=1))
     order = np.lexsort((ids, -length))
     ids, block, length = ids[order], block[order], length[order]
@@ -55,27 +57,27 @@ def products(ids: np.ndarray, block: np.ndarray, q_ids: np.ndarray, queries: np.
         a, b = np.arccos(np.clip(queries[q, f] / q_length[q], -1, 1)), np.arccos(min(1.0, need[q]))
         low, high = np.cos(min(np.pi, a + b)) - 1e-9, np.cos(max(0.0, a - b)) + 1e-9
         near = at[np.searchsorted(value, low) : np.searchsorted(value, high, side="right")]
-        yield from _best(ids[near], exact[near] @ queries[q].astype(exact.dtype), int(q_ids[q]), floor[q], k)
+        yield from _best(ids[near], exact[near] @ queries[q].astype(exact.dtype), int(q_ids[q]), int(names[q]), floor[q], k)
     if wide:
         with np.errstate(divide="ignore", invalid="ignore"):
             least = np.where(q_length[wide] > 0, floor[wide] / q_length[wide], -1.0).min()
         n = int((length >= least * (1 - 1e-9)).sum())
         scores = exact[:n] @ queries[wide].astype(exact.dtype).T
         for c, q in enumerate(wide):
-            yield from _best(ids[:n], scores[:, c], int(q_ids[q]), floor[q], k)
+            yield from _best(ids[:n], scores[:, c], int(q_ids[q]), int(names[q]), floor[q], k)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, query: int, floor: float, k: int) -> Iterator[tuple[int, int, int]]:
+def _best(ids: np.ndarray, scores: np.ndarray, query: int, name: int, floor: float, k: int) -> Iterator[tuple[int, int, int]]:
     keep = np.flatnonzero((scores >= floor) & (ids != query))
     if len(keep) > k:
         edge = np.partition(scores[keep], len(keep) - k)[len(keep) - k]
         keep = keep[scores[keep] >= edge]
     for i in keep[np.lexsort((ids[keep], -scores[keep]))][:k]:
-        yield query, int(ids[i]), int(scores[i])
+        yield name, int(ids[i]), int(scores[i])
 
 
 def search(k: int):
-    """Over rows (vectors, queries) of packed blocks: (query_id, vec_id, score)."""
+    """Over rows (vectors, queries) of packed blocks: (query, vec_id, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,11 +87,11 @@ def search(k: int):
                 found = list(
                     products(
                         np.array([x["id"] for x in block]), _matrix([x["v"] for x in block], width),
-                        np.array([x["id"] for x in queries]), _matrix([x["v"] for x in queries], width),
+                        np.array([x["id"] for x in queries]), np.array([x["query"] for x in queries]), _matrix([x["v"] for x in queries], width),
                         np.array([-np.inf if x["floor"] is None else x["floor"] for x in queries]), k,
                     )
                 )
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(3)], ["query", "vec_id", "score"])
 
     return run
 
@@ -99,8 +101,9 @@ def top_k_search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, i
 
     Components become floor(scale * x). is_query: a condition on the rows. Ties go to smaller ids; with fewer than k other
     rows, all. Null vectors and vectors with null or non-finite components take no part, nor rows without an id. Shorter
-    vectors count as padded with zeros. Rows with the query's id are its own; other repeated rows each count. Components
-    times scale must stay under 2**27. No rows or no queries: no rows. Other columns are not looked at.
+    vectors count as padded with zeros. Rows with the query's id are its own; other repeated rows each count. Different vectors of one
+    asking id are queries of their own, each with its k rows. Fails, when read, for a vector whose scaled length is LONGEST or
+    more. No rows or no queries: no rows. Other columns are not looked at.
     """
     x = F.col(vec_col)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
@@ -108,29 +111,32 @@ def top_k_search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, i
         F.col(id_col).cast("long").alias("id"), is_query.alias("asks"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v")
     )
     squares = F.aggregate("v", F.lit(0.0), lambda t, c: t + c.cast("double") * c.cast("double"))
+    rows = rows.withColumn("v", F.when(squares < LONGEST**2, F.col("v")).otherwise(F.raise_error(F.concat(F.lit("a scaled vector is too long for exact products, id "), F.col("id").cast("string")))))
     rows = written(rows.withColumn("bucket", F.floor(F.log(F.sqrt(squares) + 1) / F.log(F.lit(1.05)))), "vectors")
     rooms = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("rooms"))  # one row a bucket: a few hundred at most
     numbered = rows.withColumn("place", F.monotonically_increasing_id())  # of a written table: repeated rows fall apart, too
     dealt = numbered.join(F.broadcast(rooms), "bucket").withColumn("room", F.pmod(F.xxhash64("place"), F.col("rooms")))
     blocks = written(dealt.groupBy("bucket", "room").agg(F.collect_list(F.struct("id", "v")).alias("vectors"), F.count("*").alias("n"), F.sqrt(F.max(squares)).alias("longest")), "blocks")
-    asked = rows.where("asks").select("id", "v", F.sqrt(squares).alias("length")).dropDuplicates(["id"])
+    asked = rows.where("asks").select("id", "v").distinct().select("*", F.sqrt(squares).alias("length"), F.monotonically_increasing_id().alias("query"))
+    asked = written(asked, "asked")
     n = spread(asked, QUERIES)
 
     def against(queries: DataFrame, some: DataFrame) -> DataFrame:
         """Parts of queries of similar need, the length that a vector must have to reach their floor, meet the blocks that are long enough for one of them."""
         need = F.when(F.col("floor").isNotNull() & (F.col("length") > 0), F.col("floor") / F.col("length")).otherwise(F.when(F.col("floor") > 0, float("inf")).otherwise(float("-inf")))
         sorted_ = written(queries.withColumn("need", need).repartitionByRange(n, "need", "id").withColumn("part", F.spark_partition_id()), "parts")
-        packed = written(sorted_.groupBy("part").agg(F.collect_list(F.struct("id", "v", "floor")).alias("queries"), F.min("need").alias("need")), "packed")
+        packed = written(sorted_.groupBy("part").agg(F.collect_list(F.struct("id", "query", "v", "floor")).alias("queries"), F.min("need").alias("need")), "packed")
         parts = packed.select("part", "need")  # one row for QUERIES queries
         grid = some.select("bucket", "room", "longest").join(F.broadcast(parts), F.col("need") <= F.col("longest") * (1 + 1e-9)).select("bucket", "room", "part")
-        return grid.join(packed, "part").join(some, ["bucket", "room"]).select("vectors", "queries").mapInArrow(search(k), "query_id long, vec_id long, score long")
+        return grid.join(packed, "part").join(some, ["bucket", "room"]).select("vectors", "queries").mapInArrow(search(k), "query long, vec_id long, score long")
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     longest = blocks.orderBy(F.desc(F.col("n") > k), F.desc("bucket"), "room").limit(1)
     first = against(asked.withColumn("floor", F.lit(None).cast("double")), longest)
-    floors = first.withColumn("rank", F.row_number().over(best)).where(f"rank = {k}").select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
-    found = against(written(asked.join(floors, "id", "left"), "queries"), blocks)
-    return found.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+    floors = first.withColumn("rank", F.row_number().over(best)).where(f"rank = {k}").select("query", F.col("score").cast("double").alias("floor"))
+    found = against(written(asked.join(floors, "query", "left"), "queries"), blocks)
+    out = found.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}")
+    return out.join(asked.select("query", F.col("id").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")
 
 
 def op5_topk_search(spark, sf_dir: str) -> DataFrame:

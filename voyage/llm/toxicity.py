@@ -136,7 +136,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """The labels table with a grade: 0 not toxic, 1 toxic, 2 toxic and of low quality; null if toxic is null."""
+    """The labels table with a grade: 0 not toxic, 1 toxic, 2 toxic and of good quality; null if toxic is null."""
     grade = F.when(F.col("toxic") > 0, F.when(F.col("quality") > 0, 2).otherwise(1)).when(F.col("toxic").isNotNull(), 0)
     return labels.withColumn("grade", grade)
 
