@@ -18,19 +18,20 @@ from pyspark.sql import functions as F
 from voyage.llm import hashing
 from voyage.llm.store import texts_of
 
-BITS, SAMPLE, STEM = 18, 3000, 5
+BITS, SAMPLE, STEMS = 18, 3000, (4, 5, 6, 7, 8, 10)
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of each word and of each longer word's first STEM bytes; not yet distinct."""
+    """(text, bucket) of each word and of longer words' first bytes, as many as each of STEMS says; not yet distinct."""
     start, end, first = hashing.word_spans(data, offs, hashing.ALNUM)
     text = np.repeat(np.arange(len(offs) - 1), np.diff(first))
     low = hashing.folded(data)
-    words = hashing.digest(low, start, end)
-    long = end - start > STEM
-    stems = hashing.digest(low, start[long], start[long] + STEM, seed=1)
-    buckets = np.concatenate([words, stems]) >> np.uint64(64 - BITS)
-    return np.concatenate([text, text[long]]), buckets.astype(np.int64)
+    texts, names = [text], [hashing.digest(low, start, end)]
+    for k, size in enumerate(STEMS):
+        long = end - start > size
+        texts.append(text[long])
+        names.append(hashing.digest(low, start[long], start[long] + size, seed=k + 1))
+    return np.concatenate(texts), (np.concatenate(names) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
