@@ -180,7 +180,7 @@ def read_representations(spark: SparkSession, path: str) -> DataFrame:
 def read_split_map(spark: SparkSession, path: str) -> DataFrame:
     """(patientid, data_split) of a JSON object of both, or of a folder of files with one such object a line, as write_split_map leaves them."""
     where, store = _file_system(spark, path)
-    text = spark.read.option("wholetext", not store.getFileStatus(where).isDirectory()).text(path)
+    text = spark.read.text(path, wholetext=not store.getFileStatus(where).isDirectory())
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("patientid", "data_split"))
 
 
@@ -227,7 +227,7 @@ def write_samples(samples: DataFrame, path: str, meta: Iterable[str] = (), by: t
 def _manifest(spark: SparkSession, path: str) -> dict[str, list[dict]]:
     """Of each finished batch the cohorts and splits with their rows."""
     found = listed(spark, f"{path}/_manifest/*.json")
-    texts = {r.file: r.value for r in spark.read.option("wholetext", True).text(found).select("value", F.col("_metadata.file_name").alias("file")).collect()} if found else {}
+    texts = {r.file: r.value for r in spark.read.text(found, wholetext=True).select("value", F.col("_metadata.file_name").alias("file")).collect()} if found else {}
     return {name.removesuffix(".json"): json.loads(text) for name, text in texts.items()}
 
 
