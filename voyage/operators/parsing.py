@@ -122,11 +122,11 @@ def chat_messages(samples: DataFrame, system: str, copies: int = 1, extra: str =
 
 def mask_prompt_tokens(rows: DataFrame, marker: tuple[int, ...], most: int = 8000) -> DataFrame:
     """rows (ids array<int>, ...) with input_ids of most tokens at most, labels (-100 up to and with the first marker) and attention; rows without the marker are dropped."""
-    ids = F.slice("ids", 1, most)
     n = len(marker)
-    same = lambda k: F.slice(ids, k, n) == F.array(*map(F.lit, marker))
-    starts = F.when(F.size(ids) >= n, F.filter(F.sequence(F.lit(1), F.size(ids) - (n - 1)), same)).otherwise(F.array().cast("array<int>"))
-    out = rows.withColumn("input_ids", ids).withColumn("at", F.get(starts, F.lit(0))).where("at is not null")
+    cut = rows.withColumn("input_ids", F.slice("ids", 1, most))  # a column of its own: lambdas reach for it at every place
+    same = lambda k: F.slice("input_ids", k, n) == F.array(*map(F.lit, marker))
+    starts = F.when(F.size("input_ids") >= n, F.filter(F.sequence(F.lit(1), F.size("input_ids") - (n - 1)), same)).otherwise(F.array().cast("array<int>"))
+    out = cut.withColumn("at", F.get(starts, F.lit(0))).where("at is not null")
     labels = F.transform("input_ids", lambda x, k: F.when(k + 1 < F.col("at") + n, -100).otherwise(x))
     return out.select(*(c for c in rows.columns if c != "ids"), "input_ids", labels.alias("labels"), F.transform("input_ids", lambda x: F.lit(1)).alias("attention_mask"))
 

@@ -199,11 +199,17 @@ def d51_answers_apart(spark, d):
     return parsing.answers_apart(wrote, read, ("patientid", "split_date", "category"), share=0.5)
 
 
+def d53_chat_messages(spark, d):
+    """A row for each message of each copy."""
+    out = parsing.chat_messages(texts.samples(spark, d).select("patientid", "split_date", "instruction", "answer"), "You forecast.", copies=2, extra=" Think first.", seed=7)
+    return out.select("patientid", "split_date", "copy", "seed", F.posexplode("messages").alias("place", "m"), "completion").select("patientid", "split_date", "copy", "seed", "place", "m.role", "m.content", "completion")
+
+
 def d54_mask_prompt_tokens(spark, d):
     """Conversations as code points, the prompt up to the first ". " masked."""
     turns = spark.read.parquet(f"{d}/conversations.parquet")
     ids = F.transform(F.split("text", ""), lambda x: F.ascii(x))
-    out = parsing.mask_prompt_tokens(turns.select("conv_id", "turn", F.filter(ids, lambda x: x > 0).alias("ids")), (46, 32), most=400)
+    out = parsing.mask_prompt_tokens(turns.select("conv_id", "turn", ids.alias("ids")).select("conv_id", "turn", F.filter("ids", lambda x: x > 0).alias("ids")), (46, 32), most=400)
     kept = F.filter("labels", lambda x: x >= 0)
     return out.select("conv_id", "turn", F.size("input_ids").alias("n"), F.size(kept).alias("n_kept"), F.md5(F.array_join("labels", ",")).alias("labels"), F.size("attention_mask").alias("n_attention"))
 
@@ -278,6 +284,8 @@ ORACLE = {
         WHERE source = 'events' AND event_value = '17' AND NOT regexp_matches(event_descriptive_name, '(?i)large') AND {sql_u("'damage'", "patientid")} < 0.5 AND {sql_u("'round trip'", "patientid")} < 0.2""",
     "d51_answers_apart": f"""{_TASKS} SELECT patientid, split_date, category, 'occurred' AS field, 'true' AS wrote, 'false' AS read FROM tasks
         WHERE occurred AND {sql_u("'flip'", "patientid", "CAST(split_date AS VARCHAR)", "category")} < 0.2 AND {sql_u("'round trip'", "patientid")} < 0.5""",
+    "d53_chat_messages": f"""{FULL}{texts._SAMPLES}, m AS (SELECT patientid, split_date, CAST(copy AS INT) AS copy, CAST(copy + 7 AS INT) AS seed, CAST(place AS INT) AS place, instruction, answer FROM sa, range(2) t(copy), range(2) q(place))
+        SELECT patientid, split_date, copy, seed, place, CASE place WHEN 0 THEN 'system' ELSE 'user' END AS role, CASE place WHEN 0 THEN 'You forecast.' ELSE instruction || ' Think first.' END AS content, answer AS completion FROM m""",
     "d54_mask_prompt_tokens": """WITH c AS (SELECT conv_id, turn, [unicode(x) FOR x IN string_split(substr(text, 1, 400), '')] AS ids, strpos(substr(text, 1, 400), '. ') AS pos FROM conversations WHERE text IS NOT NULL)
         SELECT conv_id, turn, CAST(len(ids) AS INT) AS n, CAST(len(ids) - pos - 1 AS INT) AS n_kept, md5(array_to_string([CASE WHEN k <= pos + 1 THEN -100 ELSE ids[k] END FOR k IN range(1, len(ids) + 1)], ',')) AS labels, CAST(len(ids) AS INT) AS n_attention FROM c WHERE pos > 0""",
     "f21_completion_logprobs": """WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations WHERE text IS NOT NULL), k AS (SELECT conv_id, turn, CASE WHEN len(w) >= 3 + turn THEN [-length(x) / 8 FOR x IN w[4 + turn:]] END AS k FROM w)

@@ -126,7 +126,7 @@ ORACLE = {
     "o08_one_category": f"""{WITH}{CANDIDATES} SELECT DISTINCT patientid, date AS split_date, ['death', 'lot', 'progression'][1 + CAST(floor({U.format(key="'13|' || patientid || '|' || CAST(date AS VARCHAR) || '|' || CAST(k AS VARCHAR)")} * 3) AS INT)] AS category FROM cand, range(1, 4) t(k)""",
     "u04_dated_once": f"{WITH} SELECT patientid, event_category, CASE WHEN event_category = 'lot' THEN count(*) ELSE count(DISTINCT date) END AS n FROM ev GROUP BY 1, 2",
     "u05_common_ids": f"{WITH} SELECT patientid FROM ev GROUP BY 1 HAVING bool_or(event_category = 'lot') AND bool_or(event_category = 'progression') AND bool_or(event_category = 'death')",
-    "u06_same_sets": f"{WITH} SELECT 'lots' AS pair, true AS same UNION ALL SELECT 'all', (SELECT count(DISTINCT patientid) FROM ev WHERE event_category = 'lot') = (SELECT count(*) FROM con)",
+    "u06_same_sets": f"{WITH} SELECT 'lots' AS pair, count(*) = 0 AS same FROM (SELECT patientid FROM ev WHERE event_category = 'lot' EXCEPT SELECT patientid FROM (SELECT patientid, min(date) FROM ev WHERE event_category = 'lot' GROUP BY 1)) UNION ALL SELECT 'all', (SELECT count(DISTINCT patientid) FROM ev WHERE event_category = 'lot') = (SELECT count(*) FROM con)",
     "u07_replicated": f"{WITH} SELECT patientid, CAST(k AS INT) AS copy FROM con, range(3) t(k)",
     "f14_age_at": f"{WITH} SELECT patientid, CAST(floor((min(date) - make_date(birthyear, 1, 1)) / 365) AS INT) AS age FROM ev JOIN con USING (patientid) GROUP BY patientid, birthyear",
 }

@@ -51,7 +51,7 @@ def once(spark: SparkSession, name: str, source: str, build: Callable[[], DataFr
     return spark.table(_made[key])
 
 
-def forget(spark: SparkSession) -> None:
-    """Later calls of once make their tables anew."""
-    for key in [k for k in _made if k[0] == spark.sparkContext.applicationId]:
+def forget(spark: SparkSession, *names: str) -> None:
+    """Later calls of once make their tables anew: all of them, or those of the names given."""
+    for key in [k for k in _made if k[0] == spark.sparkContext.applicationId and (not names or k[1] in names)]:
         del _made[key], _schemas[key]
