@@ -122,13 +122,13 @@ def chat_messages(samples: DataFrame, system: str, copies: int = 1, extra: str =
 
 def mask_prompt_tokens(rows: DataFrame, marker: tuple[int, ...], most: int = 8000) -> DataFrame:
     """rows (ids array<int>, ...) with input_ids of most tokens at most, labels (-100 up to and with the first marker) and attention; rows without the marker are dropped."""
-    n = len(marker)
-    cut = rows.withColumn("input_ids", F.slice("ids", 1, most))  # a column of its own: lambdas reach for it at every place
-    same = lambda k: F.slice("input_ids", k, n) == F.array(*map(F.lit, marker))
-    starts = F.when(F.size("input_ids") >= n, F.filter(F.sequence(F.lit(1), F.size("input_ids") - (n - 1)), same)).otherwise(F.array().cast("array<int>"))
-    out = cut.withColumn("at", F.get(starts, F.lit(0))).where("at is not null")
-    labels = F.transform("input_ids", lambda x, k: F.when(k + 1 < F.col("at") + n, -100).otherwise(x))
-    return out.select(*(c for c in rows.columns if c != "ids"), "input_ids", labels.alias("labels"), F.transform("input_ids", lambda x: F.lit(1)).alias("attention_mask"))
+    n, ids = len(marker), F.slice("ids", 1, most)
+    listed = F.concat(F.lit(","), F.array_join(ids.cast("array<string>"), ","), F.lit(","))
+    ahead = F.substring_index(listed, "," + ",".join(map(str, marker)) + ",", 1)  # no lambda, which would work the ids out anew at every place
+    masked = F.size(F.split(ahead, ",")) - 1 + n
+    found = rows.where(F.length(ahead) < F.length(listed))
+    labels = F.concat(F.array_repeat(F.lit(-100), masked), F.slice(ids, masked + 1, F.greatest(F.size(ids) - masked, F.lit(0))))
+    return found.select(*(c for c in rows.columns if c != "ids"), ids.alias("input_ids"), labels.alias("labels"), F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"))
 
 
 def distillation_prompt(prompt: Column, target: Column, background: str, instruction: str, closing: str) -> Column:
