@@ -5,6 +5,7 @@ import datetime as dt
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,18 @@ def test_log_probabilities_maps_and_white_space(spark):
     assert both.a == {"hb": "Hemoglobin", "w": "weight"} and both.b == meta.names
     blank = spark.createDataFrame([(1, " \t\n\r\x0b\x0c"), (2, "\ta"), (3, ""), (4, None)], "k int, t string")
     assert [r.k for r in rows.with_content(blank, "t").collect()] == [2]
+
+
+@pytest.mark.parametrize(("kind", "wide"), [("<f4", 24), ("<f8", 1), ("<i2", 7), (">f8", 33)])
+def test_arrays_are_read_by_rows(spark, tmp_path, small_splits, kind, wide):
+    """Rows that splits cut, of types and widths that do not divide the header."""
+    rng = np.random.default_rng(1)
+    values, ids = (rng.normal(size=(700, wide)) * 100).astype(kind), np.array([f"pé{k}" for k in range(700)])
+    np.save(tmp_path / "values.npy", values)
+    np.save(tmp_path / "ids.npy", ids)
+    got = {r.patientid: r["values"] for r in files.read_representations(spark, f"{tmp_path}/values.npy", f"{tmp_path}/ids.npy").collect()}
+    assert got == {i: v.astype(float).tolist() for i, v in zip(ids.tolist(), values, strict=True)}
+    np.save(tmp_path / "turned.npy", np.asfortranarray(values[:, : min(wide, 5)]))
+    if wide > 1:
+        with pytest.raises(ValueError, match="one after the other"):
+            files.read_npy(spark, f"{tmp_path}/turned.npy")

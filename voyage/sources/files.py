@@ -5,12 +5,15 @@ Paths go through Spark and its file systems alone, so they may lie in any store
 
 from __future__ import annotations
 
+import ast
 import csv
 import io
 import json
+import math
 import re
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -157,18 +160,92 @@ def read_json_lines(spark: SparkSession, folder: str, schema: str | None = None)
     return (reader.schema(schema) if schema else reader).json(folder)
 
 
-def read_representations(spark: SparkSession, path: str) -> DataFrame:
-    """(patientid, values array<double>): of .npz files with the arrays ids and values, or of CSV with an id and number columns."""
+def _npy_header(spark: SparkSession, path: str) -> tuple[int, str, tuple[int, ...]]:
+    """(where the rows begin, type, shape) of an array file, from its first bytes alone."""
+    where, store = _file_system(spark, path)
+    stream, jvm = store.open(where), spark.sparkContext._jvm
+    take = lambda n: bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+    magic = take(8)
+    if magic[:6] != b"\x93NUMPY":
+        raise ValueError(f"{path} is no array file")
+    wide = 2 if magic[6] == 1 else 4
+    size = int.from_bytes(take(wide), "little")
+    head = ast.literal_eval(take(size).decode("latin-1"))
+    stream.close()
+    if head["fortran_order"] or not isinstance(head["descr"], str):
+        raise ValueError(f"{path} does not hold its rows one after the other")
+    return 8 + wide + size, head["descr"], head["shape"]
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(row, values array<double>, text) of a .npy file, row by row: values of a table of numbers, text of a list of texts or numbers.
+
+    The header tells where rows begin and how long they are. The file is read as records whose length divides both, in splits as Spark makes them, so tasks
+    hold pieces of it alone; a row that two splits share is put together from its two ends.
+    """
+    offset, kind, shape = _npy_header(spark, path)
+    flat = len(shape) == 1
+    row = np.dtype(kind).itemsize * math.prod(shape[1:])
+    record, piece = math.gcd(offset, row), 1 << 20
+    options = {"fixedlengthinputformat.record.length": str(record), "mapreduce.input.fileinputformat.split.maxsize": str(max(record, int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))))}
+    held = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=options)
+
+    def decoded(number: int, raw: bytes) -> tuple:
+        x = np.frombuffer(raw, kind)
+        return (number, None, None, None, str(x[0].decode() if x.dtype.kind == "S" else x[0])) if flat else (number, None, None, x.astype(float).tolist(), None)
+
+    def cut(records: Iterable[tuple[int, bytes]]) -> Iterable[tuple]:
+        start, buffer = 0, bytearray()
+
+        def rows(last: bool) -> Iterable[tuple]:
+            """Whole rows of the buffer; at the end what is left of one, and at the beginning what another split has begun."""
+            nonlocal start, buffer
+            at = start - offset
+            if at % row and buffer:
+                head = min(len(buffer), row - at % row)
+                if head < row - at % row and not last:
+                    return
+                yield at // row, at % row, bytes(buffer[:head]), None, None
+                start, buffer = start + head, buffer[head:]
+            n = len(buffer) // row
+            for k in range(n):
+                yield decoded((start - offset) // row + k, bytes(buffer[k * row : (k + 1) * row]))
+            start, buffer = start + n * row, buffer[n * row :]
+            if last and buffer:
+                yield (start - offset) // row, 0, bytes(buffer), None, None
+
+        for position, raw in records:
+            if position < offset:
+                continue
+            if not buffer or position != start + len(buffer):
+                yield from rows(True)
+                start, buffer = position, bytearray()
+            buffer += raw
+            if len(buffer) >= piece:
+                yield from rows(False)
+        yield from rows(True)
+
+    out = spark.createDataFrame(held.mapPartitions(cut), "row long, at long, raw binary, values array<double>, text string")
+
+    def joined(parts: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for part in parts:
+            whole = [decoded(number, b"".join(x["raw"] for x in ends)) for number, ends in zip(part["row"], part["ends"], strict=True)]
+            yield pd.DataFrame({"row": [x[0] for x in whole], "values": [x[3] for x in whole], "text": [x[4] for x in whole]})
+
+    ends = out.where("raw is not null").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("ends"))
+    return out.where("raw is null").select("row", "values", "text").unionByName(ends.mapInPandas(joined, "row long, values array<double>, text string"))
+
+
+def read_representations(spark: SparkSession, path: str, ids: str | None = None) -> DataFrame:
+    """(patientid, values array<double>): of a .npy table and the .npy list of its ids, by rows; of CSV with an id and number columns; or of .npz files with the arrays ids and values, each whole in one task."""
+    if path.endswith(".npy"):
+        return read_npy(spark, path).select("row", "values").join(read_npy(spark, ids).select("row", F.col("text").alias("patientid")), "row").select("patientid", "values")
     if not path.endswith(".npz"):
         df = read_csv(spark, path)
         first, *rest = df.columns
         return df.select(F.col(f"`{first}`").alias("patientid"), F.array(*(F.col(f"`{c}`").cast("double") for c in rest)).alias("values"))
 
     def unpack(parts: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        import io
-
-        import numpy as np
-
         for part in parts:
             for content in part["content"]:
                 with np.load(io.BytesIO(content), allow_pickle=False) as held:
