@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voyage.llm import hashing
-from voyage.llm.store import texts_of
+from voyage.llm.store import texts_of, written
 
 BITS, SAMPLE, STEMS = 18, 3000, (4, 5, 6, 7, 8, 10)
 
@@ -35,6 +35,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (y, text): y and the text's different buckets."""
     for batch in batches:
         lists: list = []
         for _, data, offs in hashing.pieces(batch.column("text")):
@@ -45,6 +46,20 @@ def collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(lists, pa.list_(pa.int32()))], ["y", "x"])
 
 
+def telling(rows: DataFrame) -> DataFrame:
+    """Rows (y, x) with only those buckets that fit() may use, in order: the others never come to the driver."""
+    held = written(rows.withColumn("row", F.monotonically_increasing_id()), "features")
+    bad = F.when(F.col("y") > 0, 1.0).otherwise(0.0)
+    n_all, p = held.agg(F.count("*"), F.avg(bad)).first()
+    if not n_all or not 0 < p < 1:
+        return held.select("y", "x").limit(0)
+    each = held.select("row", "y", F.explode("x").alias("bucket"))
+    counts = each.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(bad).alias("hits"))
+    used = counts.where((F.col("n") >= 4) & (F.abs(F.col("hits") - F.col("n") * p) >= 3.99 * F.sqrt(F.col("n") * p * (1 - p)))).select("bucket")  # 2 ** BITS at most
+    kept = each.join(F.broadcast(used), "bucket").groupBy("row").agg(F.array_sort(F.collect_list("bucket")).alias("kept"))
+    return held.select("row", "y").join(kept, "row", "left").select("y", F.coalesce("kept", F.array().cast("array<int>")).alias("x"))
+
+
 def fit(grade: np.ndarray, rows: list[np.ndarray], steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """(weights, cuts) of the proportional-odds model, from grades 0, 1, ... and rows of feature numbers.
 
@@ -118,8 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for k in range(1, levels + 1):
         chosen = chosen.union(marked.where(f"y = {k}").orderBy(F.xxhash64("id"), "id").limit(-(-sample // levels)))
     rows = texts_of(docs, id_col, text_col).join(F.broadcast(chosen), "id")  # about twice the sample at most
-    held = rows.select("y", "text").mapInArrow(collect_features, "y int, x array<int>").toPandas()
-    held["x"] = [np.asarray(x) for x in held["x"]]
+    held = telling(rows.select("y", "text").mapInArrow(collect_features, "y int, x array<int>")).toPandas()
+    held["x"] = [np.asarray(x, np.int32) for x in held["x"]]
     order = sorted(range(len(held)), key=lambda i: (held["y"][i], held["x"][i].tobytes()))
     return fit(np.maximum(held["y"].to_numpy(dtype=float)[order], 0), [held["x"][i] for i in order])
 
