@@ -134,6 +134,18 @@ def test_series_checks_find_each_breach(spark):
     assert found(good, off) == {"input_dates", "target_dates", "target_values"}
 
 
+def test_series_checks_send_no_rows_through_the_driver(spark, tmp_path):
+    """Packed files of long series look small; a join that takes them for small holds all their rows in the driver."""
+    labs = spark.range(2000).selectExpr("concat('p', id % 20) AS patientid", "date_add(date'2020-01-06', cast(id % 97 AS int) - 60) AS date", "concat('v', id % 3) AS event_name", "cast(id % 7 AS string) AS event_value")
+    keys = labs.select("patientid", F.lit(DAY).alias("split_date"), "event_name").distinct()
+    weekly = series.weekly_series(labs, keys, spark.createDataFrame([("v0", 5.0)], "event_name string, mean_without_outliers double"), ("v0",))
+    for name, df in (("weekly", weekly), ("labs", labs)):
+        df.write.parquet(str(tmp_path / name))
+    out = series.series_checks(spark.read.parquet(str(tmp_path / "weekly")), spark.read.parquet(str(tmp_path / "labs")), ("v0",))
+    assert 0 < out.first().n_series <= 60
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_features_as_of_equal_those_of_the_history(spark):
     rng = random.Random(6)
     names = [("lab", "718_7", "events"), ("lab", "26515_7", "events"), ("lot", "line_name", "events"), ("lot", "line_number", "events"), ("diagnosis", "d", "events"), ("genetic", "g", "genetic")]
