@@ -31,6 +31,14 @@ def test_weekly_series(spark):
     assert checks.pop("n_series") == 1 and {k for k, v in checks.items() if v} == {"input_values"}  # of one day's values the least counts
 
 
+def test_weeks_are_made_without_a_joined_grid(spark):
+    labs = spark.createDataFrame([("p", day(-28), "y", "4")], "patientid string, date date, event_name string, event_value string")
+    keys = spark.createDataFrame([("p", DAY, "y")], "patientid string, split_date date, event_name string")
+    stats = spark.createDataFrame([("c", 5.0)], "event_name string, mean_without_outliers double")
+    out = series.weekly_series(labs, keys, stats, ("c",))
+    assert out.count() == 39 and "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_realign_and_features(spark):
     history = spark.createDataFrame([("p", day(40), day(33), "lab", "718_7", "5", "events"), ("p", day(40), day(30), "lab", "718_7", "6", "events"), ("p", day(40), day(39), "genetic", "g", "present", "genetic")], "patientid string, split_date date, date date, event_category string, event_name string, event_value string, source string")
     targets = spark.createDataFrame([("p", day(40), "718_7", day(128))], "patientid string, split_date date, event_name string, target_date date")
