@@ -39,6 +39,15 @@ def test_weeks_are_made_without_a_joined_grid(spark):
     assert out.count() == 39 and "Window" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_stacked_series_meet_once(spark):
+    rows = spark.createDataFrame([("p", DAY, v, day(n), float(n)) for v, n in (("y", -7), ("y", 0), ("z", 0))], "patientid string, split_date date, event_name string, date date, event_value double")
+    later = spark.createDataFrame([("p", DAY, "y", day(n), n + 0.5) for n in (0, 7, 14)], rows.schema)
+    out = series.stack_training_series(rows, later, rows.select("patientid", "split_date"), last_n=2)
+    got = {(r.item_id, r.timestamp, r.target, r.is_validation) for r in out.collect()}
+    assert got == {(f"p_split_{DAY}_var_y", day(n), v, held) for n, v, held in ((-7, -7.0, False), (0, 0.0, False), (7, 7.5, True), (14, 14.5, True))}
+    assert out._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+
+
 def test_realign_and_features(spark):
     history = spark.createDataFrame([("p", day(40), day(33), "lab", "718_7", "5", "events"), ("p", day(40), day(30), "lab", "718_7", "6", "events"), ("p", day(40), day(39), "genetic", "g", "present", "genetic")], "patientid string, split_date date, date date, event_category string, event_name string, event_value string, source string")
     targets = spark.createDataFrame([("p", day(40), "718_7", day(128))], "patientid string, split_date date, event_name string, target_date date")
