@@ -45,7 +45,7 @@ def test_stacked_series_meet_once(spark):
     out = series.stack_training_series(rows, later, rows.select("patientid", "split_date"), last_n=2)
     got = {(r.item_id, r.timestamp, r.target, r.is_validation) for r in out.collect()}
     assert got == {(f"p_split_{DAY}_var_y", day(n), v, held) for n, v, held in ((-7, -7.0, False), (0, 0.0, False), (7, 7.5, True), (14, 14.5, True))}
-    assert out._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
 
 
 def test_realign_and_features(spark):

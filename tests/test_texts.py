@@ -42,6 +42,14 @@ def test_timeline_text(rows):
     assert since.startswith("\n1 weeks later") and text.timeline_text(rows.limit(0)).count() == 0
 
 
+def test_summary_meets_the_history_once(rows):
+    asked = rows.select("patientid", "split_date", F.lit("718_7").alias("event_name")).distinct()
+    out = text.summary_text(rows, asked)
+    said = out.first().summary
+    assert said.endswith("\nThe most recent line of therapy:\n\tchemo\n\nThe last values of the variables in the input data are:\n\themoglobin was 11.5\n") and "\tgene a - - type is V600E,\n\tgene b is absent,\n" in said
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_round_trip(rows):
     names = rows.select(F.regexp_replace("event_descriptive_name", r"(\s-\s-)+", " - ").alias("event_descriptive_name"), "event_category", "event_name", "source").distinct()
     wrote = text.timeline_text(rows).withColumn("start_date", F.lit(day(0)).cast("date"))

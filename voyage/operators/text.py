@@ -101,27 +101,29 @@ def summary_text(history: DataFrame, variables: DataFrame, key: tuple[str, ...]
 
     Of rows of one day the one with the largest value is the last. A line that has its own start row is shown by its name, else by its value.
     """
-    last = F.max(F.struct("date", "event_value", "event_descriptive_name"))
-    keys = history.select(*key).distinct()
-    genes = history.where("source = 'genetic'").groupBy(*key, "event_name").agg(last.alias("x"), F.max(F.struct("date", "event_value", "event_category")).alias("y"))
-    shown = F.when(F.col("x.event_value") == w.GENETIC_SKIP, F.col("x.event_descriptive_name")).otherwise(F.concat("x.event_descriptive_name", F.lit(" is "), "x.event_value"))
-    lines = F.array_sort(F.collect_list(F.struct(F.col("x.date").alias("date"), F.col("y.event_category").alias("c"), F.col("event_name").alias("n"), F.concat(F.lit("\t"), shown, F.lit(",")).alias("line"))))
-    genes = genes.groupBy(*key).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("genes"))
-    lots = history.where("event_category = 'lot'").groupBy(*key).agg(
-        F.max(F.when(F.col("event_name") == lot_name, F.struct("date", "event_value"))).alias("named"),
-        F.max(F.when(F.col("event_value") == lot_start, F.struct("date", "event_descriptive_name"))).alias("started"),
+    genetic, lot_row = F.col("source") == "genetic", F.col("event_category") == "lot"
+    last = F.struct("date", "event_value", "event_descriptive_name")
+    each = history.groupBy(*key, "event_name").agg(
+        F.max(last).alias("x"), F.max(F.when(genetic, last)).alias("g"), F.max(F.when(genetic, F.struct("date", "event_value", "event_category"))).alias("y"),
+        F.max(F.when(lot_row & (F.col("event_name") == lot_name), F.struct("date", "event_value"))).alias("named"),
+        F.max(F.when(lot_row & (F.col("event_value") == lot_start), F.struct("date", "event_descriptive_name"))).alias("started"),
     )
+    shown = F.when(F.col("g.event_value") == w.GENETIC_SKIP, F.col("g.event_descriptive_name")).otherwise(F.concat("g.event_descriptive_name", F.lit(" is "), "g.event_value"))
+    gene = F.struct(F.col("g.date").alias("date"), F.col("y.event_category").alias("c"), F.col("event_name").alias("n"), F.concat(F.lit("\t"), shown, F.lit(",")).alias("line"))
+    said = F.struct("event_name", F.coalesce("x.event_descriptive_name", "event_name").alias("shown"), F.col("x.event_value").alias("value"))
+    whole = each.groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.when(F.col("g").isNotNull(), gene))).alias("genes"), F.max("named").alias("named"), F.max("started").alias("started"), F.array_sort(F.collect_list(said)).alias("said")
+    )
+    rows = whole.join(variables.groupBy(*key).agg(F.collect_set("event_name").alias("names")), list(key), "left")
     by_start = F.col("started").isNotNull() & (F.col("named").isNull() | (F.col("started.date") >= F.col("named.date")))
     lot = F.when(by_start, F.col("started.event_descriptive_name")).otherwise(F.col("named.event_value"))
-    values = history.join(variables.select(*key, "event_name").distinct(), [*key, "event_name"]).groupBy(*key, "event_name").agg(last.alias("x"))
-    said = F.struct("event_name", F.concat(F.lit("\t"), F.coalesce("x.event_descriptive_name", "event_name"), F.lit(" was "), value_text(F.col("x.event_value")), F.lit("\n")).alias("line"))
-    values = values.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["line"]), "").alias("values"))
-    asked = variables.select(*key).distinct().withColumn("asked", F.lit(True))
-    rows = keys.join(genes, list(key), "left").join(lots, list(key), "left").join(values, list(key), "left").join(asked, list(key), "left")
+    asked = F.filter("said", lambda x: F.array_contains("names", x["event_name"]))
+    values = F.array_join(F.transform(asked, lambda x: F.concat(F.lit("\t"), x["shown"], F.lit(" was "), value_text(x["value"]), F.lit("\n"))), "")
+    genes = F.when(F.size("genes") > 0, F.array_join(F.transform("genes", lambda x: x["line"]), "\n"))
     text = F.concat(
-        F.lit(w.SUMMARY_GENETIC), F.lit("\n"), F.coalesce("genes", F.lit(w.GENETIC_NONE)), F.lit("\n"), F.lit(w.SUMMARY_LOT),
+        F.lit(w.SUMMARY_GENETIC), F.lit("\n"), F.coalesce(genes, F.lit(w.GENETIC_NONE)), F.lit("\n"), F.lit(w.SUMMARY_LOT),
         F.coalesce(F.concat(F.lit("\t"), lot, F.lit("\n")), F.lit(w.SUMMARY_NO_LOT)),
-        F.when(F.col("asked"), F.concat(F.lit(w.SUMMARY_LAST), F.coalesce("values", F.lit("")))).otherwise(""),
+        F.when(F.col("names").isNotNull(), F.concat(F.lit(w.SUMMARY_LAST), F.coalesce(values, F.lit("")))).otherwise(""),
     )
     return rows.select(*key, text.alias("summary"))
 
