@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from voyage.functions import wording as w
 from voyage.operators import landmarks, parsing, text
 
 DAY = dt.date(2020, 1, 6)
@@ -119,3 +120,18 @@ def test_tags_rewards_and_masks(spark):
     ids = spark.createDataFrame([(1, [5, 9, 8, 7, 6]), (2, [5, 5]), (3, []), (4, [9, 8])], "k int, ids array<int>")
     masked = {r.k: (list(r.input_ids), list(r.labels)) for r in parsing.mask_prompt_tokens(ids, (9, 8), most=4).collect()}
     assert masked == {1: ([5, 9, 8, 7], [-100, -100, -100, 7]), 4: ([9, 8], [-100, -100])}
+
+
+def test_what_stays_of_a_sample_is_worked_out_once(spark, rows):
+    key = rows.select("patientid", "split_date").distinct()
+    static = key.select("patientid", F.lit("\tgender is male.\n").alias("static"))
+    tasks = key.select("patientid", "split_date", F.lit("events").alias("kind"), F.lit("\nWill it?").alias("prompt"), F.lit("\nNo: 0").alias("answer"))
+    out = text.instruction_samples(rows, static, key.withColumn("event_name", F.lit("718_7")), tasks)
+    assert out.first().tokens_target == 11
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
+def test_token_counts_take_letters_of_ascii_alone(spark):
+    said = spark.createDataFrame([("a_1 bé,  c\t-- x2\n",)], "t string")
+    old = F.size(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"), F.lit(0)))
+    assert said.select(w.words_and_signs(F.col("t")) == old).first()[0]

@@ -54,4 +54,4 @@ def single_dash(text: Column) -> Column:
 
 def words_and_signs(text: Column) -> Column:
     """A stand-in for a tokenizer's count: words, and single characters that are neither word nor space."""
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"), F.lit(0)))
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\w+|[^\w\s]"), F.lit(0)))

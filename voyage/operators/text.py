@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from voyage.functions import wording as w
 from voyage.functions.numbers import number, value_text
 from voyage.functions.random import u01
+from voyage.sources.tables import written
 
 KEY = ("patientid", "split_date")
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -195,7 +196,7 @@ def instruction_samples(history: DataFrame, static: DataFrame, variables: DataFr
     summary = summary_text(history, variables)
     fixed = asked.join(summary, list(KEY)).join(static, "patientid")
     cost = tokens(F.concat(F.lit(w.PREAMBLE), "static", "summary", "prompt")) + (F.lit(0) if inference else tokens(F.col("answer"))) + padding
-    fixed = fixed.withColumn("room", F.greatest(F.lit(budget) - cost, F.lit(0)))
+    fixed = written(fixed.withColumn("room", F.greatest(F.lit(budget) - cost, F.lit(0))), "fixed")  # read twice: for the room, and for the texts
     kept = history_within_budget(history.join(fixed.select(*KEY, "room"), list(KEY)), F.col("room"), tokens=tokens)
     texts = timeline_text(kept.drop("room"), name="timeline")
     out = fixed.join(texts, list(KEY), "left").withColumn("instruction", F.concat(F.lit(w.PREAMBLE), "static", F.coalesce("timeline", F.lit("")), "summary", "prompt"))
