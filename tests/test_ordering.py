@@ -99,3 +99,15 @@ def test_concordance(spark, monkeypatch, block):
                 good = sum(i[4] ** -2 * (1 if j[3] < i[3] else 0.5 if j[3] == i[3] else 0) for i, j in pairs)
                 assert got[g] == pytest.approx(good / weight)
     assert got["order"] == 1.0
+
+
+def test_buckets_grow_with_the_source(spark, tmp_path, monkeypatch):
+    from voyage.sources import tables
+
+    spark.range(1000).write.parquet(str(tmp_path / "rows"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tables.buckets(spark, str(tmp_path)) == tables.buckets(spark, str(tmp_path / "none")) == n
+    monkeypatch.setattr(tables, "BUCKET", 100)
+    assert tables.buckets(spark, str(tmp_path)) > n
+    kept = tables.once(spark, "grown", str(tmp_path), lambda: spark.range(1000), by="id")
+    assert kept.count() == 1000 and len({f.rsplit("_", 1)[-1] for f in kept.inputFiles()}) > n
