@@ -111,3 +111,29 @@ def test_buckets_grow_with_the_source(spark, tmp_path, monkeypatch):
     assert tables.buckets(spark, str(tmp_path)) > n
     kept = tables.once(spark, "grown", str(tmp_path), lambda: spark.range(1000), by="id")
     assert kept.count() == 1000 and len({f.rsplit("_", 1)[-1] for f in kept.inputFiles()}) > n
+
+
+def test_buckets_meet_without_a_shuffle(spark, tmp_path):
+    """Joins by a bucket's column and more move nothing while a table is made, and the session is as before."""
+    from voyage.operators import splits
+    from voyage.sources import tables
+
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(setting)
+    lab = ("'lab' as event_category", "concat('v', id % 3) as event_name", "cast(id as string) as event_value")
+    events = tables.once(spark, "met_events", str(tmp_path), lambda: spark.range(600).selectExpr("concat('p', id % 20) as patientid", "date_add(date '2020-01-01', cast(id % 97 as int)) as date", *lab), by="patientid")
+    dates = tables.once(spark, "met_dates", str(tmp_path), lambda: events.where("date < '2020-02-01'").select("patientid", "date").distinct(), by="patientid")
+    with tables.together(spark):
+        found = splits.eligible_variables(events, dates)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and spark.conf.get(setting) == before
+    with pytest.raises(ValueError), tables.together(spark):
+        raise ValueError
+    assert spark.conf.get(setting) == before
+    rows, asked = [tuple(r) for r in events.select("patientid", "date", "event_name").collect()], [tuple(r) for r in dates.collect()]
+    expect = set()
+    for p, at in asked:
+        near = [(n, (d - at).days) for q, d, n in rows if q == p and -90 <= (d - at).days <= 90]
+        good = {n for n, g in near if g <= 0} & {n for n, g in near if g > 0}
+        expect |= {(p, at, n) for n in good} or {(p, at, None)}
+    assert {tuple(r) for r in found.collect()} == expect
