@@ -43,3 +43,12 @@ def test_landmark_times(spark):
         (day(0), "progression", 1.0, False), (day(0), "lot", 2.0, False), (day(0), "death", 2.0, True), (day(14), "death", 1.0, False), (day(14), "lot", 1.0, True), (day(14), "progression", 1.0, True),
         (day(21), "death", 0.0, True), (day(21), "lot", 0.0, True), (day(21), "progression", 0.0, True),
     }
+
+
+def test_scaled_labs_need_no_targets(spark):
+    from voyage.plans import evaluations
+    from voyage.sources import tables
+
+    tables.forget(spark)
+    assert evaluations.d19_cap_outliers(spark, "/root/testdata/sf0.001").count()
+    assert {k[1] for k in tables._made if k[0] == spark.sparkContext.applicationId} == {"events", "candidates", "statistics"}
