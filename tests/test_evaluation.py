@@ -52,3 +52,14 @@ def test_scaled_labs_need_no_targets(spark):
     tables.forget(spark)
     assert evaluations.d19_cap_outliers(spark, "/root/testdata/sf0.001").count()
     assert {k[1] for k in tables._made if k[0] == spark.sparkContext.applicationId} == {"events", "candidates", "statistics"}
+
+
+def test_scores_count_splits_patients_and_dates_without_copies_of_rows(spark):
+    rows = [(p, day(s), n, day(s + g), float(g)) for p, s, n, g in [("a", 0, "hb", 1), ("a", 0, "hb", 2), ("a", 9, "hb", 1), ("b", 0, "hb", 1), ("b", 0, "x", 1), ("c", 9, "x", 2)]]
+    target = spark.createDataFrame(rows, "patientid string, date date, event_name string, target_date date, event_value double")
+    stats = spark.createDataFrame([("hb", 1.0, 9.0)], "event_name string, mean_without_outliers double, std_without_outliers double").selectExpr("*", "mean_without_outliers as mean", "std_without_outliers as std")
+    moved = target.selectExpr("patientid", "date", "event_name", "target_date", "event_value + 1 as event_value")
+    out = evaluation.forecast_eval(moved, target, moved, stats)
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["event_name"]: (r["n_samples"], r["n_splits"], r["n_patients"], r["n_dates"], r["mae"], r["nmae"]) for r in out.collect()}
+    assert got == {"hb": (4, 3, 2, 3, 1.0, 1.0), "x": (2, 2, 2, 2, 1.0, 1.0)}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from voyage.functions.numbers import number
 from voyage.operators.ordering import as_of
+from voyage.sources.tables import together, written
 
 KEY = ("patientid", "date", "event_name", "target_date")
 #: Centre and spread that decide the bounds, by mode.
@@ -19,7 +20,9 @@ BOUNDS = {"raw": ("mean", "std"), "clean": ("mean_without_outliers", "std_withou
 
 def copy_forward(events: DataFrame, targets: DataFrame) -> DataFrame:
     """The target rows' keys with the last value up to the split (of one day the largest); null where there is none."""
-    labs = events.where("event_category = 'lab'").select("patientid", "event_name", F.col("date").alias("at"), number(F.col("event_value")).alias("v")).where("v is not null")
+    series = ["patientid", "event_name"]
+    labs = events.where("event_category = 'lab'").join(targets.select(*series).distinct().hint("shuffle_hash"), series, "left_semi")
+    labs = labs.select(*series, F.col("date").alias("at"), number(F.col("event_value")).alias("v")).where("v is not null")
     last = as_of(targets, labs, ("patientid", "event_name"), {"v": F.col("v")})
     return targets.select(*KEY).distinct().join(last, ["patientid", "date", "event_name"], "left").select(*KEY, F.col("v").alias("event_value"))
 
@@ -56,21 +59,29 @@ def forecast_eval(pred: DataFrame, target: DataFrame, last: DataFrame, stats: Da
 
     pred and last have one row a key. Predictions and targets are capped by the clean moments. A relative error to 0 and a
     quotient by 0 are null. Targets with a column imputed count only where it is 0.
+
+    Tables bucketed by patient are joined and counted where they lie: splits and patients are counted by where they begin in their rows' order, so only sums a date move.
     """
     own = target.where("imputed = 0") if "imputed" in target.columns else target
     rows = _errors(*(cap_outliers(x, stats) for x in (pred, own, last)), tuple(c for c in by if c not in KEY))
     size = F.nullif(F.abs("y"), F.lit(0.0))
+    ahead = F.lag("date").over(Window.partitionBy(*by, "patientid").orderBy("date"))
+    rows = rows.withColumn("ahead", ahead)
     out = rows.groupBy(*by).agg(
         F.avg("e").alias("mae"), F.avg(F.col("e") / size).alias("mape"), F.avg("f").alias("cf_mae"), F.avg(F.col("f") / size).alias("cf_mape"),
-        F.count("*").alias("n_samples"), F.count_distinct(F.struct("patientid", "date")).alias("n_splits"), F.count_distinct("patientid").alias("n_patients"), F.count_distinct("target_date").alias("n_dates"),
+        F.count("*").alias("n_samples"), F.count_if(F.col("ahead").isNull() | (F.col("ahead") != F.col("date"))).alias("n_splits"), F.count_if(F.col("ahead").isNull()).alias("n_patients"), F.count_distinct("target_date").alias("n_dates"),
     )
-    return out.withColumn("nmae", F.try_divide("mae", "cf_mae")).withColumn("nmape", F.try_divide("mape", "cf_mape")).drop("cf_mae", "cf_mape")
+    out = out.withColumn("nmae", F.try_divide("mae", "cf_mae")).withColumn("nmape", F.try_divide("mape", "cf_mape")).drop("cf_mae", "cf_mape")
+    with together(out.sparkSession):
+        return written(out, "scores")  # one row a variable
 
 
 def regression_eval(pred: DataFrame, target: DataFrame, last: DataFrame) -> DataFrame:
     """One row: errors over all rows, and their quotients by those of copying forward."""
     rows = _errors(pred, target, last)
     out = rows.agg(F.avg("e").alias("mae"), F.avg(F.col("e") ** 2).alias("mse"), F.avg("f").alias("cf_mae"), F.avg(F.col("f") ** 2).alias("cf_mse"), F.count("*").alias("n"))
+    with together(out.sparkSession):
+        out = written(out, "scores")  # one row
     return out.select("n", "mae", "mse", F.sqrt("mse").alias("rmse"), F.try_divide("mae", "cf_mae").alias("mae_ratio"), F.try_divide("mse", "cf_mse").alias("mse_ratio"), F.sqrt(F.try_divide("mse", "cf_mse")).alias("rmse_ratio"))
 
 
