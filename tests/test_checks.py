@@ -241,3 +241,9 @@ def test_arrays_are_read_by_rows(spark, tmp_path, small_splits, kind, wide):
     if wide > 1:
         with pytest.raises(ValueError, match="one after the other"):
             files.read_npy(spark, f"{tmp_path}/turned.npy")
+
+
+def test_survival_rows_are_worked_out_once(spark):
+    from voyage.plans import evaluations
+
+    assert "Join" not in evaluations._survival(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

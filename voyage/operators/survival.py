@@ -68,13 +68,13 @@ def survival_eval(pred: DataFrame, targets: DataFrame, train: DataFrame, days_a_
     part the scores, while the censoring curve stays that of the category. within_training: test rows behind the last training time of their
     category are left out. Scores of weeks outside the followed times of their part are null.
     """
-    g = km_censoring(train, category)
+    g = written(km_censoring(train, category), "curve")
     longest = train.groupBy(category).agg(F.max("time").alias("longest"))  # one row a category
     tested = targets.join(F.broadcast(longest), category).where("time <= longest").drop("longest") if within_training else targets
     rows = pred.join(with_censoring(tested, g, category), ["patientid", category]).withColumn("at", F.col("week") * days_a_unit)
     marks = rows.select(category, F.col("at").alias("time")).distinct()
     here = with_censoring(marks, g, category).select(category, F.col("time").alias("at"), F.col("g").alias("g_at"))
-    rows = rows.join(F.broadcast(here), [category, "at"])  # one row a category and week
+    rows = written(rows.join(F.broadcast(here), [category, "at"]), "scored")  # one row a category and week
     hit = F.when((F.col("time") <= F.col("at")) & F.col("event"), F.try_divide(F.col("survival") ** 2, F.col("g")))
     free = F.when(F.col("time") > F.col("at"), F.try_divide((1 - F.col("survival")) ** 2, F.col("g_at")))
     own = (category, "week", *by)
