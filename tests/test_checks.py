@@ -243,6 +243,16 @@ def test_arrays_are_read_by_rows(spark, tmp_path, small_splits, kind, wide):
             files.read_npy(spark, f"{tmp_path}/turned.npy")
 
 
+def test_lines_without_quotes_stay_where_they_are_read(spark, tmp_path):
+    for n in "ab":
+        (tmp_path / f"{n}.csv").write_text("id,x\r\n" + "".join(f"{n}{k},{k}\r\n" for k in range(9)))
+    out = files.csv_records(spark, str(tmp_path))
+    got = sorted((r.file[-5:], r.record, r.text) for r in out.collect())
+    assert got == sorted((f"{n}.csv", k + 1, f"{n}{k},{k}" if k >= 0 else "id,x") for n in "ab" for k in range(-1, 9))
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not [line for line in final.splitlines() if "Sort [" in line and " at#" in line]
+
+
 def test_survival_rows_are_worked_out_once(spark):
     from voyage.plans import evaluations
 

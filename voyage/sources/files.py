@@ -71,27 +71,34 @@ def typed(df: DataFrame, schema: str) -> DataFrame:
 def csv_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, record, text): the records of CSV files, numbered from 0 in each file, whichever tasks read them.
 
-    Files are read in splits of lines. A first pass counts quotes in every split; sums of these tell whether a split begins inside quotes, and how many records
-    begin before it. So a second pass knows of each line whether it begins a record or goes on with one. Only the lines of records that have
-    several are moved to meet. Quotes stand around fields and are doubled inside them; a file with an odd number of them fails.
+    Files are read in splits of lines. A first pass counts lines and quotes of every split. In a split without quotes that begins outside of them each line is a
+    record, whose number is its place in the split behind the records ahead of it; these lines stay where they are read. Only the lines of other splits are
+    ordered: a pass over them tells how many records each begins, whether it begins inside quotes or not, and another which lines begin a record and which go on with one. Only
+    the lines of records that have several are moved to meet. Quotes stand around fields and are doubled inside them; a file with an odd number of them fails.
     """
     lines = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
     lines = lines.withColumn("quotes", (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).cast("long"))
     own = Window.partitionBy("file", "split").orderBy("at")
     ahead = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.withColumn("inside", ahead("quotes", own))
-    begins = lambda odd: F.count_if(F.pmod(F.col("inside") + odd, F.lit(2)) == 0)
-    splits = lines.groupBy("file", "split").agg(F.sum("quotes").alias("quotes"), begins(0).alias("even"), begins(1).alias("odd"))
     of_file = Window.partitionBy("file").orderBy("split")  # a row for each split
-    splits = splits.withColumn("carry", ahead("quotes", of_file))
-    splits = splits.withColumn("begun", ahead(F.when(F.pmod("carry", F.lit(2)) == 0, F.col("even")).otherwise(F.col("odd")), of_file)).withColumn("all", F.sum("quotes").over(Window.partitionBy("file")))
+    splits = lines.groupBy("file", "split").agg(F.sum("quotes").alias("sum"), F.count("*").alias("n"), F.min("at").alias("start"))
+    splits = splits.withColumn("carry", ahead("sum", of_file)).withColumn("all", F.sum("sum").over(Window.partitionBy("file")))
+    splits = splits.withColumn("plain", (F.col("sum") == 0) & (F.pmod("carry", F.lit(2)) == 0))
+    quoted = F.broadcast(splits.where("not plain").select("file", "split", "carry"))  # a row a split
+    inside = lines.join(quoted, ["file", "split"]).withColumn("inside", F.col("carry") + ahead("quotes", own))
+    begins = inside.groupBy("file", "split").agg(F.count_if(F.pmod("inside", F.lit(2)) == 0).alias("begins"))
+    numbers = splits.join(begins, ["file", "split"], "left").withColumn("begun", ahead(F.when(F.col("plain"), F.col("n")).otherwise(F.col("begins")), of_file))
     whole = F.when(F.pmod("all", F.lit(2)) == 0, F.col("begun")).otherwise(F.raise_error(F.concat(F.lit("unbalanced quotes in "), "file")))
-    rows = lines.join(splits.select("file", "split", "carry", whole.cast("long").alias("begun")), ["file", "split"])
-    rows = rows.withColumn("first", F.pmod(F.col("carry") + F.col("inside"), F.lit(2)) == 0).withColumn("last", F.pmod(F.col("carry") + F.col("inside") + F.col("quotes"), F.lit(2)) == 0)
+    numbers = numbers.select("file", "split", "plain", "start", whole.cast("long").alias("begun"))
+
+    known = lines.join(F.broadcast(numbers), ["file", "split"], "left").where(F.coalesce("plain", F.raise_error(F.lit("files are split otherwise than before")).cast("boolean")))
+    plain = known.select("file", (F.col("begun") + F.col("at") - F.col("start")).alias("record"), F.col("value").alias("text"))
+    rows = inside.join(F.broadcast(numbers.where("not plain").drop("plain", "start")), ["file", "split"])
+    rows = rows.withColumn("first", F.pmod("inside", F.lit(2)) == 0).withColumn("last", F.pmod(F.col("inside") + F.col("quotes"), F.lit(2)) == 0)
     rows = rows.withColumn("record", F.col("begun") + F.sum(F.col("first").cast("long")).over(own) - 1)
     single = rows.where("first and last").select("file", "record", F.col("value").alias("text"))
     several = rows.where("not (first and last)").groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "at", "value"))), lambda x: x["value"]), "\n").alias("text"))
-    return single.unionByName(several).withColumn("text", F.regexp_replace("text", r"\r\z", ""))
+    return plain.unionByName(single).unionByName(several).withColumn("text", F.when(F.endswith("text", F.lit("\r")), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text")))
 
 
 def _first_record(spark: SparkSession, file: str) -> str:
@@ -119,7 +126,8 @@ def read_csv(spark: SparkSession, paths: str | list[str], schema: str | None = N
     for head, files_ in heads.items():
         names = [n.strip() or f"_c{k}" for k, n in enumerate(next(csv.reader(io.StringIO(head))))]
         fields = StructType([StructField(f"f{k}", StringType()) for k in range(len(names))])
-        body = records.where((F.col("record") > 0) & (F.trim("text") != "") & F.regexp_replace("file", ":/+", ":/").isin(*files_))
+        body = records.where((F.col("record") > 0) & (F.trim("text") != ""))
+        body = body.where(F.regexp_replace("file", ":/+", ":/").isin(*files_)) if len(heads) > 1 else body
         parsed = body.select(F.from_csv("text", fields.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"escape": '"', "maxCharsPerColumn": "-1"}).alias("x"))
         part = without_unnamed(parsed.select(*(F.col(f"x.f{k}").alias(n) for k, n in enumerate(names))))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
