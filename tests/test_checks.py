@@ -257,3 +257,27 @@ def test_survival_rows_are_worked_out_once(spark):
     from voyage.plans import evaluations
 
     assert "Join" not in evaluations._survival(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_targets_and_their_csv_lines_are_not_moved(spark):
+    """Behind the events nothing that grows with the rows is shuffled, whatever is too large to be sent to all tasks."""
+    from voyage.plans import checks, fixtures
+    from voyage.sources.tables import forget
+
+    d, limit = "/root/testdata/sf0.01", "spark.sql.autoBroadcastJoinThreshold"
+    before, stages = spark.conf.get(limit), spark.sparkContext._jsc.sc().statusStore()
+    forget(spark, "candidates", "eligible", "statistics", "targets")
+    fixtures.events(spark, d).count()
+    tracker, moved = spark.sparkContext.statusTracker(), 0
+    spark.conf.set(limit, "-1")
+    spark.sparkContext.setJobGroup("csv", "targets and their lines")
+    try:
+        assert checks.s07_csv_glob(spark, d).count() > 0
+    finally:
+        spark.conf.set(limit, before)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for job in tracker.getJobIdsForGroup("csv"):
+        for stage in tracker.getJobInfo(job).stageIds:
+            data = stages.lastStageAttempt(stage)
+            moved += 0 if data.status().toString() == "SKIPPED" else data.shuffleWriteRecords()
+    assert 0 < moved < fixtures.targets(spark, d).count()
