@@ -27,6 +27,7 @@ within what is already connected are not looked for.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +40,12 @@ from voyage.llm.components import components
 from voyage.llm.store import TABLES, only, remove, texts_of, without, written
 
 GROUP = 64
-#: Classes of sizes of differences, in the number of tokens by which linked sets can differ.
+#: Classes of sizes of differences in the number of tokens by which linked sets can differ.
 CLASSES = 4
 BITS, MOST_BITS = 1 << 11, 1 << 17
 SLICE = 256  # bytes of the rows that are opened to bits at a time
+#: Texts that are described, or rows of the matrix that are opened, at a time; keys of differences that a task holds at a time.
+TEXTS, KEYS = 1 << 10, 1 << 17
 
 
 def token_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -98,7 +101,7 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def describe_sets(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, TEXTS) for whole in batches for a in range(0, whole.num_rows, TEXTS)):
             size, f1, f2, keys, bits, ends = [], [], [], [], [], [0]
             for tokens in token_sets(batch.column("text"), n):
                 size.append(len(tokens))
@@ -168,7 +171,7 @@ def qualifying(num: int, den: int):
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["tile", "side", "id"])
 
-        for batch in batches:
+        for batch in (whole.slice(a, TEXTS) for whole in batches for a in range(0, whole.num_rows, TEXTS)):
             found: list[tuple] = []
             for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", "id", "size", "bits")), strict=True):
                 if held and row[0] != held[0][0]:
@@ -270,27 +273,50 @@ def common_tokens(n: int):
     return run
 
 
+def edges_to(top: int, edges: list[int], base: int, num: int, den: int) -> list[int]:
+    """The least sizes of the classes of differences from a pivot of base tokens, continued beyond top.
+
+    A class is a CLASSES-th as wide as what sets of its size, or of the pivot's, can differ by: so a set far larger than the pivot has no more classes to meet than others.
+    """
+    while edges[-1] <= top:
+        edges.append(edges[-1] + max(1, (den - num) * max(base, edges[-1]) // num // CLASSES))
+    return edges
+
+
 def differences(n: int, num: int, den: int):
-    """Over rows (tile, side, pivot, id, text, tokens, counts) sorted by tile and side, the pivot first: (pivot, id, linked, keys) of each other set.
+    """Over rows (tile, side, pivot, id, text, tokens, counts) sorted by tile and side, the pivot first: of each other set a row (pivot, id, linked) without a key, and one a key.
 
-    keys: for each class of sizes that the difference of a set that links can have, the first tokens of this set's difference, rare ones
-    first: all but as many as both have in common at least. So two sets that link share a key of their two classes.
+    Keys: for each class of sizes that the difference of a set that links can have, the first tokens of this set's difference, rare ones
+    first: all but as many as both have in common at least. So two sets that link share a key of their two classes. Batches hold about KEYS keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, bases, known, often = None, [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            each = np.array([len(r[3]) + 1 for r in rows], np.int64)
+            heads = np.cumsum(each) - each
+            keys, head = np.zeros(each.sum(), np.int64), np.zeros(each.sum(), bool)
+            head[heads] = True
+            keys[~head] = hashing.signed(np.concatenate([*(r[3] for r in rows), np.zeros(0, np.uint64)]))
+            linked = np.zeros(len(keys), bool)
+            linked[heads] = [r[2] for r in rows]
+            pivots, ids = (np.repeat(np.array([r[k] for r in rows], np.int64), each) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(pivots), pa.array(ids), pa.array(linked), pa.array(keys, mask=head)], ["pivot", "id", "linked", "key"])
+
         for batch in batches:
-            rows = []
+            held = 0
             names = ("tile", "side", "pivot", "id", "tokens", "counts")
             for (t, side, pivot, i, tokens, counts), own in zip(zip(*(batch.column(c).to_pylist() for c in names), strict=True), token_sets(batch.column("text"), n), strict=True):
                 if t != tile:
                     tile, bases = t, []
                 if side == 0:
-                    bases.append(own)  # more than one if the pivot's id has more than one text
+                    bases.append((own, [0]))  # more than one if the pivot's id has more than one text
                     known, often = np.array(tokens or [], np.int64).view(np.uint64), np.array(counts or [], np.int64)
                     continue
                 most = (den - num) * len(own) // num  # tokens by which a set that links can differ from this one
-                for base in bases:
+                for base, edges in bases:
                     apart = np.setxor1d(base, own, assume_unique=True)
                     n_apart = len(apart)
                     same = (len(base) + len(own) - n_apart) // 2
@@ -299,16 +325,21 @@ def differences(n: int, num: int, den: int):
                         at = np.minimum(np.searchsorted(known, apart), len(known) - 1)
                         rank = np.where(known[at] == apart, often[at], 0)
                     apart = hashing.mix(apart)[np.lexsort((hashing.mix(apart), rank))]
-                    wide = max(1, (den - num) * len(base) // num // CLASSES)
-                    own_class, found = n_apart // wide, [np.zeros(0, np.uint64)]
-                    for other in range(max(0, n_apart - most) // wide, (n_apart + most) // wide + 1):
-                        common = max(1, -((most - n_apart - max(1, other * wide)) // 2))  # of the two differences, at least
-                        label = np.array([pivot, wide, min(own_class, other), max(own_class, other)], np.int64).view(np.uint64)
+                    edges_to(n_apart + most, edges, len(base), num, den)
+                    own_class, low, high = (bisect_right(edges, max(0, x)) - 1 for x in (n_apart, n_apart - most, n_apart + most))
+                    found = [np.zeros(0, np.uint64)]
+                    for other in range(low, high + 1):
+                        common = max(1, -((most - n_apart - max(1, edges[other])) // 2))  # of the two differences, at least
+                        label = np.array([pivot, len(base), min(own_class, other), max(own_class, other)], np.int64).view(np.uint64)
                         found.append(hashing.mix(apart[: max(0, n_apart - common + 1)] ^ hashing.grams(hashing.mix(label), 4)))
-                    keys = np.concatenate(found)
-                    rows.append((pivot, i, den * same >= num * (len(base) + len(own) - same), hashing.signed(keys).tolist()))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["pivot", "id", "linked", "keys"])
+                    rows.append((pivot, i, den * same >= num * (len(base) + len(own) - same), np.concatenate(found)))
+                    held += len(rows[-1][3])
+                    if held >= KEYS:
+                        yield out()
+                        rows.clear()
+                        held = 0
+            yield out()
+            rows.clear()
 
     return run
 
@@ -369,9 +400,9 @@ def links_of_keys(rows: DataFrame, matrix: DataFrame, texts: DataFrame, n: int,
     none = F.lit(None).cast("array<long>")
     told = dealt.where("side = 0").join(often, "pivot", "left").unionByName(dealt.where("side = 1").withColumns({"tokens": none, "counts": none}))
     told = told.select(F.xxhash64("pivot", "room").alias("tile"), "side", "pivot", "id", "text", "tokens", "counts").repartition("tile").sortWithinPartitions("tile", "pivot", "side")
-    apart = written(told.mapInArrow(differences(n, num, den), "pivot long, id long, linked boolean, keys array<long>"), "apart")
+    apart = written(told.mapInArrow(differences(n, num, den), "pivot long, id long, linked boolean, key long"), "apart")
     links = found.union(apart.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-    keyed = apart.select(F.explode("keys").alias("key"), "id")
+    keyed = apart.where("key is not null").select("key", "id")
     wide = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     return links, written(keyed.join(wide, "key"), "next")
 
