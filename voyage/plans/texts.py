@@ -126,6 +126,14 @@ def samples(spark, d):
     return once(spark, "samples", d, build)
 
 
+def sample_keys(spark, d):
+    """The keys of samples(), as often as they are there, without a text: splits that have a history, once for each row of the patient's static data."""
+    rows = events(spark, d).select("patientid", "date").unionAll(molecular(spark, d).select("patientid", "date"))
+    first = rows.groupBy("patientid").agg(F.min("date").alias("first_date"))
+    keys = split_dates(spark, d).join(first, "patientid").where("first_date <= split_date")
+    return keys.join(constant(spark, d).select("patientid"), "patientid").select("patientid", "split_date")
+
+
 def d43_instruction_samples(spark, d):
     return samples(spark, d).withColumn("kinds", F.array_join("kinds", ","))
 
