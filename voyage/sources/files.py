@@ -281,7 +281,7 @@ def nested_json(rows: DataFrame, key: tuple[str, ...], name: str, order: Column
 
 
 def write_samples(samples: DataFrame, path: str, meta: Iterable[str] = (), by: tuple[str, ...] = ("indication", "data_split"), batch: str = "all", resume: bool = False) -> None:
-    """JSON lines of instruction, answer and meta (an object of the columns named), in folders of the batch, cohort and split.
+    """JSON lines of instruction, answer and meta (an object of the columns named), packed by gzip, in folders of the batch, cohort and split.
 
     A batch is written in full and then put into the manifest by one rename, with the rows of each of its cohorts and splits; readers see only what the manifest
     lists. So a batch that was broken off, by a lost driver too, does not count and its folder is replaced by the next attempt. With resume,
@@ -298,8 +298,9 @@ def write_samples(samples: DataFrame, path: str, meta: Iterable[str] = (), by: t
         seen = spark.createDataFrame(done, ", ".join(f"{c} string" for c in by))
         rows = rows.join(F.broadcast(seen), list(by), "left_anti").select(*rows.columns)
     target = f"{path}/batch={batch}"
-    rows.write.mode("overwrite").partitionBy(*by).json(target)
-    counts = spark.read.schema(rows.schema).json(target).groupBy(*by).agg(F.count("*").alias("rows")) if listed(spark, f"{target}/{by[0]}=*") else None
+    rows.write.mode("overwrite").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").partitionBy(*by).json(target)
+    lines = StructType([StructField("value", StringType()), *(rows.schema[c] for c in by)])  # one a row, counted as they lie there
+    counts = spark.read.schema(lines).text(target).groupBy(*by).agg(F.count("*").alias("rows")) if listed(spark, f"{target}/{by[0]}=*") else None
     parts = [r.asDict() for r in counts.collect()] if counts is not None else []
     if not resume:
         for other in _manifest(spark, path):
