@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from voyage.plans import models, texts
 
 
@@ -36,3 +38,13 @@ def test_keys_of_samples_are_those_of_the_samples(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(texts, "samples", none)
     assert sorted((r.patientid, r.split_date) for r in models.d60_evaluation_text_tables(spark, d).collect()) == keys
+
+
+def test_samples_stay_in_their_patients_buckets(spark, tmp_path):
+    """Each of the batches of s17 moved and sorted all texts."""
+    _tables(spark, tmp_path)
+    rows = texts.samples(spark, str(tmp_path))
+    people = spark.range(5).select(F.concat(F.lit("C"), "id").alias("patientid")).hint("shuffle_hash")
+    plan = rows.join(people, "patientid")._jdf.queryExecution().executedPlan().toString()
+    texts_side = plan[plan.index("ShuffledHashJoin") :].split("Exchange")[0]
+    assert "FileScan parquet" in texts_side and plan.count("Exchange") == 1 and "Sort" not in plan

@@ -72,7 +72,7 @@ def d10_train_statistics(spark, d):
 def d45_write_samples(spark, d):
     path = f"{shared_folder(spark)}/samples-{uuid.uuid4().hex}"
     split = ingest.assign_patient_splits(constant(spark, d))
-    rows = texts.samples(spark, d).join(split, "patientid").withColumn("indication", F.lit("one"))
+    rows = texts.samples(spark, d).join(split.hint("shuffle_hash"), "patientid").withColumn("indication", F.lit("one"))  # texts are neither moved nor sorted
     files.write_samples(rows, path, ("patientid", "split_date", "tokens_input", "tokens_target"))
     back = files.read_samples(spark, path, "instruction string, meta struct<tokens_input: long>, indication string, data_split string")
     return back.groupBy("indication", "data_split").agg(F.count("*").alias("n"), F.sum(F.length("instruction")).alias("n_characters"), F.sum("meta.tokens_input").alias("tokens_input"))

@@ -10,7 +10,7 @@ from voyage.plans import fixtures
 from voyage.plans.evaluations import TARGETS
 from voyage.plans.fixtures import constant, events, molecular
 from voyage.plans.journeys import CANDIDATES, U, WITH
-from voyage.sources.tables import once
+from voyage.sources.tables import once, together
 
 TIMELINE = """, tl AS (SELECT DISTINCT patientid, date, event_category, event_name, event_descriptive_name, event_value, 'events' AS source FROM ev
   UNION SELECT patientid, date, biomarker_category, biomarker_event, biomarker_descriptive_name, biomarker_value, 'genetic' FROM mol)"""
@@ -123,7 +123,8 @@ def samples(spark, d):
     def build():
         return text.instruction_samples(history(spark, d), static(spark, d), forecast_rows(spark, d), tasks_of(spark, d), budget=2000)
 
-    return once(spark, "samples", d, build)
+    with together(spark):  # histories stay in their patients' buckets
+        return once(spark, "samples", d, build, by="patientid")
 
 
 def sample_keys(spark, d):
